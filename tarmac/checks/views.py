@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac.fields import WEATHER_FIELDS
-from tarmac.functions.clock import clock_text
 from tarmac.operators.clean import clean_airports, clean_flights, enrichment_requests
 
 NOW = "TIMESTAMP '2024-03-01 00:00:00'"
@@ -32,27 +31,27 @@ def code(number: Column) -> Column:
 
 def raw_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as rows of a flights source; a few keys and delay causes are unknown."""
-    order, cust = F.col("o_orderkey"), F.col("o_custkey")
-    date = F.date_add(F.lit("2024-01-01").cast("date"), (order % 40).cast("int"))
-    dest = (order + cust * 3) % 25
-    return read(spark, sf_dir, "orders").select(
-        date.alias("fl_date"),
-        F.year(date).alias("year"), F.month(date).alias("month"),
-        F.dayofmonth(date).alias("day_of_month"), (F.weekday(date) + 1).alias("day_of_week"),
-        F.when(order % 101 != 7, order.cast("double")).alias("op_carrier_fl_num"),
-        code(cust % 25).alias("origin"),
-        F.concat(F.lit("City "), (cust % 25).cast("string"), F.lit(", XX")).alias("origin_city_name"),
-        F.when(order % 89 != 5, code(dest)).alias("dest"),
-        F.concat(F.lit("City "), dest.cast("string"), F.lit(", XX")).alias("dest_city_name"),
-        ((order % 24) * 100 + order % 60 + (cust % 3) * 0.25).alias("crs_dep_time"),
-        (((order + 2) % 24) * 100 + cust % 60).cast("double").alias("crs_arr_time"),
-        (cust % 360 + 30).cast("double").alias("crs_elapsed_time"),
-        (cust % 2500 + 100).cast("double").alias("distance"),
-        F.nullif(order % 11, F.lit(10)).cast("double").alias("carrier_delay"),
-        (cust % 7).cast("double").alias("weather_delay"),
-        (order % 13).cast("double").alias("nas_delay"),
-        F.lit(0.0).alias("security_delay"),
-        (order % 29).cast("double").alias("late_aircraft_delay"),
+    dated = read(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", "o_custkey", "date_add(DATE '2024-01-01', CAST(o_orderkey % 40 AS INT)) AS fl_date",
+        "o_custkey % 25 AS origin_number", "(o_orderkey + o_custkey * 3) % 25 AS dest_number",
+    )
+    return dated.selectExpr(
+        "fl_date", "year(fl_date) AS year", "month(fl_date) AS month", "day(fl_date) AS day_of_month",
+        "weekday(fl_date) + 1 AS day_of_week",
+        "CASE WHEN o_orderkey % 101 <> 7 THEN CAST(o_orderkey AS DOUBLE) END AS op_carrier_fl_num",
+        "concat('N', lpad(origin_number, 2, '0')) AS origin",
+        "concat('City ', origin_number, ', XX') AS origin_city_name",
+        "CASE WHEN o_orderkey % 89 <> 5 THEN concat('N', lpad(dest_number, 2, '0')) END AS dest",
+        "concat('City ', dest_number, ', XX') AS dest_city_name",
+        "(o_orderkey % 24) * 100 + o_orderkey % 60 + (o_custkey % 3) * 0.25D AS crs_dep_time",
+        "CAST(((o_orderkey + 2) % 24) * 100 + o_custkey % 60 AS DOUBLE) AS crs_arr_time",
+        "CAST(o_custkey % 360 + 30 AS DOUBLE) AS crs_elapsed_time",
+        "CAST(o_custkey % 2500 + 100 AS DOUBLE) AS distance",
+        "CAST(nullif(o_orderkey % 11, 10) AS DOUBLE) AS carrier_delay",
+        "CAST(o_custkey % 7 AS DOUBLE) AS weather_delay",
+        "CAST(o_orderkey % 13 AS DOUBLE) AS nas_delay",
+        "0.0D AS security_delay",
+        "CAST(o_orderkey % 29 AS DOUBLE) AS late_aircraft_delay",
     )
 
 
@@ -87,28 +86,25 @@ def _event_k() -> Column:
     return F.get_json_object("props", "$.k").cast("int")
 
 
-def _weather_payload() -> Column:
+def _clock(minutes: str) -> str:
+    return f"concat(lpad(({minutes}) div 60, 2, '0'), ':', lpad(({minutes}) % 60, 2, '0'))"
+
+
+def _weather_payload() -> str:
     """JSON documents including every malformation the parsers must survive."""
-    k = F.col("k")
+    odd = {
+        "showers_sum": "WHEN k % 10 = 0 THEN '\"showers_sum\":[null]'",
+        "rain_sum": "WHEN k = 7 THEN NULL",
+        "snowfall_sum": "WHEN k = 13 THEN '\"snowfall_sum\":[]'",
+        "pressure_msl_mean": "WHEN k = 23 THEN '\"pressure_msl_mean\":[true]'",
+        "cloud_cover_mean": "WHEN k = 29 THEN concat('\"cloud_cover_mean\":[\"', value + k * 9, '\"]')",
+    }
     fragments = []
     for index, field in enumerate(WEATHER_FIELDS):
-        number = (F.col("value") + k * index).cast("string")
-        text = F.concat(F.lit(f'"{field}":['), number, F.lit("]"))
-        if field == "showers_sum":
-            text = F.when(k % 10 == 0, f'"{field}":[null]').otherwise(text)
-        if field == "rain_sum":
-            text = F.when(k != 7, text)
-        if field == "snowfall_sum":
-            text = F.when(k == 13, f'"{field}":[]').otherwise(text)
-        if field == "pressure_msl_mean":
-            text = F.when(k == 23, f'"{field}":[true]').otherwise(text)
-        if field == "cloud_cover_mean":
-            text = F.when(k == 29, F.concat(F.lit(f'"{field}":["'), number, F.lit('"]'))).otherwise(text)
-        fragments.append(text)
-    return (
-        F.when(k == 31, '{"daily":5}').when(k == 37, '{"daily":')
-        .otherwise(F.concat(F.lit('{"daily":{'), F.concat_ws(",", *fragments), F.lit("}}")))
-    )
+        text = f"concat('\"{field}\":[', value + k * {index}, ']')"
+        fragments.append(f"CASE {odd[field]} ELSE {text} END" if field in odd else text)
+    document = f"concat('{{\"daily\":{{', concat_ws(',', {', '.join(fragments)}), '}}}}')"
+    return f"""CASE WHEN k = 31 THEN '{{"daily":5}}' WHEN k = 37 THEN '{{"daily":' ELSE {document} END AS payload"""
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +114,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").cast("date").alias("date"),
         F.lit(WEATHER_ADDRESS).alias("api_url"),
         F.col("ts").alias("fetched_at"),
-        _weather_payload().alias("payload"),
+        F.expr(_weather_payload()),
         F.col("event_id").alias("seq"),
         F.when(F.col("k") == 53, 503).otherwise(200).alias("status_code"),
     )
@@ -130,66 +126,55 @@ def schedule_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     A page lists a junk element and two flights, with clock text in several
     formats; some airport days only ever get errors or malformed pages.
     """
-    event, day, dep_number, dep = F.col("event_id"), F.dayofmonth("date"), F.col("dep_number"), F.col("dep_code")
-    first, second = F.col("first_minutes"), F.col("second_minutes")
-    minutes = ((event * 37 + F.col("user_id") * 13) % 1440).cast("int")
-    pages = read(spark, sf_dir, "events").select(
-        "event_id", _event_k().alias("k"), F.col("ts").cast("date").alias("date"),
-        (F.col("user_id") % 5).alias("dep_number"), code(F.col("user_id") % 5).alias("dep_code"),
-        minutes.alias("first_minutes"), ((minutes + 37) % 1440).alias("second_minutes"),
+    pages = read(spark, sf_dir, "events").selectExpr(
+        "event_id", "CAST(ts AS DATE) AS date", "day(ts) AS day", "user_id % 5 AS dep_number",
+        "concat('N', lpad(user_id % 5, 2, '0')) AS dep_code", "CAST(get_json_object(props, '$.k') AS INT) AS k",
+        "CAST((event_id * 37 + user_id * 13) % 1440 AS INT) AS first_minutes",
+    ).selectExpr("*", "(first_minutes + 37) % 1440 AS second_minutes").selectExpr(
+        "*", *[f"{_clock(minutes)} AS {name}" for name, minutes in (
+            ("first_dep", "first_minutes"), ("first_arr", "(first_minutes + 30 + k) % 1440"),
+            ("second_dep", "second_minutes"), ("second_arr", "(second_minutes + 30 + k) % 1440"),
+        )]
     )
 
-    def arrival(minutes: Column) -> Column:
-        return (minutes + 30 + F.col("k")) % 1440
-
-    def clock(minutes: Column) -> Column:
-        text = clock_text(minutes)
-        return (
-            F.when(event % 4 == 0, text)
-            .when(event % 4 == 1, F.concat(text, F.lit(":00")))
-            .when(event % 4 == 2, F.replace(text, F.lit(":"), F.lit("")))
-            .otherwise(F.concat(F.date_format("date", "yyyy-MM-dd"), F.lit("T"), text, F.lit(":00.000Z")))
-        )
-
-    def flight(dep_code: Column, dep_clock: Column, dest_code: Column, arr_clock: Column) -> Column:
-        return F.to_json(F.struct(
-            F.struct(dep_code.alias("iataCode"), dep_clock.alias("scheduledTime")).alias("departure"),
-            F.struct(dest_code.alias("iataCode"), arr_clock.alias("scheduledTime")).alias("arrival"),
-        ))
-
-    arr_clock = F.when(event % 2 == 0, clock_text(arrival(first))).otherwise(clock(arrival(first)))
+    def written(text: str) -> str:
+        return f"""CASE event_id % 4 WHEN 0 THEN {text} WHEN 1 THEN concat({text}, ':00')
+            WHEN 2 THEN replace({text}, ':', '') ELSE concat(date, 'T', {text}, ':00.000Z') END"""
+
+    def flight(dep_code: str, dep_clock: str, dest_code: str, arr_clock: str) -> str:
+        return f"""to_json(named_struct(
+            'departure', named_struct('iataCode', {dep_code}, 'scheduledTime', {dep_clock}),
+            'arrival', named_struct('iataCode', {dest_code}, 'scheduledTime', {arr_clock})))"""
+
     listed_a = flight(
-        F.when(event % 3 == 0, F.lower(dep)).otherwise(dep), clock(first),
-        F.when(event % 47 == 0, F.lit("ZZY")).otherwise(code(event % 5)), F.when(event % 19 != 0, arr_clock),
-    )
-    listed_b = flight(dep, clock_text(second), code((event + 1) % 5), clock_text(arrival(second)))
-    refused = (day == 3) & (dep_number == 0)
-    payload = (
-        F.when(refused, F.lit(None).cast("string"))
-        .when((day == 5) & (dep_number == 1), '{"data":{"bad":"shape"}}')
-        .when((day == 7) & (dep_number == 2), '{"data":[]}')
-        .otherwise(F.concat(F.lit('{"data":["invalid",'), listed_a, F.lit(","), listed_b, F.lit("]}")))
+        "CASE WHEN event_id % 3 = 0 THEN lower(dep_code) ELSE dep_code END", written("first_dep"),
+        "CASE WHEN event_id % 47 = 0 THEN 'ZZY' ELSE concat('N', lpad(event_id % 5, 2, '0')) END",
+        f"CASE WHEN event_id % 19 = 0 THEN NULL WHEN event_id % 2 = 0 THEN first_arr ELSE {written('first_arr')} END",
     )
-    return pages.select(
-        "date", "dep_code", event.alias("page"),
-        F.when(refused, 503).otherwise(200).alias("status_code"), payload.alias("payload"),
+    listed_b = flight("dep_code", "second_dep", "concat('N', lpad((event_id + 1) % 5, 2, '0'))", "second_arr")
+    return pages.selectExpr(
+        "date", "dep_code", "event_id AS page",
+        "CASE WHEN day = 3 AND dep_number = 0 THEN 503 ELSE 200 END AS status_code",
+        f"""CASE WHEN day = 3 AND dep_number = 0 THEN NULL
+            WHEN day = 5 AND dep_number = 1 THEN '{{"data":{{"bad":"shape"}}}}'
+            WHEN day = 7 AND dep_number = 2 THEN '{{"data":[]}}'
+            ELSE concat('{{"data":["invalid",', {listed_a}, ',', {listed_b}, ']}}') END AS payload""",
     )
 
 
 def scoring_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order as a request as a person would type it, valid or not."""
-    order, cust = F.col("o_orderkey"), F.col("o_custkey")
-    date = F.date_add(F.lit("2024-01-01").cast("date"), (order % 40).cast("int"))
-    dep = code(cust % 5)
-    minutes = ((order * 11) % 1440).cast("int")
-    return read(spark, sf_dir, "orders").select(
-        order.alias("req_id"),
-        F.when(order % 53 == 0, "2024-13-01").otherwise(F.date_format(date, "yyyy-MM-dd")).alias("date"),
-        F.when(order % 61 == 0, "9h").otherwise(F.concat(F.lit(" "), clock_text(minutes))).alias("scheduledDepartureTime"),
-        F.when(order % 41 == 0, "ZZZ").when(order % 17 == 0, F.concat(F.lit(" "), F.lower(dep)))
-        .otherwise(dep).alias("depIataCode"),
-        F.when(order % 43 == 0, "ZZY").when(order % 59 == 0, "TOOL")
-        .otherwise(code((order + cust) % 5)).alias("destIataCode"),
+    return read(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS req_id",
+        """CASE WHEN o_orderkey % 53 = 0 THEN '2024-13-01'
+            ELSE CAST(date_add(DATE '2024-01-01', CAST(o_orderkey % 40 AS INT)) AS STRING) END AS date""",
+        f"""CASE WHEN o_orderkey % 61 = 0 THEN '9h'
+            ELSE concat(' ', {_clock("(o_orderkey * 11) % 1440")}) END AS scheduledDepartureTime""",
+        """CASE WHEN o_orderkey % 41 = 0 THEN 'ZZZ'
+            WHEN o_orderkey % 17 = 0 THEN concat(' n', lpad(o_custkey % 5, 2, '0'))
+            ELSE concat('N', lpad(o_custkey % 5, 2, '0')) END AS depIataCode""",
+        """CASE WHEN o_orderkey % 43 = 0 THEN 'ZZY' WHEN o_orderkey % 59 = 0 THEN 'TOOL'
+            ELSE concat('N', lpad((o_orderkey + o_custkey) % 5, 2, '0')) END AS destIataCode""",
     )
 
 

@@ -1,4 +1,8 @@
-"""Daily weather documents: lenient features for training, strict ones for scoring."""
+"""Daily weather documents: lenient features for training, strict ones for scoring.
+
+The repeated per-field expressions are SQL text, which builds a plan far faster
+than thousands of single Column calls.
+"""
 
 from __future__ import annotations
 
@@ -15,45 +19,39 @@ def parse_daily(payload: Column) -> Column:
     return F.from_json(payload, DAILY_SCHEMA)["daily"]
 
 
-def daily_values(daily: Column) -> list[Column]:
-    """First element of each daily array as DOUBLE, named after its field."""
-    return [F.get(daily[field], F.lit(0)).try_cast("double").alias(field) for field in WEATHER_FIELDS]
+def daily_values(daily: str) -> list[str]:
+    """SQL for the first element of each array of a ``parse_daily`` column, as DOUBLE."""
+    return [f"try_cast(get({daily}.{field}, 0) AS DOUBLE) AS {field}" for field in WEATHER_FIELDS]
 
 
-def _first(document: Column, field: str) -> Column:
-    return F.try_variant_get(document, f"$.daily.{field}[0]", "variant")
+def first_elements(document: str) -> list[str]:
+    """SQL for the first element of each daily array of a VARIANT column, as VARIANT."""
+    return [f"try_variant_get({document}, '$.daily.{field}[0]', 'variant') AS {field}" for field in WEATHER_FIELDS]
 
 
-def _is_number(value: Column) -> Column:
-    kind = F.schema_of_variant(value)
-    return F.coalesce(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), F.lit(False))
+def _is_number(value: str) -> str:
+    kind = f"schema_of_variant({value})"
+    return f"coalesce({kind} IN ('BIGINT', 'DOUBLE', 'FLOAT') OR startswith({kind}, 'DECIMAL'), false)"
 
 
-def strict_fault(document: Column) -> Column:
-    """Why a weather VARIANT cannot be scored, NULL when it can.
+def strict_fault(document: str) -> str:
+    """SQL for why a weather VARIANT cannot be scored, NULL when it can.
 
-    The text has a ``{end}`` slot for the route end. The first failing field in
-    field order is reported, and only the first element of each array counts.
+    Reads the columns of ``first_elements``. The text has an ``{end}`` slot for the
+    route end. The first failing field in field order is reported, and only the
+    first element of each array counts.
     """
-    daily_kind = F.schema_of_variant(F.try_variant_get(document, "$.daily", "variant"))
-    checks = []
+    daily = f"schema_of_variant(try_variant_get({document}, '$.daily', 'variant'))"
+    cases = [f"WHEN NOT coalesce(startswith({daily}, 'OBJECT'), false) THEN '{{end}} weather daily payload was invalid.'"]
     for field in WEATHER_FIELDS:
-        value = _first(document, field)
-        checks.append(
-            F.when(value.isNull(), F.lit(f"{{end}} weather field '{field}' was missing or invalid."))
-            .when(~_is_number(value), F.lit(f"{{end}} weather field '{field}' value was invalid."))
-        )
-    not_object = F.when(
-        ~F.coalesce(daily_kind.startswith("OBJECT"), F.lit(False)),
-        F.lit("{end} weather daily payload was invalid."),
-    )
-    return F.coalesce(not_object, *checks)
-
-
-def strict_values(document: Column) -> list[Column]:
-    """First element of each daily array where it is a JSON number, else NULL."""
+        cases.append(f"WHEN {field} IS NULL THEN \"{{end}} weather field '{field}' was missing or invalid.\"")
+        cases.append(f"WHEN NOT {_is_number(field)} THEN \"{{end}} weather field '{field}' value was invalid.\"")
+    return f"CASE {' '.join(cases)} END AS fault"
+
+
+def strict_values() -> list[str]:
+    """SQL for the ``first_elements`` that are JSON numbers, as DOUBLE, else NULL."""
     return [
-        F.when(_is_number(_first(document, field)),
-               F.try_variant_get(document, f"$.daily.{field}[0]", "double")).alias(field)
+        f"CASE WHEN {_is_number(field)} THEN try_variant_get({field}, '$', 'double') END AS {field}"
         for field in WEATHER_FIELDS
     ]

@@ -28,14 +28,13 @@ def newest_responses(responses: DataFrame) -> DataFrame:
 def weather_values(responses: DataFrame) -> DataFrame:
     """14 typed columns per airport day, each document parsed once."""
     parsed = responses.select("date", "code", parse_daily(F.col("payload")).alias("daily"))
-    return parsed.select("date", "code", *daily_values(F.col("daily")))
+    return parsed.selectExpr("date", "code", *daily_values("daily"))
 
 
 def at_end(weather: DataFrame, end: str, date: str, code: str) -> DataFrame:
     """Weather columns prefixed and keyed for one route end."""
-    return weather.select(
-        F.col("date").alias(date), F.col("code").alias(code),
-        *[F.col(field).alias(f"{end}_{field}") for field in WEATHER_FIELDS],
+    return weather.selectExpr(
+        f"date AS {date}", f"code AS {code}", *[f"{field} AS {end}_{field}" for field in WEATHER_FIELDS]
     )
 
 

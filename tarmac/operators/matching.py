@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tarmac.fields import MATCH_TOLERANCE_MINUTES, MINUTES_PER_DAY
 from tarmac.functions.clock import clock_distance, clock_minutes
 from tarmac.functions.text import nested_text
+from tarmac.operators.settle import settled
 
 ROUTE = ("date", "dep_code", "dest_code")
 
@@ -40,18 +41,19 @@ def schedule_rows(documents: DataFrame) -> DataFrame:
     elements = F.when(F.col("status_code") == 200, F.try_variant_get("document", "$.data", "array<variant>"))
     flights = documents.select("date", "page", F.posexplode(elements).alias("item", "flight"))
     flights = flights.where(F.schema_of_variant("flight").startswith("OBJECT"))
-    return flights.select(
-        "date", "page", "item",
-        *[
-            nested_text(F.col("flight"), parent, child).alias(name)
-            for name, parent, child in (
-                ("dep_code", "departure", "iataCode"),
-                ("dest_code", "arrival", "iataCode"),
-                ("dep_clock", "departure", "scheduledTime"),
-                ("arr_clock", "arrival", "scheduledTime"),
-            )
-        ],
-    ).withColumns({"dep_code": F.upper("dep_code"), "dest_code": F.upper("dest_code")})
+    texts = flights.select("date", "page", "item", *[
+        nested_text(F.col("flight"), parent, child).alias(name)
+        for name, parent, child in (
+            ("dep_code", "departure", "iataCode"),
+            ("dest_code", "arrival", "iataCode"),
+            ("dep_clock", "departure", "scheduledTime"),
+            ("arr_clock", "arrival", "scheduledTime"),
+        )
+    ])
+    return settled(texts.withColumns({
+        "dep_code": F.upper("dep_code"), "dest_code": F.upper("dest_code"),
+        "offered_minutes": clock_minutes(F.col("dep_clock")),
+    }))
 
 
 def schedule_status(documents: DataFrame) -> DataFrame:
@@ -74,6 +76,8 @@ def match_schedule(
 ) -> DataFrame:
     """Add the first scheduled flight, in provider order, near each requested departure.
 
+    ``schedule`` comes from ``schedule_rows``.
+
     ``requests`` needs (date, dep_code, dest_code, dep_minutes); every request is
     kept and ``matched`` is NULL where nothing fits. The result is exact however
     popular a route is, because both sides shrink before they meet:
@@ -89,8 +93,7 @@ def match_schedule(
     width = MINUTES_PER_DAY / slots
 
     offered = (
-        schedule.withColumn("offered_minutes", clock_minutes(F.col("dep_clock")))
-        .where(F.col("offered_minutes").isNotNull())
+        schedule.where(F.col("offered_minutes").isNotNull())
         .groupBy(*ROUTE, "offered_minutes")
         .agg(F.min(F.struct("page", "item", "dep_clock", "arr_clock")).alias("flight"))
         .withColumn("slot", F.floor(F.col("offered_minutes") / width).cast("int"))

@@ -35,21 +35,24 @@ def class_weights(rows: DataFrame, label: str = "significant") -> DataFrame:
 
 def _per_feature(summary: DataFrame, features: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Turn one wide summary row with ``<value>__<feature>`` columns into a row per feature."""
-    entries = F.array(*[
-        F.struct(F.lit(feature).alias("feature"), *[F.col(f"{value}__{feature}").alias(value) for value in values])
-        for feature in features
-    ])
-    return summary.select(F.inline(entries))
+    entries = ", ".join(f"'{feature}', " + ", ".join(f"{value}__{feature}" for value in values) for feature in features)
+    return summary.selectExpr(f"stack({len(features)}, {entries}) AS (feature, {', '.join(values)})")
 
 
 def missing_by_target(rows: DataFrame, features: Sequence[str] = MODEL_FEATURES, label: str = "significant") -> DataFrame:
     """Fraction of missing values per feature and class, worst first; one pass for all features."""
-    summaries = [
-        F.avg(F.when(F.col(label) == value, F.col(feature).isNull().cast("double"))).alias(f"{name}__{feature}")
+    sums = [
+        F.expr(f"count_if({label} = {value} AND {feature} IS NULL) AS {name}__{feature}")
         for feature in features
         for value, name in CLASS_NAMES.items()
     ]
-    return _per_feature(rows.agg(*summaries), features, tuple(CLASS_NAMES.values())).orderBy(
+    sizes = [F.expr(f"count_if({label} = {value}) AS {name}__rows") for value, name in CLASS_NAMES.items()]
+    counts = rows.agg(*sizes, *sums)
+    shares = counts.selectExpr(*[
+        f"try_divide({name}__{feature}, {name}__rows) AS {name}__{feature}"
+        for feature in features for name in CLASS_NAMES.values()
+    ])
+    return _per_feature(shares, features, tuple(CLASS_NAMES.values())).orderBy(
         F.desc("significant"), F.desc("not_significant"), "feature"
     )
 
@@ -57,15 +60,14 @@ def missing_by_target(rows: DataFrame, features: Sequence[str] = MODEL_FEATURES,
 def target_correlation(rows: DataFrame, features: Sequence[str] = NUMERIC_FEATURES, label: str = "significant") -> DataFrame:
     """Pearson correlation of each feature with the label, weakest first; one pass for all.
 
-    A constant column has no correlation and drops out.
+    Expects complete rows. A constant column has no correlation and drops out.
     """
-    target = F.col(label).cast("double")
-    summaries = []
-    for feature in features:
-        value = F.col(feature).cast("double")
-        # pairs with a missing side count for neither moment
-        paired = F.when(value.isNotNull(), target)
-        spread = F.stddev_pop(value) * F.stddev_pop(paired)
-        summaries.append(F.try_divide(F.covar_pop(value, target), spread).alias(f"correlation__{feature}"))
+    summaries = [
+        F.expr(
+            f"try_divide(covar_pop({feature}, {label}), stddev_pop({feature}) * stddev_pop({label})) "
+            f"AS correlation__{feature}"
+        )
+        for feature in features
+    ]
     table = _per_feature(rows.agg(*summaries), features, ("correlation",))
     return table.where(F.col("correlation").isNotNull()).orderBy(F.abs("correlation"), "feature")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,9 +12,10 @@ from tarmac.functions.clock import calendar_parts, clock_minutes, elapsed_minute
 from tarmac.functions.geo import coordinate_status, distance_miles
 from tarmac.functions.requests import miles_text, percent_text, request_errors, risk_label
 from tarmac.functions.text import airport_code
-from tarmac.functions.weather import strict_fault, strict_values
+from tarmac.functions.weather import first_elements, strict_fault, strict_values
 from tarmac.operators.clean import one_per_code
 from tarmac.operators.matching import match_schedule, schedule_documents, schedule_rows, schedule_status
+from tarmac.operators.settle import settled
 from tarmac.operators.state import with_membership
 from tarmac.plans.training import predict
 
@@ -53,31 +52,31 @@ def checked_requests(requests: DataFrame) -> DataFrame:
     text = {name: F.col(name) for name in ("date", "scheduledDepartureTime", "depIataCode", "destIataCode")}
     errors = request_errors(*text.values())
     valid = F.size("request_errors") == 0
-    checked = requests.withColumn("request_errors", errors)
-    return checked.select(
+    checked = requests.withColumn("request_errors", errors).select(
         "req_id", "request_errors", "depIataCode", "destIataCode",
         F.when(valid, text["date"].try_cast("date")).alias("date"),
         F.when(valid, short_clock_minutes(text["scheduledDepartureTime"])).alias("dep_minutes"),
         F.upper("depIataCode").alias("dep_code"), F.upper("destIataCode").alias("dest_code"),
     )
+    return settled(checked)
 
 
 def strict_weather(responses: DataFrame) -> DataFrame:
     """One row per airport day (date, code, status_code, payload) with its fault and 14 values."""
-    parsed = responses.withColumn("document", F.try_parse_json("payload"))
-    absent = (F.col("status_code") != 200) | F.col("payload").isNull() | (F.trim("payload") == "{}")
-    return parsed.select(
-        "date", "code", absent.alias("absent"), "status_code",
-        strict_fault(F.col("document")).alias("fault"), *strict_values(F.col("document")),
+    absent = "status_code <> 200 OR payload IS NULL OR trim(payload) = '{}'"
+    parsed = responses.selectExpr(
+        "date", "code", f"{absent} AS absent", "status_code", "try_parse_json(payload) AS document"
     )
+    kept = ("date", "code", "absent", "status_code")
+    elements = parsed.selectExpr(*kept, "document", *first_elements("document"))
+    return elements.selectExpr(*kept, strict_fault("document"), *strict_values())
 
 
 def _weather_at(weather: DataFrame, end: str, code: str) -> DataFrame:
-    return weather.select(
-        "date", F.col("code").alias(code),
-        F.col("absent").alias(f"{end}_absent"), F.col("status_code").alias(f"{end}_status"),
-        F.replace(F.col("fault"), F.lit("{end}"), F.lit(end)).alias(f"{end}_fault"),
-        *[F.col(field).alias(f"{end}_{field}") for field in WEATHER_FIELDS],
+    return weather.selectExpr(
+        "date", f"code AS {code}", f"absent AS {end}_absent", f"status_code AS {end}_status",
+        f"replace(fault, '{{end}}', '{end}') AS {end}_fault",
+        *[f"{field} AS {end}_{field}" for field in WEATHER_FIELDS],
     )
 
 
@@ -127,44 +126,47 @@ def flight_rows(requests: DataFrame, schedule: DataFrame, airports: DataFrame,
     }).withColumns(flight_columns(strict_clock))
 
 
-def _outcome() -> Column:
-    """First failing stage as a struct of stage, code and message; order is the contract."""
-    def fails(when: Column, stage: str, code: Column | int, message: Column | None = None) -> Column:
-        code = F.lit(code) if isinstance(code, int) else code
-        return F.when(when, F.struct(
-            F.lit(stage).alias("stage"), code.cast("int").alias("status_code"),
-            (F.lit(MESSAGES[stage]) if message is None else message).alias("message"),
-        ))
-
-    def weather_absent(end: str) -> Column:
-        return F.coalesce(F.col(f"{end}_absent"), F.lit(True))
-
-    def weather_code(end: str) -> Column:
-        return F.coalesce(F.when(F.col(f"{end}_status") != 200, F.col(f"{end}_status")), F.lit(502))
-
-    airport_values = [F.col(f"{end}_{part}") for end in ("origin", "dest") for part in ("city_name", "lat", "long")]
-    unparsed = F.col("pred_dep_time").isNull() | F.col("pred_arr_time").isNull()
-    coordinates = coordinate_status(*[F.col(name) for name in ("origin_lat", "origin_long", "dest_lat", "dest_long")])
-    incomplete = reduce(lambda a, b: a | b, [F.col(name).isNull() for name in SCHEDULE_FEATURES])
-    fault = F.col("schedule_fault")
-    ladder = [
-        fails(F.size("request_errors") > 0, "request", 422),
-        fails(~F.col("known_departure"), "departure_airport", 404),
-        fails(F.col("schedule_listed").isNull() | (fault == "absent"), "schedule_absent",
-              F.coalesce("error_code", F.lit(502))),
-        fails(fault == "malformed", "schedule_malformed", 502),
-        fails(F.col("matched").isNull(), "match", 404),
-        fails((F.col("dep_clock") == "") | (F.col("arr_clock") == ""), "times", 502),
-        fails(F.col("origin_found").isNull() | F.col("dest_found").isNull(), "airports", 404),
-        fails(unparsed | reduce(lambda a, b: a | b, [value.isNull() for value in airport_values]), "clocks", 400),
-        fails(coordinates != 200, "distance", coordinates),
-        fails(weather_absent("origin"), "origin_weather", weather_code("origin")),
-        fails(weather_absent("dest"), "dest_weather", weather_code("dest")),
-        fails(F.col("origin_fault").isNotNull(), "origin_weather", 502, F.col("origin_fault")),
-        fails(F.col("dest_fault").isNotNull(), "dest_weather", 502, F.col("dest_fault")),
-        fails(incomplete, "flight_fields", 500),
+def _ladder() -> list[tuple[str, str, str, str | None]]:
+    """(stage, failing condition, status code, own message) in the order they are reported."""
+    airport = [f"{end}_{part} IS NULL" for end in ("origin", "dest") for part in ("city_name", "lat", "long")]
+    coordinates = ["origin_lat", "origin_long", "dest_lat", "dest_long"]
+    weather = []
+    for end in ("origin", "dest"):
+        code = f"CASE WHEN {end}_status <> 200 THEN {end}_status ELSE 502 END"
+        weather.append((f"{end}_weather", f"coalesce({end}_absent, true)", code, None))
+    for end in ("origin", "dest"):
+        weather.append((f"{end}_weather", f"{end}_fault IS NOT NULL", "502", f"{end}_fault"))
+    return [
+        ("request", "size(request_errors) > 0", "422", None),
+        ("departure_airport", "NOT known_departure", "404", None),
+        ("schedule_absent", "schedule_listed IS NULL OR schedule_fault = 'absent'", "coalesce(error_code, 502)", None),
+        ("schedule_malformed", "schedule_fault = 'malformed'", "502", None),
+        ("match", "matched IS NULL", "404", None),
+        ("times", "dep_clock = '' OR arr_clock = ''", "502", None),
+        ("airports", "origin_found IS NULL OR dest_found IS NULL", "404", None),
+        ("clocks", " OR ".join(["pred_dep_time IS NULL", "pred_arr_time IS NULL", *airport]), "400", None),
+        ("distance", "coordinates <> 200", "coordinates", None),
+        *weather,
+        ("flight_fields", " OR ".join(f"{name} IS NULL" for name in SCHEDULE_FEATURES), "500", None),
+        ("complete", "true", "200", None),
     ]
-    return F.coalesce(*ladder, fails(F.lit(True), "complete", 200))
+
+
+def with_outcome(rows: DataFrame) -> DataFrame:
+    """Add stage, status code and message of the first failing stage."""
+    steps = _ladder()
+    at = "CASE " + " ".join(f"WHEN {failing} THEN {step}" for step, (_, failing, _, _) in enumerate(steps)) + " END"
+    coordinates = coordinate_status(*map(F.col, ("origin_lat", "origin_long", "dest_lat", "dest_long")))
+    placed = rows.withColumn("coordinates", coordinates).withColumn("step", F.expr(at))
+
+    def by_step(values: list[str]) -> Column:
+        return F.expr("CASE step " + " ".join(f"WHEN {step} THEN {value}" for step, value in enumerate(values)) + " END")
+
+    return placed.withColumns({
+        "stage": by_step([f"'{stage}'" for stage, *_ in steps]),
+        "status_code": by_step([f"CAST({code} AS INT)" for _, _, code, _ in steps]),
+        "message": by_step([own or f"'{MESSAGES[stage]}'" for stage, _, _, own in steps]),
+    })
 
 
 def request_outcomes(
@@ -194,9 +196,8 @@ def request_outcomes(
         .join(_weather_at(weather, "dest", "destIataCode"), ["date", "destIataCode"], "left")
     )
     rows = flight_rows(placed, schedule_rows(documents), airports, tolerance, strict_clock)
-    result = rows.withColumn("outcome", _outcome())
-    return result.select(
-        "req_id", "outcome.stage", "outcome.status_code", "outcome.message",
+    return with_outcome(rows).select(
+        "req_id", "stage", "status_code", "message",
         "origin_city_name", "dest_city_name", "origin_lat", "origin_long", "dest_lat", "dest_long",
         *MODEL_FEATURES,
     )
@@ -204,9 +205,10 @@ def request_outcomes(
 
 def quarantine(outcomes: DataFrame) -> DataFrame:
     """The failed requests, as error records."""
-    return outcomes.where(F.col("status_code") != 200).select(
+    records = settled(outcomes.select(
         "req_id", "stage", F.col("status_code").alias("code"), F.col("message").alias("description")
-    )
+    ))
+    return records.where(F.col("code") != 200)
 
 
 def score_requests(outcomes: DataFrame, model: PipelineModel) -> DataFrame:
