@@ -26,8 +26,7 @@ COMPLETE = " AND ".join(f"{name} IS NOT NULL" for name in DATASET_COLUMNS)
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dataset before numbering."""
-    weather = features.weather_values(features.newest_responses(views.responses(spark, sf_dir)))
-    return features.dataset_rows(views.flights(spark, sf_dir), weather)
+    return features.dataset_rows(views.flights(spark, sf_dir), features.weather_table(views.responses(spark, sf_dir)))
 
 
 def _dataset(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,8 @@ def total_delay() -> Column:
 def clean_flights(raw: DataFrame) -> DataFrame:
     """Typed, renamed flights; rows without a complete flight key are dropped."""
     require_columns(raw, FLIGHT_COLUMNS, "flights source")
-    keyed = raw.dropna(subset=["fl_date", "op_carrier_fl_num", "origin", "dest"])
+    # plain IS NOT NULL tests, which a Parquet source can skip row groups by
+    keyed = raw.where("fl_date IS NOT NULL AND op_carrier_fl_num IS NOT NULL AND origin IS NOT NULL AND dest IS NOT NULL")
     return keyed.select(
         F.col("fl_date").cast("date").alias("date"),
         *[whole(part, "int").alias(part) for part in ("year", "month", "day_of_month", "day_of_week")],
@@ -41,7 +42,7 @@ def clean_flights(raw: DataFrame) -> DataFrame:
 def clean_airports(raw: DataFrame) -> DataFrame:
     """The four airport columns in use, for rows that have a code."""
     require_columns(raw, AIRPORT_COLUMNS, "airports source")
-    return raw.dropna(subset=["iata_code"]).select(
+    return raw.where("iata_code IS NOT NULL").select(
         F.col("name").cast("string").alias("name"),
         F.col("latitude_deg").cast("double").alias("lat"),
         F.col("longitude_deg").cast("double").alias("long"),

@@ -10,6 +10,7 @@ from tarmac.functions.requests import significant_delay
 from tarmac.functions.weather import daily_values, parse_daily
 from tarmac.operators.ids import dense_id
 from tarmac.operators.state import latest_by_key
+from tarmac.sources.scratch import stage
 
 # The names flights take in the dataset.
 DATASET_NAMES = {
@@ -25,6 +26,17 @@ def newest_responses(responses: DataFrame) -> DataFrame:
     return latest_by_key(responses, ("date", "code"), ("fetched_at", "seq"))
 
 
+def weather_table(responses: DataFrame) -> DataFrame:
+    """The newest values per airport day, written once for the joins at both route ends.
+
+    Both joins then shuffle a plain scan, the shape in which the adaptive planner can
+    split a hot airport day; straight after an aggregation it could not. The two
+    joins also share one parse and an exact size.
+    """
+    needed = responses.select("date", "code", "fetched_at", "seq", "payload")
+    return stage(weather_values(newest_responses(needed)), "weather")
+
+
 def weather_values(responses: DataFrame) -> DataFrame:
     """14 typed columns per airport day, each document parsed once."""
     parsed = responses.select("date", "code", parse_daily(F.col("payload")).alias("daily"))
@@ -41,10 +53,9 @@ def at_end(weather: DataFrame, end: str, date: str, code: str) -> DataFrame:
 def join_weather(flights: DataFrame, weather: DataFrame, date: str = "flight_date") -> DataFrame:
     """Left-join the same weather table at origin and destination.
 
-    Weather has one row per (date, code), so rows never multiply. Both sides read
-    one exchange of the reduced table. There is no broadcast hint: the adaptive
-    planner broadcasts weather when its measured size allows and otherwise splits
-    the flights of a hot airport day over several tasks.
+    Weather has one row per (date, code), so rows never multiply. There is no
+    broadcast hint: the adaptive planner broadcasts weather when its measured size
+    allows and otherwise splits the flights of a hot airport day over several tasks.
     """
     return (
         flights
@@ -63,7 +74,7 @@ def dataset_rows(flights: DataFrame, weather: DataFrame) -> DataFrame:
 
 def model_dataset(flights: DataFrame, responses: DataFrame, order_by: tuple[str, ...] = (), **options) -> DataFrame:
     """The numbered 44-column dataset from clean flights and stored responses."""
-    rows = dataset_rows(flights, weather_values(newest_responses(responses)))
+    rows = dataset_rows(flights, weather_table(responses))
     return dense_id(rows, order_by, **options)
 
 

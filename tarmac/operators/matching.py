@@ -9,6 +9,7 @@ from tarmac.fields import MATCH_TOLERANCE_MINUTES, MINUTES_PER_DAY
 from tarmac.functions.clock import clock_distance, clock_minutes
 from tarmac.functions.text import nested_text
 from tarmac.operators.settle import settled
+from tarmac.sources.scratch import stage
 
 ROUTE = ("date", "dep_code", "dest_code")
 
@@ -76,18 +77,20 @@ def match_schedule(
 ) -> DataFrame:
     """Add the first scheduled flight, in provider order, near each requested departure.
 
-    ``schedule`` comes from ``schedule_rows``.
-
-    ``requests`` needs (date, dep_code, dest_code, dep_minutes); every request is
-    kept and ``matched`` is NULL where nothing fits. The result is exact however
-    popular a route is, because both sides shrink before they meet:
+    ``schedule`` comes from ``schedule_rows``; ``requests`` needs (date, dep_code,
+    dest_code, dep_minutes). Every request is kept and ``matched`` is NULL where
+    nothing fits. The result is exact however popular a route is, because both
+    sides shrink before they meet:
 
     * per route and departure minute only the first flight can win, and requests
       that ask for the same route and minute share one answer, so a route-day has
       at most 1440 rows on either side;
     * rows meet by a clock slot as wide as the tolerance and its two neighbours,
       so no route-day is paired all against all;
-    * the winner is a ``min_by``, which also reduces before its shuffle.
+    * the winner is a ``min``, which also reduces before its shuffle.
+
+    The answers are written once, so that the last join shuffles a plain scan and
+    the adaptive planner can split the requests of a hot route.
     """
     slots = max(MINUTES_PER_DAY // max(tolerance, 1), 1)
     width = MINUTES_PER_DAY / slots
@@ -108,4 +111,4 @@ def match_schedule(
         .groupBy(*ROUTE, "dep_minutes")
         .agg(F.min("flight").alias("matched"))
     )
-    return requests.join(answers, [*ROUTE, "dep_minutes"], "left")
+    return requests.join(stage(answers, "answers"), [*ROUTE, "dep_minutes"], "left")

@@ -18,6 +18,7 @@ from tarmac.operators.matching import match_schedule, schedule_documents, schedu
 from tarmac.operators.settle import settled
 from tarmac.operators.state import with_membership
 from tarmac.plans.training import predict
+from tarmac.sources.scratch import stage
 
 # The messages of each outcome.
 MESSAGES = {
@@ -182,18 +183,20 @@ def request_outcomes(
 
     Each lookup side is reduced to one row per key before it is joined, so a
     request is never multiplied and a hot airport or route costs one row there.
+    The larger lookups are written once: weather is parsed once for both ends, and
+    the joins shuffle plain scans, whose hot keys the adaptive planner can split.
     """
     documents = schedule_documents(schedule_responses)
-    status = schedule_status(documents).withColumn("schedule_listed", F.lit(True))
-    weather = strict_weather(weather_responses)
+    status = stage(schedule_status(documents), "schedule-status").withColumn("schedule_listed", F.lit(True))
+    weather = stage(strict_weather(weather_responses), "strict-weather")
     requests = with_membership(
         checked_requests(requests), "depIataCode", known_codes, "known_departure"
     )
     placed = (
         requests
         .join(status, ["date", "dep_code"], "left")
-        .join(_weather_at(weather, "origin", "depIataCode"), ["date", "depIataCode"], "left")
         .join(_weather_at(weather, "dest", "destIataCode"), ["date", "destIataCode"], "left")
+        .join(_weather_at(weather, "origin", "depIataCode"), ["date", "depIataCode"], "left")
     )
     rows = flight_rows(placed, schedule_rows(documents), airports, tolerance, strict_clock)
     return with_outcome(rows).select(
