@@ -106,7 +106,7 @@ def missing_by_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(with_views("SELECT * FROM (" + " UNION ALL ".join(
-    f"SELECT '{name}' AS feature, round(covar_pop({name}, y) / nullif(stddev_pop({name}) * stddev_pop(y), 0), 9) AS correlation FROM complete"
+    f"SELECT '{name}' AS feature, CASE WHEN min({name}) < max({name}) THEN round(covar_pop({name}, y) / (stddev_pop({name}) * stddev_pop(y)), 9) END AS correlation FROM complete"
     for name in NUMERIC_FEATURES) + ") WHERE correlation IS NOT NULL AND NOT isnan(correlation)", "dataset",
     complete=f"SELECT *, CAST(delay >= 25 AS INTEGER) AS y FROM dataset WHERE {COMPLETE}"))
 def target_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,11 +60,13 @@ def missing_by_target(rows: DataFrame, features: Sequence[str] = MODEL_FEATURES,
 def target_correlation(rows: DataFrame, features: Sequence[str] = NUMERIC_FEATURES, label: str = "significant") -> DataFrame:
     """Pearson correlation of each feature with the label, weakest first; one pass for all.
 
-    Expects complete rows. A constant column has no correlation and drops out.
+    Expects complete rows. A constant column has no correlation and drops out. It
+    is told by its extremes: merging partial moments can leave it a spread of 1e-13.
     """
     summaries = [
         F.expr(
-            f"try_divide(covar_pop({feature}, {label}), stddev_pop({feature}) * stddev_pop({label})) "
+            f"CASE WHEN min({feature}) < max({feature}) AND min({label}) < max({label}) THEN "
+            f"try_divide(covar_pop({feature}, {label}), stddev_pop({feature}) * stddev_pop({label})) END "
             f"AS correlation__{feature}"
         )
         for feature in features
