@@ -304,7 +304,7 @@ def clock_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 def schedule_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_rows(read_documents(views.schedule_responses(spark, sf_dir)))
     return rows.select(
-        "date", "dep_code", "dest_code", "page", "item", clock.clock_minutes(F.col("dep_clock")).alias("dep_minutes"),
+        "date", "dep_code", "dest_code", "page", "item", F.col("offered_minutes").alias("dep_minutes"),
         clock.clock_minutes(F.col("arr_clock")).alias("arr_minutes"),
     )
 

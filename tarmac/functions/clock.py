@@ -9,11 +9,13 @@ from tarmac.fields import MATCH_TOLERANCE_MINUTES, MINUTES_PER_DAY
 
 HOUR = r"(2[0-3]|[01]\d|\d)"
 MINUTE = r"([0-5]\d|\d)"
-COLON_CLOCK = rf"^{HOUR}:{MINUTE}(?::(?:[0-5]\d|\d))?$"
 SHORT_CLOCK = rf"^{HOUR}:{MINUTE}$"
-DIGIT_CLOCK = rf"^{HOUR}{MINUTE}$"
-ISO_CLOCK = (
-    r"^(\d{4}-\d{2}-\d{2}|\d{8})"
+# hour and minute are groups 1 and 2 with a colon, 3 and 4 as bare digits, 6 and 7
+# after an ISO date, which is group 5
+ANY_CLOCK = (
+    rf"^{HOUR}:{MINUTE}(?::(?:[0-5]\d|\d))?$"
+    rf"|^{HOUR}{MINUTE}$"
+    r"|^(\d{4}-\d{2}-\d{2}|\d{8})"
     r"(?:.([01]\d|2[0-3])(?::?([0-5]\d)(?::?[0-5]\d(?:[.,]\d+)?)?)?"
     r"(?:Z|[+-]\d{2}:?\d{2})?)?$"
 )
@@ -23,37 +25,28 @@ def stripped(text: Column) -> Column:
     return F.btrim(text, F.lit(" \t\n\r\f\v"))
 
 
-def _minutes_by(text: Column, pattern: str) -> Column:
-    hour = F.regexp_extract(text, pattern, 1).try_cast("int")
-    minute = F.regexp_extract(text, pattern, 2).try_cast("int")
-    return hour * 60 + minute
-
-
-def _iso_minutes(text: Column) -> Column:
-    digits = F.regexp_replace(F.regexp_extract(text, ISO_CLOCK, 1), "-", "")
-    dashed = F.concat_ws("-", F.substring(digits, 1, 4), F.substring(digits, 5, 2), F.substring(digits, 7, 2))
-    hour = F.coalesce(F.regexp_extract(text, ISO_CLOCK, 2).try_cast("int"), F.lit(0))
-    minute = F.coalesce(F.regexp_extract(text, ISO_CLOCK, 3).try_cast("int"), F.lit(0))
-    return F.when(dashed.try_cast("date").isNotNull(), hour * 60 + minute)
-
-
 def clock_minutes(text: Column) -> Column:
     """Minutes since midnight, NULL when the text is no known clock format.
 
-    Formats are tried in order: ``H:M`` / ``H:M:S``, digits ``HM``, ISO date-time
-    (its own wall clock; any offset is ignored).
+    Known are ``H:M`` and ``H:M:S``, digits ``HM``, and ISO dates with or without a
+    time (its own wall clock; any offset is ignored). One substitution turns all of
+    them into "date hour minute", which no trimmed clock text equals itself.
     """
     clean = stripped(text)
-    return F.coalesce(
-        _minutes_by(clean, COLON_CLOCK),
-        _minutes_by(clean, DIGIT_CLOCK),
-        _iso_minutes(clean),
+    parts = F.regexp_replace(clean, ANY_CLOCK, "$5 $1$3$6 $2$4$7")
+    date, hour, minute = (F.split_part(parts, F.lit(" "), F.lit(place)) for place in (1, 2, 3))
+    dashed = F.when(F.length(date) != 8, date).otherwise(
+        F.concat_ws("-", F.substring(date, 1, 4), F.substring(date, 5, 2), F.substring(date, 7, 2))
     )
+    known = (parts != clean) & ((date == "") | dashed.try_cast("date").isNotNull())
+    return F.when(known, F.coalesce(hour.try_cast("int"), F.lit(0)) * 60 + F.coalesce(minute.try_cast("int"), F.lit(0)))
 
 
 def short_clock_minutes(text: Column) -> Column:
     """Minutes since midnight for plain ``H:M`` text only, without trimming."""
-    return _minutes_by(text, SHORT_CLOCK)
+    hour = F.regexp_extract(text, SHORT_CLOCK, 1).try_cast("int")
+    minute = F.regexp_extract(text, SHORT_CLOCK, 2).try_cast("int")
+    return hour * 60 + minute
 
 
 def clock_text(minutes: Column) -> Column:

@@ -23,16 +23,18 @@ def schedule_documents(responses: DataFrame) -> DataFrame:
     parsed = responses.withColumn("document", F.try_parse_json("payload"))
     data = F.try_variant_get("document", "$.data", "variant")
     kind = F.schema_of_variant(data)
-    number_or_flag = F.try_variant_get(data, "$", "string")
-    first = F.try_variant_get(data, "$[0]", "variant")
-    filled = (
-        F.when(kind.startswith("ARRAY"), first.isNotNull())
-        .when(kind.startswith("OBJECT"), kind != "OBJECT<>")
-        .when(kind == "VOID", F.lit(False))
-        .otherwise(~number_or_flag.isin("", "0", "0.0", "false"))
+    # describing a whole document is slow, so it is left to those without a first flight
+    empty = (
+        F.when(kind.startswith("ARRAY") | (kind == "VOID"), F.lit(True))
+        .when(kind.startswith("OBJECT"), kind == "OBJECT<>")
+        .otherwise(F.try_variant_get(data, "$", "string").isin("", "0", "0.0", "false"))
+    )
+    outcome = (
+        F.when(F.coalesce(F.col("status_code") != 200, F.lit(True)), "absent")
+        .when(F.try_variant_get("document", "$.data[0]", "variant").isNotNull(), "listed")
+        .when(F.coalesce(empty, F.lit(True)), "absent")
+        .otherwise("malformed")
     )
-    usable = F.coalesce((F.col("status_code") == 200) & filled, F.lit(False))
-    outcome = F.when(~usable, "absent").when(kind.startswith("ARRAY"), "listed").otherwise("malformed")
     return parsed.withColumn("outcome", outcome)
 
 

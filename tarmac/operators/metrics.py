@@ -8,6 +8,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarmac.sources.scratch import stage
+
 # Distinct scores ranked by one task when computing the area under the curve.
 SCORES_PER_TASK = 500_000
 
@@ -43,14 +45,15 @@ def score_metrics(rows: DataFrame, label: str = "significant", prediction: str =
 def roc_auc(rows: DataFrame, label: str = "significant", score: str = "probability") -> DataFrame:
     """Area under the ROC curve with ties counted half.
 
-    Rows collapse to distinct scores first, so tied scores cost nothing. Distinct
-    scores are then cut into ranges of near-equal size; each range is ranked by
-    its own task and starts from the negatives of the ranges below it.
+    Rows collapse to distinct scores first, so tied scores cost nothing, and these
+    are written once, since scoring again would cost far more. Distinct scores are
+    then cut into ranges of near-equal size; each range is ranked by its own task
+    and starts from the negatives of the ranges below it.
     """
-    by_score = rows.groupBy(F.col(score).cast("double").alias("score")).agg(
+    by_score = stage(rows.groupBy(F.col(score).cast("double").alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"),
         F.count_if(F.col(label) == 0).alias("neg"),
-    )
+    ), "scores")
     distinct = by_score.count()
     ranges = math.ceil(distinct / SCORES_PER_TASK)
     if ranges > 1:

@@ -60,16 +60,21 @@ def missing_by_target(rows: DataFrame, features: Sequence[str] = MODEL_FEATURES,
 def target_correlation(rows: DataFrame, features: Sequence[str] = NUMERIC_FEATURES, label: str = "significant") -> DataFrame:
     """Pearson correlation of each feature with the label, weakest first; one pass for all.
 
-    Expects complete rows. A constant column has no correlation and drops out. It
-    is told by its extremes: merging partial moments can leave it a spread of 1e-13.
+    Rows turn into (feature number, value) pairs that collapse to one row per
+    feature inside each task: a single aggregate over every feature's moments
+    becomes too large for the JVM to compile. Expects complete rows. A constant
+    column has no correlation and drops out; it is told by its extremes, since
+    merging partial moments can leave it a spread of 1e-13.
     """
-    summaries = [
-        F.expr(
-            f"CASE WHEN min({feature}) < max({feature}) AND min({label}) < max({label}) THEN "
-            f"try_divide(covar_pop({feature}, {label}), stddev_pop({feature}) * stddev_pop({label})) END "
-            f"AS correlation__{feature}"
-        )
-        for feature in features
-    ]
-    table = _per_feature(rows.agg(*summaries), features, ("correlation",))
+    values = F.expr("array(" + ", ".join(f"CAST({feature} AS DOUBLE)" for feature in features) + ")")
+    pairs = rows.select(F.col(label).cast("double").alias("y"), F.posexplode(values).alias("number", "x"))
+    moments = pairs.groupBy("number").agg(
+        F.covar_pop("x", "y").alias("covariance"),
+        (F.stddev_pop("x") * F.stddev_pop("y")).alias("spread"),
+        ((F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))).alias("varies"),
+    )
+    name = F.element_at(F.array(*map(F.lit, features)), F.col("number") + 1)
+    table = moments.where("varies").select(
+        name.alias("feature"), F.try_divide("covariance", "spread").alias("correlation")
+    )
     return table.where(F.col("correlation").isNotNull()).orderBy(F.abs("correlation"), "feature")
