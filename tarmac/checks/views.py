@@ -182,11 +182,6 @@ def _sql_code(number: str) -> str:
     return f"('N' || lpad(CAST({number} AS VARCHAR), 2, '0'))"
 
 
-def _sql_clock(minutes: str) -> str:
-    return (f"(lpad(CAST(({minutes}) // 60 AS VARCHAR), 2, '0') || ':' || "
-            f"lpad(CAST(({minutes}) % 60 AS VARCHAR), 2, '0'))")
-
-
 def _sql_weather_value(index: int, field: str) -> str:
     """Lenient value of one field, straight from the event."""
     number = f"(value + k * {index})"

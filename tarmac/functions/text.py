@@ -13,10 +13,6 @@ def airport_code(text: Column) -> Column:
     return F.upper(F.trim(text))
 
 
-def same_code(a: Column, b: Column) -> Column:
-    return F.upper(a) == F.upper(b)
-
-
 def redact_url(url: Column) -> Column:
     """Replace every secret parameter value, up to the next ``&``."""
     return F.regexp_replace(url, f"({'|'.join(SECRET_PARAMETERS)})[^&]*", "$1=REDACTED")
