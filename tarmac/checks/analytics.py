@@ -485,8 +485,8 @@ SMALL_FOREST = {"numTrees": 10, "maxDepth": 6, "minInstancesPerNode": 10, "featu
 
 
 def _training_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Complete rows of the dataset, which is a written table, with the test rows marked."""
-    return split.train_test(features.training_rows(_dataset(spark, sf_dir)))
+    """Complete rows of the dataset with the test rows marked, stored as training reads them many times."""
+    return stage(split.train_test(features.training_rows(_dataset(spark, sf_dir))), "training")
 
 
 @query(None)

@@ -10,13 +10,20 @@ from pyspark.sql import functions as F
 
 from tarmac.sources.scratch import scratch_path, stage
 
-# One offset row is a file name and a number, well under 200 bytes; beyond this
-# many files the offsets are left to an ordinary join.
-BROADCAST_FILES = 50_000
+# Offsets are two small numbers and a count per file the write made. A million files
+# hold hundreds of terabytes and their offsets stay below 100 MB; beyond that the
+# planner joins by size.
+BROADCAST_FILES = 1_000_000
 
 
 def _position(rows: DataFrame) -> DataFrame:
-    return rows.withColumns({"_file": F.col("_metadata.file_name"), "_row": F.col("_metadata.row_index")})
+    """Add the task and chunk number in the file name and the row index in the file."""
+    file_name = F.col("_metadata.file_name")
+    return rows.withColumns({
+        "_part": F.regexp_extract(file_name, r"^part-(\d+)-", 1).cast("int"),
+        "_chunk": F.regexp_extract(file_name, r"-c(\d+)\.", 1).cast("int"),
+        "_row": F.col("_metadata.row_index"),
+    })
 
 
 def dense_id(
@@ -43,24 +50,21 @@ def dense_id(
         sort_key = list(order_by)
         if not unique_order:
             df = _position(stage(df, "unnumbered"))
-            sort_key += ["_file", "_row"]
+            sort_key += ["_part", "_chunk", "_row"]
         df = df.repartitionByRange(*sort_key).sortWithinPartitions(*sort_key).select(*columns)
     path = path or scratch_path(spark, "numbered")
     df.write.parquet(path)
     written = _position(spark.read.schema(df.schema).parquet(path))
 
-    sizes = written.groupBy("_file").agg(F.count(F.lit(1)).alias("rows")).select(
-        "_file", "rows",
-        F.regexp_extract("_file", r"^part-(\d+)-", 1).cast("bigint").alias("part"),
-        F.regexp_extract("_file", r"-c(\d+)\.", 1).cast("bigint").alias("chunk"),
-    ).collect()
-    ordered = sorted(sizes, key=lambda size: (size.part, size.chunk))
+    sizes = written.groupBy("_part", "_chunk").agg(F.count(F.lit(1)).alias("rows")).collect()
+    ordered = sorted(sizes, key=lambda size: (size._part, size._chunk))
     starts = accumulate((size.rows for size in ordered), initial=0)
     offsets = spark.createDataFrame(
-        [(size._file, start) for size, start in zip(ordered, starts)], "_file string, _start bigint"
+        [(size._part, size._chunk, start) for size, start in zip(ordered, starts)],
+        "_part int, _chunk int, _start bigint",
     )
     if len(ordered) <= BROADCAST_FILES:
         offsets = F.broadcast(offsets)
-    return written.join(offsets, "_file").select(
+    return written.join(offsets, ["_part", "_chunk"]).select(
         (F.col("_start") + F.col("_row") + 1).alias(name), *columns
     )

@@ -40,11 +40,18 @@ class Warehouse:
     def publish(
         self, name: str, df: DataFrame, contract: Contract | None = None, partition_by: Sequence[str] = ()
     ) -> DataFrame:
-        """Write a table and make it current; contract counts are taken during the write."""
+        """Write a table and make it current; contract counts are taken during the write.
+
+        A partitioned table is rebalanced on its partition columns first, so that a
+        task does not write a small file into every folder; the adaptive planner
+        splits the share of a large folder over several tasks.
+        """
         contract = contract or Contract(name, ())
         if contract.columns:
             check_schema(df, contract)
         watched, counts = watch(df, contract)
+        if partition_by:
+            watched = watched.hint("rebalance", *partition_by)
         path = f"{self.root}/{name}/{uuid.uuid4().hex}"
         watched.write.partitionBy(*partition_by).parquet(path)
         faults = row_faults(contract, counts.get) if contract.columns else []
