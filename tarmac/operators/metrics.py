@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from tarmac.sources.scratch import stage
 
-# Distinct scores ranked by one task when computing the area under the curve.
+# Distinct scores ranked by one task when computing the area under the curve, and the
+# most ranges they are cut into; past that a task sorts more of them and spills.
 SCORES_PER_TASK = 500_000
+MAX_RANGES = 4096
 
 
 def confusion(rows: DataFrame, label: str = "significant", prediction: str = "prediction") -> DataFrame:
@@ -55,7 +57,7 @@ def roc_auc(rows: DataFrame, label: str = "significant", score: str = "probabili
         F.count_if(F.col(label) == 0).alias("neg"),
     ), "scores")
     distinct = by_score.count()
-    ranges = math.ceil(distinct / SCORES_PER_TASK)
+    ranges = min(math.ceil(distinct / SCORES_PER_TASK), MAX_RANGES)
     if ranges > 1:
         shares = [i / ranges for i in range(1, ranges)]
         inner = sorted(set(by_score.approxQuantile("score", shares, 0.1 / ranges)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The columns each file must have.
@@ -28,7 +29,7 @@ def require_columns(df: DataFrame, columns: tuple[str, ...], source: str) -> Dat
 
 
 def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
-    """All-text scan of the wanted columns.
+    """All-text scan of the wanted columns; empty text, quoted or not, is NULL.
 
     The header names come from the first file; ``enforceSchema`` off makes Spark
     check every further file's header against them instead of trusting positions.
@@ -37,7 +38,8 @@ def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFr
     header = spark.read.options(**options).csv(path).columns
     schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
     rows = spark.read.options(**options, enforceSchema=False).schema(schema).csv(path)
-    return require_columns(rows, columns, path)
+    wanted = require_columns(rows, columns, path)
+    return wanted.select(*[F.nullif(F.col(name), F.lit("")).alias(name) for name in columns])
 
 
 def read_flights(spark: SparkSession, path: str) -> DataFrame:

@@ -46,6 +46,7 @@ def test_unknown_cause_makes_delay_unknown_and_null_keys_drop(spark, tmp_path):
         '2024-01-01,2024,1,1,1,1,JFK,a,LAX,b,700,1000,360.0,2475,,0,5,0,20',
         '2024-01-01,2024,1,1,1,,JFK,a,LAX,b,700,1000,360.0,2475,1,0,5,0,20',
         '2024-01-01,2024,1,1,1,3,JFK,a,,b,700,1000,360.0,2475,1,0,5,0,20',
+        '2024-01-01,2024,1,1,1,4,"",a,LAX,b,700,1000,360.0,2475,1,0,5,0,20',
     ]
     rows = clean_flights(read_flights(spark, fixtures.flights_csv(tmp_path, lines))).collect()
     assert [(r.flight_number, r.total_delay) for r in rows] == [(1.0, None)]
