@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tarmac.fields import CATEGORICAL_FEATURES, MODEL_FEATURES, NUMERIC_FEATURES
 from tarmac.operators import contracts, metrics, split
 from tarmac.plans import scoring, training
+from tarmac.sources.warehouse import Warehouse
 
 SMALL = {"numTrees": 5, "maxDepth": 4, "minInstancesPerNode": 2, "featureSubsetStrategy": "0.5", "subsamplingRate": 0.9}
 
@@ -37,6 +38,12 @@ def test_fit_save_load_predict(spark, parted, tmp_path):
     assert training.predict(training.load(path), unseen).where("probability IS NOT NULL").count() == test.count()
 
 
+def test_fresh_model_scores_after_publishing_in_the_same_session(spark, parted, tmp_path):
+    train = Warehouse(spark, str(tmp_path / "wh")).publish("rows", parted.where("NOT is_test"))
+    scored = training.predict(training.fit(train, **SMALL), parted.where("is_test"))
+    assert scored.where("probability IS NOT NULL").count() == parted.where("is_test").count()
+
+
 def test_weights_balance_the_classes(parted):
     totals = training.with_weights(parted).groupBy("significant").agg(F.sum("weight").alias("w")).collect()
     assert totals[0].w == pytest.approx(totals[1].w)
