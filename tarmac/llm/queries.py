@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm import exact, langid, mixing, packing, simhash
+from tarmac.llm import exact, langid, mixing, packing, simhash, toxicity, vectors
 from tarmac.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,11 @@ def op6_segmentation_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(documents, model, keep=["doc_id", "held_out"])
 
 
+@_query()
+def op7_itq_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.link_vectors(read(spark, sf_dir, "embeddings"))
+
+
 @_query("""
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
@@ -51,6 +56,15 @@ def op8_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.decisions(read(spark, sf_dir, "documents"))
 
 
+@_query()
+def op9_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id")))
+    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("_doc_id"), F.col("toxic").alias("label"))
+    labelled = documents.where("NOT held_out").join(labels, F.col("doc_id") == F.col("_doc_id")).select(
+        F.col("doc_id").alias("key"), "text", "label")
+    return toxicity.score(documents, toxicity.fit(labelled), keep=["doc_id", "held_out"])
+
+
 @_query(r"""
 WITH sizes AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
