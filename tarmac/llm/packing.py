@@ -155,8 +155,8 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, sequence: int) -> Iterato
     end, width = np.array([SEPARATOR], dtype="<u4").tobytes(), 4 * sequence
     for batch in batches:
         source, piece, start, length, check, rank = [], [], [], [], [], []
-        for row, text in enumerate(batch.column(1)):
-            ids = encoder.ids(text.as_py() or "") + end
+        for row, own in enumerate(encoder.ids_of(text.as_py() or "" for text in batch.column(1))):
+            ids = own + end
             for number, at in enumerate(range(0, len(ids), width)):
                 data = ids[at:at + width]
                 size = len(data) // 4

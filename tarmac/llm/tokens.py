@@ -1,23 +1,34 @@
-"""Token ids by a public tokenizer file, with the ids of white-space separated chunks kept."""
+"""Token ids by the public word tokenizer, with the ids of words and of white-space separated chunks kept."""
 
 from __future__ import annotations
 
 import os
 import re
+import unicodedata
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import regex
 
-# Ids of this many different chunks are kept by each Python worker, about 150 bytes each.
-KEPT_CHUNKS = 600_000
+# Ids of this many different chunks, and of as many words, are kept by each Python worker, about 150 bytes each.
+KEPT = 600_000
+# Texts whose new words are encoded together, and the most characters of such a group but for its last text.
+GROUP_TEXTS, GROUP_CHARACTERS = 256, 4_000_000
 # These characters are white space to Python but not to the tokenizer.
 _ODD = re.compile("[\x1c-\x1f]")
+# The tokenizer's own pattern for words, as its file states it.
+WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+WORD_END = "</w>"
 
 
 class ChunkEncoder:
-    """Encodes a text chunk by chunk, which equals encoding it whole for a word-level tokenizer.
+    """Encodes a text word by word, which equals encoding it whole for a word-level tokenizer.
 
-    The word tokenizer drops white space and never joins characters across it. Texts that hold
-    the name of a special token, or a character that only Python takes for white space, are encoded whole.
+    The word tokenizer drops white space and never joins characters across its words. Words not seen before are
+    encoded by the library as one text and told apart by the ends that its vocabulary marks. Texts that hold the name of a
+    special token, or a character that only Python takes for white space, are encoded whole; so are chunks whose lower case or
+    composed form depends on more than single characters, and chunks with a character that the pattern here and the library class
+    differently, which is tried out once for each character met.
     """
 
     def __init__(self, path: str):
@@ -26,25 +37,83 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[place for name, place in vocabulary.items() if name.endswith(WORD_END)]] = True
         self.kept: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.agreed: set[str] = set(map(chr, range(128)))
+        self.refused = {"\u03a3"}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _try_characters(self, characters: set[str]) -> None:
+        for char in characters:
+            text = f"a{char}b {char}'s"
+            same = b"".join(map(self.whole, WORDS.findall(text.lower()))) == self.whole(text)
+            (self.agreed if same else self.refused).add(char)
+
+    def _learn_words(self, missing: list[str]) -> None:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(missing)], add_special_tokens=False)[0].ids, dtype="<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(missing):
+            self.words.update((word, self.whole(word)) for word in missing)
+            return
+        data, places = ids.tobytes(), (4 * stops).tolist()
+        self.words.update((word, data[start:stop]) for word, start, stop in zip(missing, [0, *places], places))
+
+    def _words(self, chunk: str) -> list[str] | None:
+        """The tokenizer's words of a chunk; None if the library has to say."""
+        if not chunk.isascii():
+            if not self.agreed.issuperset(chunk):
+                self._try_characters(set(chunk) - self.agreed - self.refused)
+                if not self.agreed.issuperset(chunk):
+                    return None
+            if not unicodedata.is_normalized("NFC", chunk):
+                return None
+        lowered = chunk.lower()
+        return [lowered] if lowered.isalpha() else WORDS.findall(lowered)
+
+    def _learn(self, missing: set[str]) -> None:
+        if len(self.kept) + len(missing) > KEPT:
+            self.kept.clear()
+        split = {chunk: self._words(chunk) for chunk in missing}
+        self.kept.update((chunk, self.whole(chunk)) for chunk, words in split.items() if words is None)
+        wanted = {word for words in split.values() if words for word in words}
+        fresh = wanted.difference(self.words)
+        if len(self.words) + len(fresh) > KEPT:
+            self.words.clear()
+            fresh = wanted
+        if fresh:
+            self._learn_words(list(fresh))
+        known = self.words
+        self.kept.update((chunk, known[words[0]] if len(words) == 1 else b"".join(map(known.__getitem__, words)))
+                         for chunk, words in split.items() if words is not None)
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        apart = [_ODD.search(text) or any(token in text for token in self.special) for text in texts]
+        chunks = [[] if odd else text.split() for odd, text in zip(apart, texts)]
+        before = len(self.kept)
+        missing = set().union(*chunks).difference(self.kept)
+        if missing:
+            self._learn(missing)
+            if len(self.kept) < before + len(missing):  # cleared on the way
+                self._learn(set().union(*chunks).difference(self.kept))
+        kept = self.kept.__getitem__
+        return [self.whole(text) if odd else b"".join(map(kept, own)) for odd, text, own in zip(apart, texts, chunks)]
+
+    def ids_of(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers."""
+        group: list[str] = []
+        size = 0
+        for text in texts:
+            group.append(text)
+            size += len(text)
+            if len(group) == GROUP_TEXTS or size > GROUP_CHARACTERS:
+                yield from self._group(group)
+                group, size = [], 0
+        yield from self._group(group)
+
     def ids(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        if _ODD.search(text) or any(token in text for token in self.special):
-            return self.whole(text)
-        chunks = text.split()
-        kept = self.kept
-        try:
-            return b"".join(map(kept.__getitem__, chunks))
-        except KeyError:
-            pass
-        missing = list({chunk for chunk in chunks if chunk not in kept})
-        if len(kept) + len(missing) > KEPT_CHUNKS:
-            kept.clear()
-            missing = list(set(chunks))
-        for chunk, encoded in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-            kept[chunk] = np.array(encoded.ids, dtype="<u4").tobytes()
-        return b"".join(map(kept.__getitem__, chunks))
+        return next(self.ids_of([text]))
