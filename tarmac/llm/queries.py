@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm import exact, langid, mixing, packing, simhash, toxicity, vectors
+from tarmac.llm import exact, langid, mixing, packing, pii, rollups, simhash, toxicity, vectors, warc
 from tarmac.llm.tables import read
+from tarmac.sources.scratch import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +30,33 @@ def op1_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@_query()
+def op2_archive_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The table has no capture time, so pages are a second apart in the order of their ids.
+    return warc.round_trip(read(spark, sf_dir, "pages"), time=F.lit(946684800) + F.col("page_id"))
+
+
+@_query()
+def op3_shape_field_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read(spark, sf_dir, "documents"))
+
+
+@_query()
+def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents inserted; then those of low quality counted anew without repeated lines and the toxic ones deleted, twice."""
+    documents, path = read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
+    version = F.lit("word_bpe_49k").alias("version")
+    rollup = rollups.Rollup(spark, scratch_path(spark, "rollup"))
+    rollup.commit(1, rollups.token_counts(documents, path).select("*", version))
+    judged = documents.join(read(spark, sf_dir, "labels").withColumnRenamed("doc_id", "_doc_id"), F.col("doc_id") == F.col("_doc_id"))
+    shorter = judged.where("quality = 0 AND toxic = 0").withColumn("text", F.expr("array_join(array_distinct(split(text, '\n')), '\n')"))
+    revised = rollups.token_counts(shorter, path).select("*", version)
+    deleted = judged.where("toxic = 1").select(F.col("doc_id").alias("id"), "source", "lang", F.lit(None).cast("bigint").alias("tokens"), version)
+    for _ in range(2):
+        rollup.commit(2, revised.unionByName(deleted))
+    return rollup.totals()
+
+
 @_query()
 def op5_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(read(spark, sf_dir, "documents"))
