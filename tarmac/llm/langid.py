@@ -8,7 +8,7 @@ adds up the probabilities of all segmentations of a word, and a text is scored b
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +31,9 @@ FIT_DOCUMENTS = 3000
 ROUNDS = 3
 SMOOTHING = 0.05
 UNSEEN_LETTER = 1e-7
-KEPT_WORDS = 300_000
+KEPT_WORDS = 500_000
+# New words are scored together for texts of about this many words.
+GROUP_WORDS = 200_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -140,7 +142,7 @@ def _by_length(words: list[str]) -> Iterator[list[str]]:
     start = 0
     while start < len(words):
         width = len(words[start])
-        stop, most = start, max(1, 200_000 // width)
+        stop, most = start, max(1, 60_000 // width)
         while stop < len(words) and len(words[stop]) == width and stop - start < most:
             stop += 1
         yield words[start:stop]
@@ -219,8 +221,6 @@ class Scorer:
         self.scores = np.zeros((4096, len(self.model.languages)))
 
     def learn(self, missing: set[str]) -> None:
-        if len(self.places) + len(missing) > KEPT_WORDS:
-            self.clear()
         need = len(self.places) + len(missing)
         if need > len(self.scores):
             self.scores = np.vstack([self.scores, np.zeros((need, self.scores.shape[1]))])
@@ -230,29 +230,44 @@ class Scorer:
             self.scores[first:first + len(words)] = values
             self.places.update((word[1:], first + i) for i, word in enumerate(words))
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text or "")
-        if not words or not self.model.languages:
-            return UNKNOWN, 0.0
-        total = self.model.shares.copy()
-        for start in range(0, len(words), 50_000):
-            some = words[start:start + 50_000]
-            missing = set(some).difference(self.places)
-            if missing:
-                self.learn(missing)
-                if len(self.places) <= len(missing):  # the store was cleared on the way
-                    self.learn(set(some).difference(self.places))
-            places = np.fromiter(map(self.places.__getitem__, some), dtype=np.int64, count=len(some))
-            total += self.scores[places].sum(axis=0)
-        total -= total.max()
-        best = int(total.argmax())
-        return self.model.languages[best], float(1 / np.exp(total).sum())
+    def predict(self, texts: Iterable[str | None]) -> Iterator[tuple[str, float]]:
+        """Words that are new in a group of texts are scored together."""
+        group: list[list[str]] = []
+        size = 0
+        for text in texts:
+            group.append(words_of(text or ""))
+            size += len(group[-1])
+            if size > GROUP_WORDS:
+                yield from self._group(group)
+                group, size = [], 0
+        yield from self._group(group)
+
+    def _group(self, texts: list[list[str]]) -> Iterator[tuple[str, float]]:
+        if not self.model.languages:
+            yield from ((UNKNOWN, 0.0) for _ in texts)
+            return
+        distinct = set().union(*texts)
+        missing = distinct.difference(self.places)
+        if len(self.places) + len(missing) > KEPT_WORDS:
+            self.clear()
+            missing = distinct
+        if missing:
+            self.learn(missing)
+        for words in texts:
+            if not words:
+                yield UNKNOWN, 0.0
+                continue
+            places = np.fromiter(map(self.places.__getitem__, words), dtype=np.int64, count=len(words))
+            total = self.model.shares + self.scores[places].sum(axis=0)
+            total -= total.max()
+            best = int(total.argmax())
+            yield self.model.languages[best], float(1 / np.exp(total).sum())
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model, place: int) -> Iterator[pa.RecordBatch]:
     scorer = Scorer(model)
     for batch in batches:
-        found = [scorer.predict(text.as_py()) for text in batch.column(place)]
+        found = list(scorer.predict(text.as_py() for text in batch.column(place)))
         yield pa.RecordBatch.from_arrays(
             [*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
             names=[*batch.schema.names, "lang_pred", "score"])
