@@ -11,9 +11,10 @@ of each training text, and is trained again on the worst word of toxic texts aga
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,9 +35,11 @@ COMMON_LANDMARKS = 64
 ROUNDS = 4
 WORST = 4
 FLOOR, CEILING = -1.5, 1.5
-KEPT_WORDS = 300_000
+KEPT_WORDS = 600_000
+GROUP_WORDS = 200_000
 # Characters that stand for a letter in a disguised word.
 STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
+_STANDS_IN = re.compile("[" + re.escape("".join(STAND_INS)) + "]")
 _FIRST, _LAST = 31, 30
 
 
@@ -45,8 +48,13 @@ def letters(chunk: str) -> str:
     lowered = chunk.lower()
     if lowered.isascii() and lowered.isalpha():
         return lowered
-    plain = unicodedata.normalize("NFKD", lowered)
-    out, core = [], plain.rstrip("!$@.,;:?")
+    core = lowered.rstrip("!$@.,;:?")
+    if core.isascii() and core.isalpha():
+        return core
+    core = unicodedata.normalize("NFKD", core)
+    if not _STANDS_IN.search(core):
+        return "".join(filter(str.isalpha, core))
+    out = []
     for char in core:
         if char.isalpha():
             out.append(char)
@@ -58,6 +66,8 @@ def letters(chunk: str) -> str:
 def units(text: str) -> list[str]:
     """White-space chunks, and runs of three or more single letters joined to one more chunk."""
     chunks = text.split()
+    if list(map(len, chunks)).count(1) < 3:
+        return chunks
     run: list[str] = []
     joined = []
     for chunk in chunks:
@@ -112,8 +122,8 @@ def _by_length(words: list[str]) -> Iterator[list[int]]:
         groups.setdefault(len(word), []).append(place)
     for size, places in groups.items():
         if size:
-            for start in range(0, len(places), 20_000):
-                yield places[start:start + 20_000]
+            for start in range(0, len(places), 5000):
+                yield places[start:start + 5000]
 
 
 def dense(words: list[str]) -> np.ndarray:
@@ -166,32 +176,48 @@ class Scorer:
             np.maximum.at(found, np.array([owner[i] for i in places]), self.triples[codes] @ weights + self.bias)
         return found
 
+    def groups(self, texts: Iterable[str | None]) -> Iterator[list[str]]:
+        """The units of each text; units that are new in a group of texts are scored together."""
+        group: list[list[str]] = []
+        size = 0
+        for text in texts:
+            group.append(units(text or ""))
+            size += len(group[-1])
+            if size > GROUP_WORDS:
+                self.learn(set().union(*group))
+                yield from group
+                group, size = [], 0
+        self.learn(set().union(*group))
+        yield from group
+
     def learn(self, chunks: set[str]) -> None:
         missing = chunks.difference(self.kept)
-        if missing:
-            if len(self.kept) + len(missing) > KEPT_WORDS:
-                self.kept.clear()
-                missing = set(chunks)
-            listed = list(missing)
-            self.kept.update(zip(listed, self.margins(listed).tolist()))
-
-    def worst(self, text: str | None) -> np.ndarray:
-        """The three highest margins in the text, repeats included, within FLOOR and CEILING; what is lacking has FLOOR."""
-        chunks = units(text or "")
-        self.learn(set(chunks))
-        margins = np.fromiter(map(self.kept.__getitem__, chunks), dtype=float, count=len(chunks))
-        margins = np.concatenate([margins, np.full(3, FLOOR)])
-        return np.clip(np.sort(np.partition(margins, len(margins) - 3)[-3:])[::-1], FLOOR, CEILING)
-
-    def worst_words(self, text: str | None, number: int) -> list[tuple[str, float]]:
-        chunks = set(units(text or ""))
-        self.learn(chunks)
-        words: dict[str, float] = {}
-        for chunk in chunks:
-            word = letters(chunk)
-            if word:
-                words[word] = max(words.get(word, -np.inf), self.kept[chunk])
-        return sorted(words.items(), key=lambda item: (-item[1], item[0]))[:number]
+        if len(self.kept) + len(missing) > KEPT_WORDS:
+            self.kept.clear()
+            missing = chunks
+        listed = list(missing)
+        self.kept.update(zip(listed, self.margins(listed).tolist()))
+
+    def worst(self, texts: Iterable[str | None]) -> np.ndarray:
+        """The three highest margins in each text, repeats included, within FLOOR and CEILING; what is lacking has FLOOR."""
+        found = []
+        for chunks in self.groups(texts):
+            margins = np.fromiter(map(self.kept.__getitem__, chunks), dtype=float, count=len(chunks))
+            margins = np.concatenate([margins, np.full(3, FLOOR)])
+            found.append(np.sort(np.partition(margins, len(margins) - 3)[-3:])[::-1])
+        return np.clip(np.array(found, dtype=float).reshape(-1, 3), FLOOR, CEILING)
+
+    def worst_words(self, texts: Iterable[str | None], number: int) -> Iterator[list[tuple[str, float]]]:
+        """The different words of each text with the highest margins."""
+        for chunks in self.groups(texts):
+            words: dict[str, float] = {}
+            for chunk in sorted(set(chunks), key=lambda chunk: (-self.kept[chunk], chunk)):
+                if len(words) == number:
+                    break
+                word = letters(chunk)
+                if word:
+                    words.setdefault(word, self.kept[chunk])
+            yield list(words.items())
 
 
 def machine(features: np.ndarray, signs: np.ndarray, weights: np.ndarray, penalty: float = 1.0) -> tuple[np.ndarray, float]:
@@ -235,8 +261,6 @@ def disguised(word: str) -> list[str]:
 
 def _train(positive: Counter, negative: Counter, landmarks: list[str], root: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, float]:
     words = sorted(set(positive) | set(negative))
-    if len(words) > 20_000:  # words above the bound on texts times worst words cannot occur
-        raise ValueError("more training words than texts can give")
     features = kernel_with(words, at) @ root
     rows, signs, weights = [], [], []
     place = {word: i for i, word in enumerate(words)}
@@ -265,8 +289,8 @@ def _witnesses(batches: Iterator[pa.RecordBatch], triples: np.ndarray, bias: flo
     scorer = Scorer(triples, bias)
     for batch in batches:
         rows = []
-        for label, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            best = scorer.worst_words(text.as_py(), number)
+        found = scorer.worst_words((text.as_py() for text in batch.column(1)), number)
+        for label, best in zip(batch.column(0).to_pylist(), found):
             rows += [(label, rank, word[:LONGEST], margin) for rank, (word, margin) in enumerate(best)]
         columns = zip(*rows) if rows else ((), (), (), ())
         kinds = (pa.int32(), pa.int32(), pa.string(), pa.float64())
@@ -329,14 +353,14 @@ def fit(labelled: DataFrame, texts: int = FIT_TEXTS, rounds: int = ROUNDS) -> Mo
 def _margins(batches: Iterator[pa.RecordBatch], triples: np.ndarray, bias: float) -> Iterator[pa.RecordBatch]:
     scorer = Scorer(triples, bias)
     for batch in batches:
-        worst = np.array([scorer.worst(text.as_py()) for text in batch.column(1)], dtype=float).reshape(-1, 3)
+        worst = scorer.worst(text.as_py() for text in batch.column(1))
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(worst[:, i]) for i in range(3))], names=["label", "one", "two", "three"])
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model, place: int) -> Iterator[pa.RecordBatch]:
     scorer = Scorer(model.triples, model.bias)
     for batch in batches:
-        worst = np.array([scorer.worst(text.as_py()) for text in batch.column(place)], dtype=float).reshape(-1, 3)
+        worst = scorer.worst(text.as_py() for text in batch.column(place))
         scores = 1 / (1 + np.exp(-np.clip(worst @ model.slopes + model.offset, -40, 40)))
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
 
