@@ -62,7 +62,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
         "_capped": F.coalesce(F.sum("_cap").over(by_limit.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
         "_weights": F.sum("_weight").over(by_limit.rowsBetween(0, Window.unboundedFollowing)),
     }).withColumn("_level", (F.col("_wanted") - F.col("_capped")) / F.col("_weights"))
-    level = F.min(F.when(F.col("_limit") > F.col("_level"), F.col("_level"))).over(Window.partitionBy(F.lit(1)))
+    # The first source that does not stop has the highest level; later ones count it as if it had.
+    level = F.max(F.when(F.col("_limit") > F.col("_level"), F.col("_level"))).over(Window.partitionBy(F.lit(1)))
     return filled.withColumn("_common", level).select(
         "source", "documents", "source_size",
         F.when(F.col("_limit") <= F.coalesce("_common", "_limit"), F.col("_cap").cast("double"))

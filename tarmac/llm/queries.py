@@ -87,10 +87,9 @@ def op8_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op9_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id")))
-    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("_doc_id"), F.col("toxic").alias("label"))
-    labelled = documents.where("NOT held_out").join(labels, F.col("doc_id") == F.col("_doc_id")).select(
-        F.col("doc_id").alias("key"), "text", "label")
-    return toxicity.score(documents, toxicity.fit(labelled), keep=["doc_id", "held_out"])
+    texts = documents.where("NOT held_out").select(F.col("doc_id").alias("key"), "text")
+    labels = read(spark, sf_dir, "labels").where(~langid.held_out(F.col("doc_id"))).select(F.col("doc_id").alias("key"), F.col("toxic").alias("label"))
+    return toxicity.score(documents, toxicity.fit(texts, labels), keep=["doc_id", "held_out"])
 
 
 @_query(r"""
@@ -108,7 +107,7 @@ WITH sizes AS (
          / sum(weight) OVER (ORDER BY lim, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM limits
 ), targets AS (
   SELECT source, documents, source_size, CASE WHEN lim <= coalesce(common, lim) THEN cap::DOUBLE ELSE weight * common END AS target
-  FROM (SELECT *, min(CASE WHEN lim > level THEN level END) OVER () AS common FROM levels)
+  FROM (SELECT *, max(CASE WHEN lim > level THEN level END) OVER () AS common FROM levels)
 ), dealt AS (
   SELECT s.*, t.source_size, t.target,
          ('0x' || substr(md5('17:shard:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT

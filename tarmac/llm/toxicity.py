@@ -298,17 +298,21 @@ def _witnesses(batches: Iterator[pa.RecordBatch], triples: np.ndarray, bias: flo
                                          names=["label", "rank", "word", "margin"])
 
 
-def fit(labelled: DataFrame, texts: int = FIT_TEXTS, rounds: int = ROUNDS) -> Model:
-    """Train on columns key, text, label (1 toxic); null labels are passed over. Without both labels the score is their share."""
-    rows = labelled.where("label IS NOT NULL").select("key", "text", F.col("label").cast("int").alias("label"))
-    sizes = {row[0]: row[1] for row in rows.groupBy("label").count().collect()}
+def fit(documents: DataFrame, labels: DataFrame, texts: int = FIT_TEXTS, rounds: int = ROUNDS) -> Model:
+    """Train on ``documents`` (key, text) and ``labels`` (key, label; 1 toxic). Null labels and keys are passed over.
+
+    The sample is drawn from the labels alone, so that about 2 * ``texts`` keys at most are broadcast to the texts and no text
+    is shuffled. Of rows that repeat a key in the labels the largest label counts. Without both labels the score is their share.
+    """
+    told = labels.where("label IN (0, 1) AND key IS NOT NULL").groupBy("key").agg(F.max(F.col("label").cast("int")).alias("label"))
+    sizes = {row[0]: row[1] for row in told.groupBy("label").count().collect()}
     if not sizes.get(0) or not sizes.get(1):
         share = 0.999 if sizes.get(1) else 0.001
         return Model(np.zeros(1 << 15), 0.0, np.zeros(3), float(np.log(share / (1 - share))))
-    limits = " ".join(f"WHEN {label} THEN {min(1.0, texts / n) * 1e6:.0f}" for label, n in sizes.items() if label in (0, 1))
-    chosen = stage(rows.where(
-        f"label IN (0, 1) AND pmod(xxhash64(CAST(key AS STRING), 'toxic'), 1000000) < CASE label {limits} END"
-    ).select("label", "text"), "toxic-sample")
+    limits = " ".join(f"WHEN {label} THEN {min(1.0, texts / n) * 1e6:.0f}" for label, n in sizes.items())
+    drawn = stage(told.where(f"pmod(xxhash64(CAST(key AS STRING), 'toxic'), 1000000) < CASE label {limits} END"), "toxic-keys")
+    keys = F.broadcast(drawn.withColumnRenamed("key", "_key"))
+    chosen = stage(documents.join(keys, F.col("key") == F.col("_key")).select("label", "text"), "toxic-sample")
     in_sample = {row[0]: row[1] for row in chosen.groupBy("label").count().collect()}
     if len(in_sample) < 2:
         return Model(np.zeros(1 << 15), 0.0, np.zeros(3), float(np.log(sizes[1] / sizes[0])))
