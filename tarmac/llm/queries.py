@@ -43,17 +43,20 @@ def op3_shape_field_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents inserted; then those of low quality counted anew without repeated lines and the toxic ones deleted, twice."""
+    """All documents inserted; then toxic ones deleted and those of low quality counted anew without repeated lines, twice."""
     documents, path = read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
     version = F.lit("word_bpe_49k").alias("version")
     rollup = rollups.Rollup(spark, scratch_path(spark, "rollup"))
     rollup.commit(1, rollups.token_counts(documents, path).select("*", version))
-    judged = documents.join(read(spark, sf_dir, "labels").withColumnRenamed("doc_id", "_doc_id"), F.col("doc_id") == F.col("_doc_id"))
-    shorter = judged.where("quality = 0 AND toxic = 0").withColumn("text", F.expr("array_join(array_distinct(split(text, '\n')), '\n')"))
-    revised = rollups.token_counts(shorter, path).select("*", version)
-    deleted = judged.where("toxic = 1").select(F.col("doc_id").alias("id"), "source", "lang", F.lit(None).cast("bigint").alias("tokens"), version)
+    lines = F.split("text", "\n")
+    shorter = documents.where(F.size(lines) > F.size(F.array_distinct(lines))).withColumn("text", F.array_join(F.array_distinct(lines), "\n"))
+    labels = read(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    revised = rollups.token_counts(shorter, path).join(labels.where("toxic = 0 AND quality = 0"), F.col("id") == F.col("_id"))
+    deleted = labels.where("toxic = 1").select(
+        F.col("_id").alias("id"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"),
+        F.lit(None).cast("bigint").alias("tokens"), version)
     for _ in range(2):
-        rollup.commit(2, revised.unionByName(deleted))
+        rollup.commit(2, revised.select("id", "source", "lang", "tokens", version).unionByName(deleted))
     return rollup.totals()
 
 
