@@ -3,24 +3,43 @@
 from __future__ import annotations
 
 import os
-import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import regex
 
-# Ids of this many different chunks, and of as many words, are kept by each Python worker, about 150 bytes each.
-KEPT = 600_000
+# Ids of at least so many of the chunks seen last, and of as many words, are kept by each Python worker, and of at most twice
+# as many; about 150 bytes each.
+KEPT = 500_000
 # Texts whose new words are encoded together, and the most characters of such a group but for its last text.
 GROUP_TEXTS, GROUP_CHARACTERS = 256, 4_000_000
 # These characters are white space to Python but not to the tokenizer.
-_ODD = re.compile("[\x1c-\x1f]")
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 # The tokenizer's own pattern for words, as its file states it.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 WORD_END = "</w>"
 
 
+class Recent(dict):
+    """A dictionary of bounded size: when it is full, what was not asked for since the last time goes."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.older: dict = {}
+
+    def lacking(self, keys: set) -> set:
+        """The keys that are in neither generation; those of the older one come back into this one."""
+        missing = {key for key in keys if key not in self}
+        if len(self) + len(missing) > KEPT:
+            self.older = dict(self)
+            self.clear()
+            missing = keys
+        again = {key for key in missing if key in self.older}
+        self.update((key, self.older[key]) for key in again)
+        return missing - again if again else missing
+
+
 class ChunkEncoder:
     """Encodes a text word by word, which equals encoding it whole for a word-level tokenizer.
 
@@ -36,12 +55,11 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.apart = [*_ODD, *(token.content for token in self.tokenizer.get_added_tokens_decoder().values())]
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[place for name, place in vocabulary.items() if name.endswith(WORD_END)]] = True
-        self.kept: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.kept, self.words = Recent(), Recent()
         self.agreed: set[str] = set(map(chr, range(128)))
         self.refused = {"\u03a3"}
 
@@ -76,15 +94,10 @@ class ChunkEncoder:
         return [lowered] if lowered.isalpha() else WORDS.findall(lowered)
 
     def _learn(self, missing: set[str]) -> None:
-        if len(self.kept) + len(missing) > KEPT:
-            self.kept.clear()
         split = {chunk: self._words(chunk) for chunk in missing}
         self.kept.update((chunk, self.whole(chunk)) for chunk, words in split.items() if words is None)
         wanted = {word for words in split.values() if words for word in words}
-        fresh = wanted.difference(self.words)
-        if len(self.words) + len(fresh) > KEPT:
-            self.words.clear()
-            fresh = wanted
+        fresh = self.words.lacking(wanted)
         if fresh:
             self._learn_words(list(fresh))
         known = self.words
@@ -92,16 +105,19 @@ class ChunkEncoder:
                          for chunk, words in split.items() if words is not None)
 
     def _group(self, texts: list[str]) -> list[bytes]:
-        apart = [_ODD.search(text) or any(token in text for token in self.special) for text in texts]
+        apart = [any(token in text for token in self.apart) for text in texts]
         chunks = [[] if odd else text.split() for odd, text in zip(apart, texts)]
-        before = len(self.kept)
-        missing = set().union(*chunks).difference(self.kept)
-        if missing:
-            self._learn(missing)
-            if len(self.kept) < before + len(missing):  # cleared on the way
-                self._learn(set().union(*chunks).difference(self.kept))
-        kept = self.kept.__getitem__
-        return [self.whole(text) if odd else b"".join(map(kept, own)) for odd, text, own in zip(apart, texts, chunks)]
+        found = [list(map(self.kept.get, own)) for own in chunks]
+        new = {chunk for own, values in zip(chunks, found) if None in values
+               for chunk, value in zip(own, values) if value is None}
+        fresh = self.kept.lacking(new)
+        if fresh:
+            self._learn(fresh)
+        get = self.kept.__getitem__
+        for own, values in zip(chunks, found):
+            if None in values:
+                values[:] = [get(chunk) if value is None else value for chunk, value in zip(own, values)]
+        return [self.whole(text) if odd else b"".join(values) for odd, text, values in zip(apart, texts, found)]
 
     def ids_of(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
