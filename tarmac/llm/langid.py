@@ -31,7 +31,7 @@ FIT_DOCUMENTS = 3000
 ROUNDS = 3
 SMOOTHING = 0.05
 UNSEEN_LETTER = 1e-7
-KEPT_WORDS = 500_000
+KEPT_WORDS = 400_000
 # New words are scored together for texts of about this many words.
 GROUP_WORDS = 200_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)

@@ -11,7 +11,7 @@ import regex
 
 # Ids of at least so many of the chunks seen last, and of as many words, are kept by each Python worker, and of at most twice
 # as many; about 150 bytes each.
-KEPT = 500_000
+KEPT = 350_000
 # Texts whose new words are encoded together, and the most characters of such a group but for its last text.
 GROUP_TEXTS, GROUP_CHARACTERS = 256, 4_000_000
 # These characters are white space to Python but not to the tokenizer.
