@@ -13,6 +13,7 @@ from tarmac.functions import clock, geo
 from tarmac.functions.requests import miles_text, percent_text, request_errors, risk_label, significant_delay
 from tarmac.functions.requests import unknown_fields
 from tarmac.operators import contracts, features, metrics, profile, split
+from tarmac.operators.ids import dense_id
 from tarmac.operators.matching import match_schedule
 from tarmac.operators.matching import schedule_documents as read_documents
 from tarmac.operators.matching import schedule_rows as read_rows
@@ -31,7 +32,7 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.model_dataset(
-        views.flights(spark, sf_dir), views.responses(spark, sf_dir), ("flight_num",), unique_order=True
+        views.flights(spark, sf_dir), views.responses(spark, sf_dir), ("flight_number",), unique_order=True
     )
 
 
@@ -57,7 +58,7 @@ def model_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_views(f"""
     SELECT count(*) AS n, count(DISTINCT id) AS ids, min(id) AS first_id, max(id) AS last_id FROM dataset""", "dataset"))
 def dense_id_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbered = features.dense_id(views.flights(spark, sf_dir))
+    numbered = dense_id(views.flights(spark, sf_dir))
     return numbered.agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"),
         F.min("id").alias("first_id"), F.max("id").alias("last_id"),
@@ -68,7 +69,7 @@ def dense_id_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT CAST(flight_number AS BIGINT) AS flight, row_number() OVER (ORDER BY date, origin, flight_number) AS id
     FROM flights""", "flights"))
 def ordered_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbered = features.dense_id(views.flights(spark, sf_dir), ("date", "origin", "flight_number"))
+    numbered = dense_id(views.flights(spark, sf_dir), ("date", "origin", "flight_number"))
     return numbered.select(F.col("flight_number").cast("bigint").alias("flight"), "id")
 
 
@@ -498,11 +499,53 @@ def rf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("id", "significant", "prediction", "probability")
 
 
+# One tree on all rows and features has known answers when the label depends on one feature alone.
+ONE_TREE = {"numTrees": 1, "maxDepth": 2, "minInstancesPerNode": 1, "featureSubsetStrategy": "all", "subsamplingRate": 1.0, "bootstrap": False}
+PLANTED = "origin_weather_code >= 20"
+PLANTED_SQL = f"""
+    SELECT id, CAST({PLANTED} AS INTEGER) AS significant FROM dataset WHERE {COMPLETE}"""
+
+
+def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complete rows whose label is planted on one weather value."""
+    rows = features.training_rows(_dataset(spark, sf_dir))
+    return stage(rows.withColumn("significant", F.expr(f"CAST({PLANTED} AS INT)")), "planted")
+
+
+@query(with_views("SELECT id, significant, significant AS prediction, CAST(significant AS DOUBLE) AS probability FROM planted",
+                  "dataset", planted=PLANTED_SQL))
+def planted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _planted(spark, sf_dir)
+    path = scratch_path(spark, "model")
+    training.save(training.fit(rows, **ONE_TREE), path)
+    return training.predict(training.load(path), rows).select("id", "significant", "prediction", "probability")
+
+
+@query("""
+    SELECT params, CAST(1 AS DOUBLE) AS mean_f1, CAST(0 AS DOUBLE) AS std_f1
+    FROM (VALUES ('bootstrap=False,featureSubsetStrategy=all,maxDepth=1,minInstancesPerNode=1,numTrees=1,subsamplingRate=1.0'),
+        ('bootstrap=False,featureSubsetStrategy=all,maxDepth=2,minInstancesPerNode=1,numTrees=1,subsamplingRate=1.0')) p(params)""")
+def planted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training.search(_planted(spark, sf_dir), [ONE_TREE, {**ONE_TREE, "maxDepth": 1}])
+
+
+@query("""
+    SELECT CAST(1 AS DOUBLE) AS best_cv_f1, CAST(1 AS DOUBLE) AS accuracy, CAST(1 AS DOUBLE) AS precision, CAST(1 AS DOUBLE) AS recall,
+        CAST(1 AS DOUBLE) AS f1, CAST(1 AS DOUBLE) AS roc_auc,
+        'bootstrap=False,featureSubsetStrategy=all,maxDepth=1,minInstancesPerNode=1,numTrees=1,subsamplingRate=1.0' AS params""")
+def planted_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole training run over the dataset with delays planted on one weather value."""
+    path = scratch_path(spark, "runs")
+    delayed = _dataset(spark, sf_dir).withColumn("delay", F.expr(f"IF({PLANTED}, 60D, 0D)"))
+    training.training_run(stage(delayed, "planted-dataset"), path, [ONE_TREE, {**ONE_TREE, "maxDepth": 1}])
+    return spark.read.parquet(path).drop("run_at")
+
+
 @query(None)
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = stage(rf_scores(spark, sf_dir), "scores")
     path = scratch_path(spark, "runs")
-    training.log_run(path, metrics.score_metrics(scored), metrics.roc_auc(scored), None, SMALL_FOREST)
+    draws = [{**SMALL_FOREST, "numTrees": trees, "maxDepth": depth} for trees, depth in ((5, 4), (8, 6))]
+    training.training_run(stage(_dataset(spark, sf_dir), "dataset"), path, draws)
     return spark.read.parquet(path).drop("run_at")
 
 
@@ -510,7 +553,7 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = _training_table(spark, sf_dir).where("NOT is_test")
     draws = [{**SMALL_FOREST, "numTrees": trees, "maxDepth": depth} for trees, depth in ((5, 4), (8, 6))]
-    return training.search_results(training.search(train, draws, parallelism=2), train)
+    return training.search(train, draws)
 
 
 @query(None)

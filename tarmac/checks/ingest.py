@@ -11,12 +11,12 @@ from tarmac.checks.views import with_views
 from tarmac.functions.text import redact_map, redact_url, schedule_url, weather_url
 from tarmac.operators import contracts, state
 from tarmac.operators.clean import clean_airports, clean_flights, one_per_code
-from tarmac.operators.enrich import Reply, RetryPolicy, TransportError, enrich, retry_decision
+from tarmac.operators.enrich import Attempt, Reply, RetryPolicy, TransportError, enrich, retry_decision
 from tarmac.operators.features import dataset_rows, newest_responses, weather_values
 from tarmac.plans import ingest
-from tarmac.sources.csv import read_airports, read_flights
-from tarmac.sources.scratch import scratch_path
-from tarmac.sources.warehouse import Warehouse, table_counts
+from tarmac.sources.csv import AIRPORT_COLUMNS, malformed_lines, read_airports, read_flights
+from tarmac.sources.scratch import scratch_path, stage
+from tarmac.sources.warehouse import Warehouse, describe, table_counts
 from tarmac.streaming.drain import drain_arrivals
 
 FLIGHTS_SQL = with_views("SELECT * FROM flights", "flights")
@@ -52,13 +52,36 @@ def airports_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_airports(read_airports(spark, path))
 
 
+CSV_PARTS = 4
+
+
+@query("""
+    SELECT CAST(o_custkey AS VARCHAR) AS code, o_orderpriority AS name, CAST(NULL AS VARCHAR) AS line FROM orders WHERE o_orderkey % 10 > 1
+    UNION ALL SELECT NULL, NULL, '"' || o_orderpriority || '",1.5,' || CASE WHEN o_orderkey % 10 = 0 THEN '2' ELSE '2,' || o_custkey || ',9' END
+    FROM orders WHERE o_orderkey % 10 < 2""")
+def csv_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good rows and, apart, the raw text of lines with too few or too many fields."""
+    path = scratch_path(spark, "ragged-csv")
+    order = F.col("o_orderkey")
+    front = F.concat(F.lit('"'), F.col("o_orderpriority"), F.lit('",1.5,2'))
+    code = F.concat(F.lit(","), F.col("o_custkey").cast("string"))
+    line = F.when(order % 10 == 0, front).when(order % 10 == 1, F.concat(front, code, F.lit(",9"))).otherwise(F.concat(front, code))
+    lines = views.read(spark, sf_dir, "orders").select(F.pmod(F.xxhash64(order), F.lit(CSV_PARTS)).alias("part"), order.alias("at"), line.alias("value"))
+    header = spark.range(CSV_PARTS).selectExpr("id AS part", "-1L AS at", "'name,latitude_deg,longitude_deg,iata_code' AS value")
+    lines.unionByName(header).repartition("part").sortWithinPartitions("part", "at").drop("at").write.partitionBy("part").text(path)
+    files = f"{path}/part=*/*.txt"
+    good = read_airports(spark, files).select(F.col("iata_code").alias("code"), "name", F.lit(None).cast("string").alias("line"))
+    bad = malformed_lines(spark, files, AIRPORT_COLUMNS)
+    return good.unionByName(bad.select(F.lit(None).cast("string").alias("code"), F.lit(None).cast("string").alias("name"), "line"))
+
+
 @query(FLIGHTS_SQL)
 def published_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     warehouse = Warehouse(spark, scratch_path(spark, "warehouse"))
     flights = views.flights(spark, sf_dir)
     warehouse.publish("flight_data", flights.where(F.col("month") == 1), contracts.FLIGHTS)
     warehouse.publish("flight_data", flights, contracts.FLIGHTS, partition_by=("year", "month"))
-    return warehouse.table("flight_data").select(*contracts.FLIGHTS.names)
+    return contracts.check_schema(warehouse.table("flight_data"), contracts.FLIGHTS)
 
 
 @query(with_views("""
@@ -247,9 +270,17 @@ def redact_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fake_fetch(url: str) -> Reply:
-    """Stands in for a provider: the reply depends only on the address."""
+def fake_fetch(url: str, attempt: Attempt) -> Reply:
+    """Stands in for a provider: the reply depends only on the address and the attempt."""
     day = int(url.split("start_date=")[1][8:10])
+    if day % 7 == 1 and attempt.number == 0:
+        return Reply(429, "slow down")
+    if day % 7 == 2:
+        if attempt.number == 1:
+            raise TimeoutError(f"no answer in {attempt.timeout_seconds:g} s")
+        return Reply(503, "overloaded")
+    if day == 28:
+        raise KeyError("daily")
     if day % 7 == 3:
         raise TransportError("connection reset")
     if day % 7 == 4:
@@ -263,13 +294,14 @@ def fake_fetch(url: str) -> Reply:
 
 NO_WAIT = RetryPolicy(sleep=lambda seconds: None)
 FETCH_SQL = """
-    SELECT date, code, day(date) % 7 NOT IN (3, 4) AS ok,
-        CASE day(date) % 7 WHEN 3 THEN NULL WHEN 4 THEN NULL WHEN 5 THEN '{"data": [1, 2]}'
+    SELECT date, code, day(date) % 7 NOT IN (2, 3, 4) AND day(date) <> 28 AS ok,
+        CASE WHEN day(date) = 28 THEN NULL ELSE CASE day(date) % 7 WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN NULL WHEN 5 THEN '{"data": [1, 2]}'
             WHEN 6 THEN '{"content": "plain text"}'
-            ELSE '{"daily": {"weather_code": [' || CAST(day(date) AS VARCHAR) || ']}}' END AS payload,
-        CAST(CASE day(date) % 7 WHEN 3 THEN 408 WHEN 4 THEN 404 ELSE 200 END AS INTEGER) AS status_code,
-        CASE day(date) % 7 WHEN 3 THEN 'connection reset' WHEN 4 THEN 'no such day' END AS error,
-        CAST(CASE WHEN day(date) % 7 = 3 THEN 3 ELSE 1 END AS INTEGER) AS attempts
+            ELSE '{"daily": {"weather_code": [' || CAST(day(date) AS VARCHAR) || ']}}' END END AS payload,
+        CAST(CASE WHEN day(date) <> 28 THEN CASE day(date) % 7 WHEN 2 THEN 503 WHEN 3 THEN 408 WHEN 4 THEN 404 ELSE 200 END END AS INTEGER) AS status_code,
+        CASE WHEN day(date) = 28 THEN 'KeyError: ' || chr(39) || 'daily' || chr(39) ELSE CASE day(date) % 7
+            WHEN 2 THEN 'overloaded' WHEN 3 THEN 'connection reset' WHEN 4 THEN 'no such day' END END AS error,
+        CAST(CASE WHEN day(date) = 28 THEN 1 ELSE CASE day(date) % 7 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 3 ELSE 1 END END AS INTEGER) AS attempts
     FROM requests"""
 
 
@@ -279,8 +311,8 @@ def enrich_fake(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(with_views("""
-    SELECT count(*) AS claimed, count(*) AS fetched, count(*) FILTER (WHERE ok) AS written,
-        count(*) FILTER (WHERE NOT ok) AS failed_fetch
+    SELECT count(*) AS queued, count(*) AS claimed, count(*) AS fetched, count(*) FILTER (WHERE ok) AS written,
+        count(*) FILTER (WHERE NOT ok) AS failed_fetch, CAST(0 AS BIGINT) AS failed_write
     FROM fetched""", "requests", fetched=FETCH_SQL))
 def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.run_stats(enrich(views.requests(spark, sf_dir), views.WEATHER_ADDRESS, fake_fetch, NO_WAIT))
@@ -304,7 +336,7 @@ def retry_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _open_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     warehouse = Warehouse(spark, scratch_path(spark, "warehouse"))
     requests = warehouse.publish("weather_req_table", views.requests(spark, sf_dir), contracts.WEATHER_REQUESTS)
-    warehouse.append(ingest.LOG, state.open_log(requests))
+    ingest.append_log(warehouse, state.open_log(requests))
     return warehouse
 
 
@@ -343,6 +375,71 @@ def drain_arrivals_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _backfilled(warehouse, ingest.request_log(warehouse))
 
 
+STATES_SQL = with_views("""
+    SELECT date, code, CASE WHEN day(date) % 5 = 0 THEN 'failed' WHEN day(date) % 5 = 1 THEN 'in_progress' WHEN ok THEN 'done' ELSE 'failed' END AS status,
+        CAST(CASE WHEN day(date) % 5 = 4 THEN 1 ELSE 1 + (day(date) % 5 = 2)::INT END AS INTEGER) AS attempt_count,
+        CASE WHEN day(date) % 5 = 0 THEN 'given up' WHEN day(date) % 5 = 1 THEN NULL ELSE error END AS last_error,
+        CAST(CASE WHEN day(date) % 5 = 0 THEN 2 WHEN day(date) % 5 = 1 THEN 1 WHEN day(date) % 5 = 2 THEN 4 WHEN day(date) % 5 = 3 THEN 2 ELSE 2 END AS BIGINT) AS seq,
+        CASE WHEN day(date) % 5 IN (0, 1) THEN NULL ELSE payload END AS payload
+    FROM fetched""", "requests", fetched=FETCH_SQL)
+
+
+@query(STATES_SQL)
+def arrivals_meet_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every request arrives twice: keys that failed or are claimed stay, requeued ones go on, the rest are opened."""
+    warehouse = Warehouse(spark, scratch_path(spark, "warehouse"))
+    requests = warehouse.publish("weather_req_table", views.requests(spark, sf_dir), contracts.WEATHER_REQUESTS)
+    opened, day, now = state.open_log(requests), F.dayofmonth("date") % 5, F.current_timestamp()
+    ingest.append_log(warehouse, opened.where(day < 4))
+    claimed = stage(state.claim_batch(opened.where(day < 3), now), "claimed")
+    ingest.append_log(warehouse, claimed)
+    ingest.append_log(warehouse, state.mark(claimed.where(day == 0), "failed", now, F.lit("given up")))
+    ingest.append_log(warehouse, state.requeue_stale(claimed.where(day == 2), now + F.expr("INTERVAL 1 HOUR"), "1 minute"))
+    arrivals = scratch_path(spark, "arrivals")
+    for _ in range(2):
+        requests.write.mode("append").parquet(arrivals)
+        drain_arrivals(warehouse, arrivals, f"{warehouse.root}/_checkpoint", views.WEATHER_ADDRESS, fake_fetch, NO_WAIT,
+                       lease="1 day").awaitTermination()
+    stored = newest_responses(ingest.responses(warehouse)).select("date", "code", "payload")
+    return state.current_state(ingest.request_log(warehouse)).join(stored, ["date", "code"], "left").select(
+        "date", "code", "status", "attempt_count", "last_error", "seq", "payload")
+
+
+@query(BACKFILL_SQL)
+def drained_in_portions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    warehouse = _open_warehouse(spark, sf_dir)
+    size = max(1, ingest.request_log(warehouse).count() // 3)
+    ingest.drain(warehouse, views.WEATHER_ADDRESS, fake_fetch, NO_WAIT, batch_size=size)
+    return _backfilled(warehouse, ingest.request_log(warehouse))
+
+
+@query(with_views("SELECT c.column_name, c.column_type, n FROM (SELECT count(*) AS n FROM flights), (VALUES " + ", ".join(
+    f"('{name}', '{kind}')" for name, kind in zip(contracts.FLIGHTS.names, (
+        "date", "int", "int", "int", "int", "double", "string", "string", "string", "string", "bigint", "bigint", "double", "double", "double"))
+) + ") c(column_name, column_type)", "flights"))
+def described_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of a published, partitioned table as it is read back, with its recorded number of rows."""
+    warehouse = Warehouse(spark, scratch_path(spark, "warehouse"))
+    warehouse.publish("flight_data", views.flights(spark, sf_dir), contracts.FLIGHTS, partition_by=("year", "month"))
+    return describe(warehouse.table("flight_data")).crossJoin(ingest.audit(warehouse).select(F.col("row_count").alias("n")))
+
+
+@query(with_views("""
+    SELECT 'weather_response_raw has ' || count(*) || ' keys [''code'', ''date''] in more than one row' AS refusal
+    FROM (SELECT 1 FROM weather_events GROUP BY code, date HAVING count(*) > 1)""", "weather_events"))
+def refused_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that repeats its key is not published; the refusal says how many keys are repeated."""
+    warehouse = Warehouse(spark, scratch_path(spark, "warehouse"))
+    stored = views.responses(spark, sf_dir).withColumn("api_url", F.lit("https://provider.example"))
+    try:
+        warehouse.publish("weather_response_raw", stored.select(*contracts.WEATHER_RAW.names), contracts.WEATHER_RAW)
+        refusal = None
+    except contracts.ContractBroken as broken:
+        refusal = str(broken)
+    return warehouse.current().where("false").select("name").unionByName(
+        spark.range(1).select(F.lit(refusal).cast("string").alias("name"))).withColumnRenamed("name", "refusal")
+
+
 @query(with_views("""
     SELECT code, min(name) AS name, count(*) AS requests_served
     FROM (SELECT r.code, a.name FROM requests r JOIN airports a ON a.code = r.code) GROUP BY code""",

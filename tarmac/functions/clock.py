@@ -10,14 +10,14 @@ from tarmac.fields import MATCH_TOLERANCE_MINUTES, MINUTES_PER_DAY
 HOUR = r"(2[0-3]|[01]\d|\d)"
 MINUTE = r"([0-5]\d|\d)"
 SHORT_CLOCK = rf"^{HOUR}:{MINUTE}$"
-# hour and minute are groups 1 and 2 with a colon, 3 and 4 as bare digits, 6 and 7
-# after an ISO date, which is group 5
+# hour and minute are groups 1 and 2 with a colon, 3 and 4 as bare digits, 6 and 7 or 8 (without
+# and with a colon) after an ISO date, which is group 5; separators are used throughout or not at all
 ANY_CLOCK = (
     rf"^{HOUR}:{MINUTE}(?::(?:[0-5]\d|\d))?$"
     rf"|^{HOUR}{MINUTE}$"
     r"|^(\d{4}-\d{2}-\d{2}|\d{8})"
-    r"(?:.([01]\d|2[0-3])(?::?([0-5]\d)(?::?[0-5]\d(?:[.,]\d+)?)?)?"
-    r"(?:Z|[+-]\d{2}:?\d{2})?)?$"
+    r"(?:.([01]\d|2[0-3])(?:([0-5]\d)(?:[0-5]\d(?:[.,]\d+)?)?|:([0-5]\d)(?::[0-5]\d(?:[.,]\d+)?)?)?"
+    r"(?:Z|[+-](?:[01]\d|2[0-3])(?:[0-5]\d(?:[0-5]\d(?:[.,]\d+)?)?|:[0-5]\d(?::[0-5]\d(?:[.,]\d+)?)?)?)?)?$"
 )
 
 
@@ -33,7 +33,7 @@ def clock_minutes(text: Column) -> Column:
     them into "date hour minute", which no trimmed clock text equals itself.
     """
     clean = stripped(text)
-    parts = F.regexp_replace(clean, ANY_CLOCK, "$5 $1$3$6 $2$4$7")
+    parts = F.regexp_replace(clean, ANY_CLOCK, "$5 $1$3$6 $2$4$7$8")
     date, hour, minute = (F.split_part(parts, F.lit(" "), F.lit(place)) for place in (1, 2, 3))
     dashed = F.when(F.length(date) != 8, date).otherwise(
         F.concat_ws("-", F.substring(date, 1, 4), F.substring(date, 5, 2), F.substring(date, 7, 2))

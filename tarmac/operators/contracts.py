@@ -135,6 +135,11 @@ def row_faults(contract: Contract, counts: dict[str, int]) -> list[str]:
     return faults
 
 
+def repeated_keys(df: DataFrame, contract: Contract) -> int:
+    """How many keys more than one row holds; 0 for a contract without a key."""
+    return key_violations(df, contract.key).count() if contract.key else 0
+
+
 def contract_report(df: DataFrame, contract: Contract) -> DataFrame:
     """One row per check with the number of failing rows, from a single pass."""
     counts = check_schema(df, contract).agg(*row_counts(contract))

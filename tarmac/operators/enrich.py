@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -21,6 +22,17 @@ OUTCOME = (
 )
 
 
+# About so many lookups go to one task when the caller names no number of tasks.
+LOOKUPS_PER_TASK = 500
+
+
+class Attempt(NamedTuple):
+    """What a fetch function is told beside the address: the attempt, from 0, and how long it may take."""
+
+    number: int
+    timeout_seconds: float
+
+
 class Reply(NamedTuple):
     """What a fetch function returns for one address."""
 
@@ -34,16 +46,25 @@ class TransportError(Exception):
 
 @dataclass(frozen=True)
 class RetryPolicy:
-    # Attempts, retryable statuses and backoff.
+    # Attempts, time for each, retryable statuses and backoff.
     attempts: int = 3
+    timeout_seconds: float = 25.0
     retryable: tuple[int, ...] = (408, 429, 500, 502, 503, 504)
     delay_seconds: float = 3.0
     exhausted_status: int = 408
     sleep: Callable[[float], None] = field(default=time.sleep)
 
 
+def decide(status: int | None, attempt: int, policy: RetryPolicy) -> str:
+    """``done``, ``retry`` or ``failed`` for a status (None: no response) on a 0-based attempt."""
+    if status is not None and 200 <= status <= 299:
+        return "done"
+    temporary = status is None or status in policy.retryable
+    return "retry" if temporary and attempt < policy.attempts - 1 else "failed"
+
+
 def retry_decision(status: Column, attempt: Column, policy: RetryPolicy = RetryPolicy()) -> Column:
-    """``done``, ``retry`` or ``failed`` for a status (NULL: no response) on a 0-based attempt."""
+    """``decide`` as a column, for statuses in a table."""
     temporary = status.isNull() | status.isin(*policy.retryable)
     return (
         F.when(status.between(200, 299), "done")
@@ -61,20 +82,25 @@ def as_document(text: str) -> str:
     return text if isinstance(value, dict) else json.dumps({"data": value})
 
 
-def call(fetch: Callable[[str], Reply], url: str, policy: RetryPolicy) -> tuple:
-    """(ok, payload, status, error, attempts) of one lookup under the retry policy."""
+def call(fetch: Callable[[str, Attempt], Reply], url: str, policy: RetryPolicy) -> tuple:
+    """(ok, payload, status, error, attempts) of one lookup under the retry policy.
+
+    A lost connection or a timeout counts as no response. Any other error of the fetch function fails this lookup with
+    its text and leaves the others alone.
+    """
     for attempt in range(policy.attempts):
-        last = attempt == policy.attempts - 1
+        status, text = None, ""
         try:
-            reply = fetch(url)
-        except TransportError as failure:
-            if last:
-                return False, None, policy.exhausted_status, str(failure), attempt + 1
-        else:
-            if 200 <= reply.status < 300:
-                return True, as_document(reply.text), reply.status, None, attempt + 1
-            if last or reply.status not in policy.retryable:
-                return False, None, reply.status, reply.text, attempt + 1
+            status, text = fetch(url, Attempt(attempt, policy.timeout_seconds))
+        except (TransportError, OSError) as failure:
+            text = str(failure) or type(failure).__name__
+        except Exception as failure:
+            return False, None, None, f"{type(failure).__name__}: {failure}", attempt + 1
+        decision = decide(status, attempt, policy)
+        if decision == "done":
+            return True, as_document(text), status, None, attempt + 1
+        if decision == "failed":
+            return False, None, policy.exhausted_status if status is None else status, text, attempt + 1
         policy.sleep(policy.delay_seconds * 2**attempt)
     raise ValueError("a retry policy needs at least one attempt")
 
@@ -82,7 +108,7 @@ def call(fetch: Callable[[str], Reply], url: str, policy: RetryPolicy) -> tuple:
 def enrich(
     requests: DataFrame,
     base_url: str,
-    fetch: Callable[[str], Reply],
+    fetch: Callable[[str, Attempt], Reply],
     policy: RetryPolicy = RetryPolicy(),
     partitions: int | None = None,
     threads: int = 10,
@@ -91,14 +117,16 @@ def enrich(
 
     Lookups run inside the tasks, ``threads`` at a time, one Arrow batch in memory.
     At most ``threads`` x running tasks are in flight; ``partitions`` bounds it
-    further. Lookups repeat when a task is retried, so write the result once
+    further and otherwise follows the number of requests. A named number of tasks is kept as it is, while the adaptive
+    planner would merge them by their few bytes. Lookups repeat when a task is retried, so write the result once
     before using it twice.
     """
     addressed = requests.select(
         "date", "code", weather_url(base_url, F.col("lat"), F.col("long"), F.col("date")).alias("api_url")
     )
     # distinct keys, so hashing them spreads the lookups evenly
-    spread = addressed.repartition(*([partitions] if partitions else []), "date", "code")
+    tasks = partitions or max(1, math.ceil(requests.count() / LOOKUPS_PER_TASK))
+    spread = addressed.repartition(tasks, "date", "code")
 
     def lookup(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(threads) as pool:
@@ -106,7 +134,7 @@ def enrich(
                 replies = list(pool.map(lambda url: call(fetch, url, policy), batch["api_url"]))
                 outcome = pd.DataFrame(
                     replies, columns=["ok", "payload", "status_code", "error", "attempts"], index=batch.index
-                )
+                ).astype({"status_code": "Int32"})
                 yield pd.concat([batch, outcome], axis=1)
 
     return spread.mapInPandas(lookup, OUTCOME).withColumn("api_url", redact_url(F.col("api_url")))

@@ -21,6 +21,14 @@ DATASET_NAMES = {
 }
 
 
+# Numbers follow the flights themselves, not where a join left them. Rows that agree in all of these are alike to the model
+# but for their cities and delay, which come last.
+NATURAL_ORDER = (
+    "date", "origin", "dest", "flight_number", "pred_dep_time", "pred_arr_time", "pred_elapsed_time", "distance", "total_delay",
+    "origin_city_name", "dest_city_name",
+)
+
+
 def newest_responses(responses: DataFrame) -> DataFrame:
     """One stored response per airport day: the last one fetched."""
     return latest_by_key(responses, ("date", "code"), ("fetched_at", "seq"))
@@ -72,10 +80,14 @@ def dataset_rows(flights: DataFrame, weather: DataFrame) -> DataFrame:
     return joined.select(*renamed.columns, *ends)
 
 
-def model_dataset(flights: DataFrame, responses: DataFrame, order_by: tuple[str, ...] = (), **options) -> DataFrame:
-    """The numbered 44-column dataset from clean flights and stored responses."""
-    rows = dataset_rows(flights, weather_table(responses))
-    return dense_id(rows, order_by, **options)
+def model_dataset(flights: DataFrame, responses: DataFrame, order_by: tuple[str, ...] = NATURAL_ORDER, **options) -> DataFrame:
+    """The numbered 44-column dataset from clean flights and stored responses.
+
+    The narrow flights are numbered, in the order of their own columns; the joins keep one row per flight.
+    """
+    numbered = dense_id(flights, order_by, **options)
+    rows = dataset_rows(numbered, weather_table(responses))
+    return rows.select("id", *[name for name in rows.columns if name != "id"])
 
 
 def first_rows(dataset: DataFrame, cap: int) -> DataFrame:

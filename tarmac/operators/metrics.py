@@ -10,10 +10,8 @@ from pyspark.sql import functions as F
 
 from tarmac.sources.scratch import stage
 
-# Distinct scores ranked by one task when computing the area under the curve, and the
-# most ranges they are cut into; past that a task sorts more of them and spills.
+# About so many distinct scores are ranked by one task when computing the area under the curve.
 SCORES_PER_TASK = 500_000
-MAX_RANGES = 4096
 
 
 def confusion(rows: DataFrame, label: str = "significant", prediction: str = "prediction") -> DataFrame:
@@ -57,7 +55,7 @@ def roc_auc(rows: DataFrame, label: str = "significant", score: str = "probabili
         F.count_if(F.col(label) == 0).alias("neg"),
     ), "scores")
     distinct = by_score.count()
-    ranges = min(math.ceil(distinct / SCORES_PER_TASK), MAX_RANGES)
+    ranges = math.ceil(distinct / SCORES_PER_TASK)
     if ranges > 1:
         shares = [i / ranges for i in range(1, ranges)]
         inner = sorted(set(by_score.approxQuantile("score", shares, 0.1 / ranges)))
@@ -72,8 +70,8 @@ def roc_auc(rows: DataFrame, label: str = "significant", score: str = "probabili
     )
     within = Window.partitionBy("range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     ranked = ranged.withColumn("below", F.coalesce(F.sum("neg").over(within), F.lit(0)))
-    # one row per range, at most `ranges` + 1 of them
-    placed = ranked.join(F.broadcast(starts), "range")
+    # one row per range; the planner broadcasts them by their measured size
+    placed = ranked.join(starts, "range")
     wins = F.sum(F.col("pos") * ((F.col("start") + F.col("below")).cast("double") + F.col("neg") / 2))
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
     return placed.agg(

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarmac.fields import MODEL_FEATURES, NUMERIC_FEATURES
 
@@ -40,9 +41,10 @@ def _per_feature(summary: DataFrame, features: Sequence[str], values: Sequence[s
 
 
 def missing_by_target(rows: DataFrame, features: Sequence[str] = MODEL_FEATURES, label: str = "significant") -> DataFrame:
-    """Fraction of missing values per feature and class, worst first; one pass for all features."""
+    """Fraction of NULL and NaN values per feature and class, worst first; one pass for all features."""
+    real = {field.name for field in rows.schema if isinstance(field.dataType, (T.DoubleType, T.FloatType))}
     sums = [
-        F.expr(f"count_if({label} = {value} AND {feature} IS NULL) AS {name}__{feature}")
+        F.expr(f"count_if({label} = {value} AND ({feature} IS NULL{f' OR isnan({feature})' if feature in real else ''})) AS {name}__{feature}")
         for feature in features
         for value, name in CLASS_NAMES.items()
     ]

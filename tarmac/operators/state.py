@@ -30,8 +30,11 @@ def current_state(log: DataFrame) -> DataFrame:
 
 
 def open_log(requests: DataFrame) -> DataFrame:
-    """First log rows for new requests, one per key."""
-    return requests.dropDuplicates(list(KEY)).withColumn("seq", F.lit(0).cast("bigint"))
+    """First log rows for new requests, one per key: the smallest of rows that repeat it."""
+    rest = [name for name in requests.columns if name not in KEY]
+    first = requests.groupBy(*KEY).agg(F.min(F.struct(*rest)).alias("first"))
+    return first.select(*KEY, *(F.col(f"first.{name}").alias(name) for name in rest)).select(
+        *requests.columns, F.lit(0).cast("bigint").alias("seq"))
 
 
 def _transition(rows: DataFrame, status: str, now: Column, **changes: Column) -> DataFrame:
@@ -88,11 +91,17 @@ def with_membership(df: DataFrame, code: str, known: DataFrame, flag: str) -> Da
 
 
 def run_stats(outcomes: DataFrame) -> DataFrame:
-    """Counts of one enrichment run; ``fetched`` includes failed fetches."""
+    """Counts of one enrichment run; ``fetched`` includes failed fetches.
+
+    Every claimed request is queued for a lookup. Outcomes are stored as a whole, so a write that fails ends the run and
+    none of its rows counts as written.
+    """
     ok = F.col("ok")
     return outcomes.agg(
+        F.count(F.lit(1)).alias("queued"),
         F.count(F.lit(1)).alias("claimed"),
         F.count(F.lit(1)).alias("fetched"),
         F.count_if(ok).alias("written"),
         F.count_if(~ok).alias("failed_fetch"),
+        F.lit(0).cast("bigint").alias("failed_write"),
     )

@@ -3,27 +3,43 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarmac.operators import contracts, state
 from tarmac.operators.clean import clean_airports, clean_flights, enrichment_requests
-from tarmac.operators.enrich import Reply, RetryPolicy, enrich
-from tarmac.operators.features import model_dataset
-from tarmac.sources.csv import read_airports, read_flights
-from tarmac.sources.scratch import stage
-from tarmac.sources.warehouse import Warehouse, table_counts
+from tarmac.operators.enrich import OUTCOME, Attempt, Reply, RetryPolicy, enrich
+from tarmac.operators.features import NATURAL_ORDER, model_dataset
+from tarmac.operators.ids import dense_id
+from tarmac.sources.csv import AIRPORT_COLUMNS, FLIGHT_COLUMNS, MalformedLines, malformed_lines, read_airports, read_flights
+from tarmac.sources.scratch import scratch_path, stage
+from tarmac.sources.warehouse import Warehouse
 
 LOG = "weather_req_log"
 RESPONSES = "weather_responses"
 RESPONSE_COLUMNS = "code string, date date, api_url string, fetched_at timestamp, payload string, seq bigint"
+# Both logs lie in folders by the month of their keys.
+MONTH = "date_format(date, 'yyyy-MM')"
 
 
-def build_sources(warehouse: Warehouse, flights_csv: str, airports_csv: str) -> DataFrame:
-    """Clean both CSV sources, publish them and open the request log."""
+def _sound(warehouse: Warehouse, name: str, lines: DataFrame, quarantine: bool) -> None:
+    """Publish the malformed lines of a source as ``<name>_malformed``, or refuse the source if there are any."""
+    if quarantine:
+        warehouse.publish(f"{name}_malformed", lines)
+    elif not lines.isEmpty():
+        raise MalformedLines(f"{name} has lines with another number of fields than its header")
+
+
+def build_sources(warehouse: Warehouse, flights_csv: str, airports_csv: str, quarantine: bool = False) -> DataFrame:
+    """Clean both CSV sources, publish them and open the request log.
+
+    Malformed lines stop the build unless ``quarantine`` asks for them as tables beside the good rows.
+    """
     spark = warehouse.spark
+    _sound(warehouse, "flight_data", malformed_lines(spark, flights_csv, FLIGHT_COLUMNS), quarantine)
+    _sound(warehouse, "airport_data", malformed_lines(spark, airports_csv, AIRPORT_COLUMNS), quarantine)
     flights = warehouse.publish(
         "flight_data", clean_flights(read_flights(spark, flights_csv)), contracts.FLIGHTS
     )
@@ -33,19 +49,40 @@ def build_sources(warehouse: Warehouse, flights_csv: str, airports_csv: str) ->
     requests = warehouse.publish(
         "weather_req_table", enrichment_requests(flights, airports), contracts.WEATHER_REQUESTS
     )
-    known = warehouse.log(LOG, state.open_log(requests).schema)
+    known = request_log(warehouse, requests)
     fresh = state.open_log(requests).join(known.select(*state.KEY).distinct(), list(state.KEY), "left_anti")
-    warehouse.append(LOG, fresh)
+    append_log(warehouse, fresh)
     return requests
 
 
-def request_log(warehouse: Warehouse) -> DataFrame:
-    return warehouse.log(LOG, state.open_log(warehouse.table("weather_req_table")).schema)
+def _months(keys: DataFrame) -> list[str]:
+    """The calendar months of some keys; a thousand years have 12,000."""
+    return [row.month for row in keys.selectExpr(f"{MONTH} AS month").distinct().collect()]
+
+
+def _log_schema(warehouse: Warehouse) -> T.StructType:
+    return state.open_log(warehouse.table("weather_req_table")).schema
+
 
+def append_log(warehouse: Warehouse, rows: DataFrame) -> None:
+    warehouse.append(LOG, rows.withColumn("month", F.expr(MONTH)), partition_by=("month",))
 
-def responses(warehouse: Warehouse) -> DataFrame:
+
+def request_log(warehouse: Warehouse, keys: DataFrame | None = None) -> DataFrame:
+    """The request log, or its rows of the given keys, of which only the months are read."""
+    return _log_of(warehouse, LOG, _log_schema(warehouse), keys)
+
+
+def _log_of(warehouse: Warehouse, name: str, schema: T.StructType, keys: DataFrame | None) -> DataFrame:
+    rows = warehouse.log(name, T.StructType([*schema.fields, T.StructField("month", T.StringType())]))
+    if keys is not None:
+        rows = rows.where(F.col("month").isin(_months(keys))).join(keys.select(*state.KEY).distinct(), list(state.KEY), "left_semi")
+    return rows.select(*schema.names)
+
+
+def responses(warehouse: Warehouse, keys: DataFrame | None = None) -> DataFrame:
     empty = warehouse.spark.createDataFrame([], RESPONSE_COLUMNS)
-    return warehouse.log(RESPONSES, empty.schema)
+    return _log_of(warehouse, RESPONSES, empty.schema, keys)
 
 
 def store_outcomes(warehouse: Warehouse, claimed: DataFrame, outcomes: DataFrame) -> None:
@@ -53,18 +90,33 @@ def store_outcomes(warehouse: Warehouse, claimed: DataFrame, outcomes: DataFrame
     now = F.current_timestamp()
     arrived = outcomes.where("ok").join(claimed.select(*state.KEY, "seq"), list(state.KEY))
     warehouse.append(RESPONSES, arrived.select(
-        "code", "date", "api_url", now.alias("fetched_at"), "payload", "seq"
-    ))
+        "code", "date", "api_url", now.alias("fetched_at"), "payload", "seq", F.expr(MONTH).alias("month")
+    ), partition_by=("month",))
     results = claimed.join(outcomes.select(*state.KEY, "ok", "error"), list(state.KEY))
     done = state.mark(results.where("ok"), "done", now)
     failed = state.mark(results.where("NOT ok"), "failed", now, F.coalesce("error", F.lit("missing payload")))
-    warehouse.append(LOG, done.unionByName(failed).select(*claimed.columns))
+    append_log(warehouse, done.unionByName(failed).select(*claimed.columns))
+
+
+def requeue(warehouse: Warehouse, lease: str) -> None:
+    """Return claims older than the lease to the queue."""
+    stale = state.requeue_stale(state.current_state(request_log(warehouse)), F.current_timestamp(), lease)
+    append_log(warehouse, stage(stale, "requeued"))
+
+
+def answer(warehouse: Warehouse, claimed: DataFrame, base_url: str, fetch: Callable[[str, Attempt], Reply],
+           policy: RetryPolicy, partitions: int | None, threads: int) -> DataFrame:
+    """Log a staged claim, look it up and record the outcomes, which are returned as a written table."""
+    append_log(warehouse, claimed)
+    outcomes = stage(enrich(claimed, base_url, fetch, policy, partitions, threads), "outcomes")
+    store_outcomes(warehouse, claimed, outcomes)
+    return outcomes
 
 
 def backfill(
     warehouse: Warehouse,
     base_url: str,
-    fetch: Callable[[str], Reply],
+    fetch: Callable[[str, Attempt], Reply],
     policy: RetryPolicy = RetryPolicy(),
     batch_size: int | None = None,
     partitions: int | None = None,
@@ -76,30 +128,38 @@ def backfill(
     Without a batch size one pass drains everything that is pending. Failed
     requests are final. Returns the run's statistics.
     """
-    now = F.current_timestamp()
-    stale = state.requeue_stale(state.current_state(request_log(warehouse)), now, lease)
-    warehouse.append(LOG, stage(stale, "requeued"))
-    claimed = stage(state.claim_batch(state.current_state(request_log(warehouse)), now, batch_size), "claimed")
-    warehouse.append(LOG, claimed)
-    outcomes = stage(enrich(claimed, base_url, fetch, policy, partitions, threads), "outcomes")
-    store_outcomes(warehouse, claimed, outcomes)
-    return state.run_stats(outcomes)
+    requeue(warehouse, lease)
+    current = state.current_state(request_log(warehouse))
+    claimed = stage(state.claim_batch(current, F.current_timestamp(), batch_size), "claimed")
+    return state.run_stats(answer(warehouse, claimed, base_url, fetch, policy, partitions, threads))
 
 
-def drain(warehouse: Warehouse, base_url: str, fetch: Callable[[str], Reply], **options) -> DataFrame:
-    """Backfill until nothing is pending and return the statistics of all batches.
+def drain(
+    warehouse: Warehouse,
+    base_url: str,
+    fetch: Callable[[str, Attempt], Reply],
+    policy: RetryPolicy = RetryPolicy(),
+    batch_size: int = 100_000,
+    partitions: int | None = None,
+    threads: int = 10,
+    lease: str = "1 minute",
+) -> DataFrame:
+    """Answer everything that is pending in portions, each recorded before the next begins.
 
-    Only useful with a batch size, when the provider wants small portions; each
-    turn still is one distributed job over its batch.
+    The log is read and the queue ordered once; portions are ranges of the numbered queue, so a run that breaks off repeats
+    at most one portion. Returns the statistics of the run.
     """
-    runs = []
-    while True:
-        stats = backfill(warehouse, base_url, fetch, **options)
-        runs.append(stats)
-        if stats.select("claimed").collect()[0].claimed == 0:
-            break
-    totals = [F.sum(name).alias(name) for name in runs[0].columns]
-    return reduce(DataFrame.unionByName, runs).agg(*totals)
+    requeue(warehouse, lease)
+    pending = state.current_state(request_log(warehouse)).where("status = 'pending'")
+    queue = stage(dense_id(pending, state.KEY, "turn", unique_order=True), "queue")
+    outcomes = scratch_path(warehouse.spark, "outcomes")
+    empty = warehouse.spark.createDataFrame([], OUTCOME)
+    empty.write.parquet(outcomes)
+    for start in range(0, queue.count(), batch_size):
+        portion = queue.where(F.col("turn").between(start + 1, start + batch_size)).drop("turn")
+        claimed = stage(state.claim_batch(portion, F.current_timestamp()), "claimed")
+        answer(warehouse, claimed, base_url, fetch, policy, partitions, threads).write.mode("append").parquet(outcomes)
+    return state.run_stats(warehouse.spark.read.schema(empty.schema).parquet(outcomes))
 
 
 def compact_responses(warehouse: Warehouse) -> DataFrame:
@@ -110,8 +170,8 @@ def compact_responses(warehouse: Warehouse) -> DataFrame:
     )
 
 
-def build_model_dataset(warehouse: Warehouse, order_by: tuple[str, ...] = ()) -> DataFrame:
-    """Publish the wide dataset, partitioned by year and month."""
+def build_model_dataset(warehouse: Warehouse, order_by: tuple[str, ...] = NATURAL_ORDER) -> DataFrame:
+    """Publish the wide dataset, numbered by flight and partitioned by year and month."""
     dataset = model_dataset(warehouse.table("flight_data"), responses(warehouse), order_by)
     return warehouse.publish(
         "model_dataset", dataset, contracts.MODEL_DATASET, partition_by=("year", "month")
@@ -119,6 +179,5 @@ def build_model_dataset(warehouse: Warehouse, order_by: tuple[str, ...] = ()) ->
 
 
 def audit(warehouse: Warehouse) -> DataFrame:
-    """Row counts of the published tables."""
-    names = [row.name for row in warehouse.current().select("name").collect()]
-    return table_counts({name: warehouse.table(name) for name in sorted(names)})
+    """Row counts of the published tables, as counted when they were published."""
+    return warehouse.current().select(F.col("name").alias("table_name"), F.col("rows").alias("row_count"))

@@ -4,20 +4,21 @@ from __future__ import annotations
 
 import random
 from math import prod
+from statistics import mean, pstdev
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.fields import CATEGORICAL_FEATURES, NUMERIC_FEATURES
-from tarmac.operators.features import scoring_features
+from tarmac.operators.features import scoring_features, training_rows
+from tarmac.operators.metrics import roc_auc, score_metrics
 from tarmac.operators.profile import class_weights
-from tarmac.operators.split import folds
+from tarmac.operators.split import folds, train_test
+from tarmac.sources.scratch import stage
 
 # The search grid, in MLlib terms. A depth of None is MLlib's maximum.
 GRID: dict[str, list] = {
@@ -94,37 +95,50 @@ def draw_parameters(draws: int = 24, seed: int = 1, grid: dict[str, list] = GRID
     return maps
 
 
-def search(train: DataFrame, draws: list[dict] | None = None, parallelism: int = 4, seed: int = 1) -> CrossValidatorModel:
-    """Three-fold search by F1 of class 1 over exactly stratified folds.
+def search(train: DataFrame, draws: list[dict] | None = None, seed: int = 1, folds_of: int = 3) -> DataFrame:
+    """Cross-validated F1 of class 1 for each drawn combination: params, mean_f1, std_f1, best first.
 
-    ``train`` should be a stored table: every draw and fold reads it again.
+    The folds are exactly stratified and written once. Indexer, encoder and assembler are fitted once per fold, and its feature
+    vectors are written once for all draws of that fold; only draws times folds numbers reach the driver.
     """
-    classifier = forest()
-    maps = [
-        {classifier.getParam(name): DEEPEST if value is None else value for name, value in chosen.items()}
-        for chosen in (draws or draw_parameters(seed=seed))
-    ]
-    validator = CrossValidator(
-        estimator=Pipeline(stages=[*feature_stages(), classifier]),
-        estimatorParamMaps=maps,
-        evaluator=MulticlassClassificationEvaluator(
-            labelCol="significant", metricName="fMeasureByLabel", metricLabel=1.0
-        ),
-        numFolds=3, foldCol="fold", parallelism=parallelism, seed=seed,
-    )
-    return validator.fit(prepare(folds(train, 3, seed=seed)))
+    draws = draws or draw_parameters(seed=seed)
+    assigned = stage(prepare(folds(train, folds_of, seed=seed)), "folds")
+    scores: list[list[float]] = [[] for _ in draws]
+    for fold in range(folds_of):
+        features = Pipeline(stages=feature_stages()).fit(assigned.where(F.col("fold") != fold))
+        vectors = stage(features.transform(assigned).select("fold", "significant", "weight", "features"), "fold-vectors")
+        learn, held = vectors.where(F.col("fold") != fold), vectors.where(F.col("fold") == fold)
+        for chosen, own in zip(draws, scores):
+            scored = forest(**chosen).fit(learn).transform(held)
+            own.append(score_metrics(scored).first().f1)
+    rows = [(params_text(chosen), mean(own), pstdev(own)) for chosen, own in zip(draws, scores)]
+    return train.sparkSession.createDataFrame(rows, "params string, mean_f1 double, std_f1 double").orderBy(
+        F.desc("mean_f1"), "params")
 
 
-def search_results(model: CrossValidatorModel, train: DataFrame) -> DataFrame:
-    """Mean and spread of F1 per drawn combination, best first."""
-    rows = [
-        (",".join(f"{param.name}={value}" for param, value in sorted(chosen.items(), key=lambda kv: kv[0].name)),
-         float(mean), float(spread))
-        for chosen, mean, spread in zip(model.getEstimatorParamMaps(), model.avgMetrics, model.stdMetrics)
-    ]
-    return train.sparkSession.createDataFrame(
-        rows, "params string, mean_f1 double, std_f1 double"
-    ).orderBy(F.desc("mean_f1"), "params")
+def params_text(chosen: dict) -> str:
+    return ",".join(f"{name}={DEEPEST if value is None else value}" for name, value in sorted(chosen.items()))
+
+
+def best_parameters(results: DataFrame, draws: list[dict]) -> tuple[dict, float]:
+    """The drawn combination with the best mean F1, ties by its text, and that F1."""
+    best = results.orderBy(F.desc("mean_f1"), "params").first()
+    return next(chosen for chosen in draws if params_text(chosen) == best.params), best.mean_f1
+
+
+def training_run(dataset: DataFrame, path: str, draws: list[dict] | None = None, cap: int | None = None, seed: int = 1) -> PipelineModel:
+    """Split the stored dataset, search, fit the best parameters, test them and append the run to the table at ``path``.
+
+    ``cap`` bounds the labelled rows by id. Returns the fitted model; the log has the best cross-validation F1 and parameters.
+    """
+    parted = stage(train_test(training_rows(dataset, cap)), "training")
+    learn, test = parted.where("NOT is_test"), parted.where("is_test")
+    draws = draws or draw_parameters(seed=seed)
+    chosen, best_f1 = best_parameters(search(learn, draws, seed), draws)
+    model = fit(learn, **chosen)
+    scored = stage(predict(model, test).select("significant", "prediction", "probability"), "test-scores")
+    log_run(path, score_metrics(scored), roc_auc(scored), best_f1, chosen)
+    return model
 
 
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
@@ -169,7 +183,7 @@ def baseline_scores(train: DataFrame, test: DataFrame, key: str = "id", seed: in
 
 def log_run(path: str, metrics: DataFrame, auc: DataFrame, best_f1: float | None, params: dict) -> None:
     """Append one run's metrics and parameters to a results table."""
-    text = ",".join(f"{name}={value}" for name, value in sorted(params.items()))
+    text = params_text(params)
     scores = metrics.select("accuracy", "precision", "recall", "f1").collect()[0]
     row = auc.select(
         F.current_timestamp().alias("run_at"), F.lit(best_f1).cast("double").alias("best_cv_f1"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Sequence
 from functools import reduce
@@ -11,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarmac.operators.contracts import Contract, ContractBroken, check_schema, row_counts, row_faults
+from tarmac.operators.contracts import Contract, ContractBroken, check_schema, repeated_keys, row_counts, row_faults
 
-PUBLISHED = "name string, path string, rows bigint, published_at timestamp"
+PUBLISHED = "name string, path string, rows bigint, columns string, published_at timestamp"
 
 
 class Warehouse:
@@ -55,11 +56,13 @@ class Warehouse:
         written = self._read(path, df.schema)
         counts = written.agg(*row_counts(contract or Contract(name, ()))).collect()[0].asDict()
         faults = row_faults(contract, counts) if contract else []
+        if contract and (repeated := repeated_keys(written, contract)):
+            faults.append(f"{name} has {repeated} keys {list(contract.key)} in more than one row")
         if faults:
             raise ContractBroken("; ".join(faults))
         record = self.spark.range(1).select(
             F.lit(name).alias("name"), F.lit(path).alias("path"),
-            F.lit(counts["rows"]).cast("bigint").alias("rows"),
+            F.lit(counts["rows"]).cast("bigint").alias("rows"), F.lit(df.schema.json()).alias("columns"),
             F.current_timestamp().alias("published_at"),
         )
         record.write.mode("append").parquet(self.ledger_path)
@@ -70,14 +73,15 @@ class Warehouse:
 
     def current(self) -> DataFrame:
         """One row per table: where its newest version lies."""
-        newest = F.max_by(F.struct("path", "rows"), "published_at").alias("newest")
+        newest = F.max_by(F.struct("path", "rows", "columns"), "published_at").alias("newest")
         return self._ledger().groupBy("name").agg(newest).select("name", "newest.*")
 
     def table(self, name: str) -> DataFrame:
-        found = self.current().where(F.col("name") == name).select("path").collect()
+        """The newest version with the columns it was published with, in their order."""
+        found = self.current().where(F.col("name") == name).select("path", "columns").collect()
         if not found:
             raise LookupError(f"no published table {name}")
-        return self.spark.read.parquet(found[0].path)
+        return self._read(found[0].path, T.StructType.fromJson(json.loads(found[0].columns)))
 
     def table_or_empty(self, name: str, schema: str | T.StructType) -> DataFrame:
         try:

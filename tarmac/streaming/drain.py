@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tarmac.operators import state
-from tarmac.operators.enrich import Reply, RetryPolicy, enrich
-from tarmac.plans.ingest import LOG, responses, store_outcomes
+from tarmac.operators.enrich import Attempt, Reply, RetryPolicy
+from tarmac.plans.ingest import answer, append_log, request_log
 from tarmac.sources.scratch import stage
 from tarmac.sources.warehouse import Warehouse
 
@@ -20,28 +20,33 @@ def drain_arrivals(
     arrivals: str,
     checkpoint: str,
     base_url: str,
-    fetch: Callable[[str], Reply],
+    fetch: Callable[[str, Attempt], Reply],
     policy: RetryPolicy = RetryPolicy(),
     partitions: int | None = None,
     threads: int = 10,
     files_per_batch: int = 1000,
+    lease: str = "1 minute",
 ) -> StreamingQuery:
     """Answer request files that arrived since the last run, then stop.
 
-    The checkpoint remembers which files were handled. A batch that is replayed
-    after a failure skips the keys that already have a response, and a key that
-    is looked up twice keeps the newer answer, so replays are harmless.
+    The checkpoint remembers which files were handled. Arrivals meet the state that the log has for their keys, of which only
+    the months are read: new keys are opened, pending ones go on from their state, and those done, failed or claimed by
+    someone else stay as they are. A claim that a broken run left behind returns to the queue after the lease, by a later
+    arrival or a backfill.
     """
     columns = warehouse.table("weather_req_table").schema
     opened = state.open_log(warehouse.spark.createDataFrame([], columns)).schema
 
     def handle(batch: DataFrame, _: int) -> None:
-        fresh = state.open_log(batch.select(*columns.names))
-        todo = state.outstanding(fresh, responses(warehouse))
-        claimed = stage(state.claim_batch(todo, F.current_timestamp()).select(*opened.names), "arrivals")
-        warehouse.append(LOG, claimed)
-        outcomes = stage(enrich(claimed, base_url, fetch, policy, partitions, threads), "outcomes")
-        store_outcomes(warehouse, claimed, outcomes)
+        now = F.current_timestamp()
+        arrived = stage(state.open_log(batch.select(*columns.names)), "arrivals")
+        known = stage(state.current_state(request_log(warehouse, arrived)).select(*opened.names), "known-arrivals")
+        stale = stage(state.requeue_stale(known, now, lease).select(*opened.names), "requeued")
+        append_log(warehouse, stale)
+        fresh = arrived.join(known.select(*state.KEY), list(state.KEY), "left_anti").select(*opened.names)
+        waiting = known.where("status = 'pending'").unionByName(stale).unionByName(fresh)
+        claimed = stage(state.claim_batch(waiting, now).select(*opened.names), "claimed")
+        answer(warehouse, claimed, base_url, fetch, policy, partitions, threads)
 
     incoming = (
         warehouse.spark.readStream.schema(columns)

@@ -20,7 +20,7 @@ RESPONSE = "code string, date date, fetched_at timestamp, payload string, seq bi
 
 def responses(spark, rows):
     return spark.createDataFrame(
-        [(code, date(2024, 1, 1), datetime(2024, 1, 2, hour), payload, seq) for code, hour, payload, seq in rows], RESPONSE
+        [(code, date(2023, 5, 2), datetime(2023, 5, 3, hour), payload, seq) for code, hour, payload, seq in rows], RESPONSE
     )
 
 
@@ -31,13 +31,13 @@ def flights(spark, tmp_path):
 
 def test_model_dataset_keeps_every_flight_and_the_newest_weather(spark, flights):
     stored = responses(spark, [
-        ("JFK", 1, fixtures.weather_document(1.0), 1), ("JFK", 5, fixtures.weather_document(5.0), 2),
-        ("JFK", 3, fixtures.weather_document(3.0), 3), ("LAX", 1, fixtures.weather_document(2.0, rain_sum=[None]), 4),
+        ("BOI", 1, fixtures.weather_document(1.0), 1), ("BOI", 5, fixtures.weather_document(5.0), 2),
+        ("BOI", 3, fixtures.weather_document(3.0), 3), ("OMA", 1, fixtures.weather_document(2.0, rain_sum=[None]), 4),
     ])
-    dataset = features.model_dataset(flights, stored, ("flight_num",))
+    dataset = features.model_dataset(flights, stored, ("flight_number",))
     contracts.check_schema(dataset, contracts.MODEL_DATASET)
     rows = dataset.orderBy("id").collect()
-    assert [(r.id, r.flight_num) for r in rows] == [(1, 101.0), (2, 102.0), (3, 103.0)]
+    assert [(r.id, r.flight_num) for r in rows] == [(1, 211.0), (2, 318.0), (3, 427.0)]
     assert [(r.origin_weather_code, r.dest_weather_code, r.dest_rain_sum) for r in rows] == [
         (5.0, 2.0, None), (2.0, None, None), (5.0, 2.0, None)
     ]
@@ -49,12 +49,13 @@ def test_model_dataset_keeps_every_flight_and_the_newest_weather(spark, flights)
 def test_published_dataset_is_partitioned(spark, flights, tmp_path):
     warehouse = Warehouse(spark, str(tmp_path / "wh"))
     warehouse.publish("flight_data", flights, contracts.FLIGHTS)
-    warehouse.append(ingest.RESPONSES, responses(spark, [("JFK", 1, fixtures.weather_document(), 1)]).withColumn(
-        "api_url", F.lit("u")).select("code", "date", "api_url", "fetched_at", "payload", "seq"))
+    warehouse.append(ingest.RESPONSES, responses(spark, [("BOI", 1, fixtures.weather_document(), 1)]).withColumn(
+        "api_url", F.lit("u")).select("code", "date", "api_url", "fetched_at", "payload", "seq", F.expr(ingest.MONTH).alias("month")),
+        partition_by=("month",))
     dataset = ingest.build_model_dataset(warehouse)
     assert dataset.columns == contracts.MODEL_DATASET.names
     assert sorted(r.id for r in dataset.collect()) == [1, 2, 3]
-    assert "PartitionFilters: [isnotnull(year" in dataset.where("year = 2024")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(year" in dataset.where("year = 2023")._jdf.queryExecution().toString()
 
 
 @pytest.mark.parametrize("order, unique", [((), False), (("k",), False), (("k", "v"), True)])
@@ -71,16 +72,16 @@ def test_dense_id_has_no_gaps(spark, order, unique):
         assert in_order == sorted(in_order)
 
 
-def test_copies_are_spread_when_ordering(spark):
+def test_copies_are_spread_when_ordering(spark, tmp_path):
     copies = spark.range(20000).select(F.lit(1).alias("k"), F.lit("same").alias("v")).repartition(8)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        numbered = dense_id(copies, ("k",))
+        numbered = dense_id(copies, ("k",), path=str(tmp_path / "numbered"))
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     per_file = numbered.groupBy(F.floor((F.col("id") - 1) / 5000)).count().collect()
     assert [r["count"] for r in per_file] == [5000] * 4
-    files = numbered.select(F.input_file_name().alias("f")).groupBy("f").count().collect()
+    files = spark.read.parquet(str(tmp_path / "numbered")).select(F.input_file_name().alias("f")).groupBy("f").count().collect()
     assert len(files) >= 4 and max(r["count"] for r in files) < 10000
 
 
@@ -108,7 +109,7 @@ def test_hot_airport_day_is_split(spark):
     try:
         hot = F.col("id") % 3 == 0
         flights = spark.range(0, 200000, 1, 16).select(
-            F.date_add(F.lit("2024-01-01").cast("date"), F.when(hot, 0).otherwise(F.col("id") % 28).cast("int")).alias("flight_date"),
+            F.date_add(F.lit("2023-05-02").cast("date"), F.when(hot, 0).otherwise(F.col("id") % 28).cast("int")).alias("flight_date"),
             F.when(hot, "HUB").otherwise(F.concat(F.lit("A"), (F.col("id") % 50).cast("string"))).alias("origin"),
             F.concat(F.lit("A"), (F.col("id") % 47).cast("string")).alias("dest"), F.col("id").alias("flight_num"),
         )
@@ -119,8 +120,8 @@ def test_hot_airport_day_is_split(spark):
         result = joined.select(F.xxhash64(*joined.columns).alias("h"), "origin_weather_code", "origin").agg(
             F.count("h").alias("n"), F.sum("origin_weather_code").alias("total"))
         row = result.collect()[0]
-        hub = flights.where("origin = 'HUB' AND flight_date = DATE'2024-01-01'").count()
-        a1 = flights.where("origin = 'A1' AND flight_date = DATE'2024-01-01'").count()
+        hub = flights.where("origin = 'HUB' AND flight_date = DATE'2023-05-02'").count()
+        a1 = flights.where("origin = 'A1' AND flight_date = DATE'2023-05-02'").count()
         assert (row.n, row.total) == (200000, 4.0 * hub + a1)
         assert "skew=true" in result._jdf.queryExecution().executedPlan().toString()
     finally:

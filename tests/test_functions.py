@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tarmac.functions import clock, geo, requests, text
 from tests.fixtures import weather_document
+from tarmac.operators import profile
 from tarmac.operators.features import weather_values
 from tarmac.plans.scoring import strict_weather
 
@@ -78,11 +79,11 @@ def miles(lat1, long1, lat2, long2):
 
 
 def test_distance(spark):
-    pairs = [(40.6413, -73.7781, 40.6413, -73.7781), (40.6413, -73.7781, 33.9416, -118.4085), (-33.9, 151.2, 51.5, -0.1)]
+    pairs = [(43.5644, -116.2228, 43.5644, -116.2228), (43.5644, -116.2228, 41.3032, -95.8941), (-33.9, 151.2, 51.5, -0.1)]
     rows = spark.createDataFrame(pairs, "a double, b double, c double, d double")
     found = [r[0] for r in rows.select(geo.distance_miles(*map(F.col, "abcd"))).collect()]
     assert found == [miles(*p) for p in pairs]
-    assert found[0] == 0 and 2400 < found[1] < 2500
+    assert found[0] == 0 and 1000 < found[1] < 1100
 
 
 def test_coordinate_status(spark):
@@ -109,15 +110,15 @@ def test_nested_text(spark):
 
 
 def test_weather_url_carries_no_key(spark):
-    df = spark.sql("SELECT 40.6413D AS lat, -73.7781D AS long, DATE'2024-01-02' AS day")
+    df = spark.sql("SELECT 43.5644D AS lat, -116.2228D AS long, DATE'2024-01-02' AS day")
     url = df.select(text.weather_url("https://w.example", F.col("lat"), F.col("long"), F.col("day"))).collect()[0][0]
-    assert url.startswith("https://w.example?latitude=40.6413&longitude=-73.7781&start_date=2024-01-02&end_date=2024-01-02")
+    assert url.startswith("https://w.example?latitude=43.5644&longitude=-116.2228&start_date=2024-01-02&end_date=2024-01-02")
     assert "weather_code%2Ctemperature_2m_max" in url and url.endswith("&timezone=auto") and "key" not in url
 
 
 def test_request_errors(spark):
     rows = [
-        ("2026-08-07", "09:00", "JFK", "LAX"), ("2026-8-7", "9:00", "JF", None), ("2026-02-30", "24:00", "JFK", "LAXX"),
+        ("2026-08-07", "09:00", "BOI", "OMA"), ("2026-8-7", "9:00", "JF", None), ("2026-02-30", "24:00", "BOI", "OMAX"),
         (None, None, None, None),
     ]
     df = spark.createDataFrame(rows, "a string, b string, c string, d string")
@@ -149,7 +150,7 @@ def test_presentation(spark):
     ("junk", None),
 ])
 def test_lenient_weather(spark, document, expected):
-    rows = spark.createDataFrame([("2024-01-01", "JFK", document)], "date string, code string, payload string")
+    rows = spark.createDataFrame([("2024-01-01", "BOI", document)], "date string, code string, payload string")
     row = weather_values(rows).collect()[0]
     assert row.rain_sum == expected
     assert row.pressure_msl_mean == (2.0 if document.startswith('{"daily": {') else None)
@@ -169,9 +170,25 @@ def test_lenient_weather(spark, document, expected):
 ])
 def test_strict_weather(spark, document, fault):
     rows = spark.createDataFrame(
-        [("2024-01-01", "JFK", 200, document)], "date string, code string, status_code int, payload string"
+        [("2024-01-01", "BOI", 200, document)], "date string, code string, status_code int, payload string"
     )
     row = strict_weather(rows).collect()[0]
     assert row.fault == fault
     if fault is None:
         assert row.rain_sum == (3.0 if "3" in re.findall(r'"rain_sum": \[(\d)', document) else 1.0)
+
+
+@pytest.mark.parametrize("text, minutes", [
+    ("2026-08-20T14:30+02", 870), ("2026-08-20T14:30+0200", 870), ("2026-08-20T14:30:15.5-05:30", 870), ("20260820T143000", 870),
+    ("2026-08-20T14:30Z", 870), ("2026-08-20T14", 840), ("2026-08-20", 0), ("2026-08-20T14:3000", None), ("2026-08-20T1430:00", None),
+    ("2026-08-20T14:30+25", None), ("2026-08-20T14:30+2:00", None),
+])
+def test_iso_offsets_and_separators(spark, text, minutes):
+    row = spark.createDataFrame([(text,)], "t string").select(clock.clock_minutes(F.col("t")).alias("m")).first()
+    assert row.m == minutes
+
+
+def test_nan_counts_as_missing(spark):
+    rows = spark.createDataFrame([(1, float("nan"), "a"), (1, 2.0, None), (0, None, "b")], "significant int, x double, y string")
+    found = {row.feature: (row.not_significant, row.significant) for row in profile.missing_by_target(rows, ("x", "y")).collect()}
+    assert found == {"x": (1.0, 0.5), "y": (0.0, 0.5)}

@@ -19,11 +19,11 @@ PAGE = "date date, dep_code string, page bigint, status_code int, payload string
 WEATHER = "date date, code string, status_code int, payload string"
 
 
-def request(req_id=1, day="2026-08-07", clock="09:00", dep="JFK", dest="LAX"):
+def request(req_id=1, day="2026-08-07", clock="09:00", dep="BOI", dest="OMA"):
     return (req_id, day, clock, dep, dest)
 
 
-def page(*flights, dep="JFK", number=0, status=200, payload=None):
+def page(*flights, dep="BOI", number=0, status=200, payload=None):
     return (DAY, dep, number, status, json.dumps({"data": list(flights)}) if payload is None else payload)
 
 
@@ -36,15 +36,15 @@ def matched_clock(spark, *flights):
 
 
 def test_first_in_provider_order_wins_over_the_nearest(spark):
-    assert matched_clock(spark, "invalid", scheduled("JFK", "LAX", "09:30"), scheduled("JFK", "LAX", "09:00")) == "09:30"
+    assert matched_clock(spark, "invalid", scheduled("BOI", "OMA", "09:30"), scheduled("BOI", "OMA", "09:00")) == "09:30"
 
 
 @pytest.mark.parametrize("flights, expected", [
-    ([scheduled("JFK", "LAX", "08:31")], "08:31"),
-    ([scheduled("jfk", "lax", "2026-08-07T09:10:00Z")], "2026-08-07T09:10:00Z"),
-    ([scheduled("JFK", "LAX", "09:31"), scheduled("JFK", "SFO", "09:00")], None),
-    ([scheduled("JFK", "LAX", "junk"), scheduled("JFK", "LAX", 900), 5, None, [1]], None),
-    ([{"departure": "JFK"}, scheduled("JFK", "LAX", "0925")], "0925"),
+    ([scheduled("BOI", "OMA", "08:31")], "08:31"),
+    ([scheduled("boi", "oma", "2026-08-07T09:10:00Z")], "2026-08-07T09:10:00Z"),
+    ([scheduled("BOI", "OMA", "09:31"), scheduled("BOI", "ABQ", "09:00")], None),
+    ([scheduled("BOI", "OMA", "junk"), scheduled("BOI", "OMA", 900), 5, None, [1]], None),
+    ([{"departure": "BOI"}, scheduled("BOI", "OMA", "0925")], "0925"),
 ])
 def test_route_and_time_must_match(spark, flights, expected):
     assert matched_clock(spark, *flights) == expected
@@ -54,7 +54,7 @@ def test_route_and_time_must_match(spark, flights, expected):
 def test_match_equals_brute_force(spark, tolerance):
     """Random requests and flights, with most of both on one route."""
     rng = random.Random(tolerance)
-    route = lambda: ("JFK", "LAX") if rng.random() < 0.6 else (rng.choice(["JFK", "SEA"]), rng.choice(["LAX", "SFO"]))
+    route = lambda: ("BOI", "OMA") if rng.random() < 0.6 else (rng.choice(["BOI", "TUL"]), rng.choice(["OMA", "ABQ"]))
     offers = [(DAY, p, i, *route(), rng.randrange(1440)) for p in range(15) for i in range(5)]
     asked = [(r, DAY, *route(), rng.randrange(1440)) for r in range(120)]
     schedule = spark.createDataFrame(
@@ -81,7 +81,7 @@ def test_match_equals_brute_force(spark, tolerance):
     (None, 503, "absent"), ('{"data": [1]}', 503, "absent"), ('{"data": [1]}', 200, "listed"),
 ])
 def test_document_outcome(spark, payload, status, outcome):
-    rows = schedule_documents(spark.createDataFrame([(DAY, "JFK", 0, status, payload)], PAGE))
+    rows = schedule_documents(spark.createDataFrame([(DAY, "BOI", 0, status, payload)], PAGE))
     assert rows.collect()[0].outcome == outcome
     row = schedule_status(rows).collect()[0]
     assert row.schedule_fault == (None if outcome == "listed" else outcome)
@@ -93,7 +93,7 @@ def airports(spark):
     return spark.createDataFrame(list(fixtures.AIRPORTS), "name string, lat double, long double, code string")
 
 
-def outcome(spark, airports, requests, pages, weather, known=("JFK",), **options):
+def outcome(spark, airports, requests, pages, weather, known=("BOI",), **options):
     codes = spark.createDataFrame([(code,) for code in known], "code string")
     rows = scoring.request_outcomes(
         spark.createDataFrame(requests, REQUEST), codes, spark.createDataFrame(pages, PAGE), airports,
@@ -102,33 +102,33 @@ def outcome(spark, airports, requests, pages, weather, known=("JFK",), **options
     return rows
 
 
-FLIGHT = scheduled("JFK", "LAX", "09:00", "12:30")
-SKY = [(DAY, "JFK", 200, weather_document(1.0)), (DAY, "LAX", 200, weather_document(2.0))]
+FLIGHT = scheduled("BOI", "OMA", "09:00", "12:30")
+SKY = [(DAY, "BOI", 200, weather_document(1.0)), (DAY, "OMA", 200, weather_document(2.0))]
 
 
 def test_complete_request(spark, airports):
     row = outcome(spark, airports, [request()], [page(FLIGHT)], SKY).collect()[0]
     assert (row.status_code, row.message) == (200, "Flight delay prediction complete.")
     assert (row.flight_date, row.day_of_week, row.pred_dep_time, row.pred_arr_time, row.pred_elapsed_time) == (DAY, 5, 900, 1230, 210)
-    assert 2400 < row.fl_distance < 2500 and row.origin_city_name.startswith("John F")
+    assert 1000 < row.fl_distance < 1100 and row.origin_city_name.startswith("Boise")
     assert (row.origin_weather_code, row.dest_weather_code) == (1.0, 2.0)
 
 
 @pytest.mark.parametrize("case, code, message", [
     (dict(requests=[request(dep="JF")]), 422, "validation"),
-    (dict(known=("LAX",)), 404, "Departure airport was not found"),
-    (dict(pages=[page(FLIGHT, dep="SEA")]), 502, "did not return scheduled"),
+    (dict(known=("OMA",)), 404, "Departure airport was not found"),
+    (dict(pages=[page(FLIGHT, dep="TUL")]), 502, "did not return scheduled"),
     (dict(pages=[page(status=503, payload="{}")]), 503, "did not return scheduled"),
     (dict(pages=[page(payload='{"data": {"bad": "shape"}}')]), 502, "Aviation API scheduled flight data payload was invalid."),
-    (dict(pages=[page(scheduled("JFK", "LAX", "11:00"))]), 404, "could not be matched"),
-    (dict(pages=[page({"departure": FLIGHT["departure"], "arrival": {"iataCode": "LAX"}})]), 502, "missing scheduled"),
-    (dict(requests=[request(dest="lax")]), 404, "No airport was matched"),
-    (dict(pages=[page(scheduled("JFK", "LAX", "09:00:00"))]), 400, "Failed to parse"),
+    (dict(pages=[page(scheduled("BOI", "OMA", "11:00"))]), 404, "could not be matched"),
+    (dict(pages=[page({"departure": FLIGHT["departure"], "arrival": {"iataCode": "OMA"}})]), 502, "missing scheduled"),
+    (dict(requests=[request(dest="oma")]), 404, "No airport was matched"),
+    (dict(pages=[page(scheduled("BOI", "OMA", "09:00:00"))]), 400, "Failed to parse"),
     (dict(weather=SKY[1:]), 502, "origin weather data"),
-    (dict(weather=[SKY[0], (DAY, "LAX", 429, None)]), 429, "destination weather data"),
-    (dict(weather=[(DAY, "JFK", 200, "{}"), SKY[1]]), 502, "did not return origin weather data"),
-    (dict(weather=[SKY[0], (DAY, "LAX", 200, weather_document(1.0, rain_sum=["2"]))]), 502, "dest weather field 'rain_sum' value was invalid."),
-    (dict(weather=[(DAY, "JFK", 200, '{"daily": 1}'), SKY[1]]), 502, "origin weather daily payload was invalid."),
+    (dict(weather=[SKY[0], (DAY, "OMA", 429, None)]), 429, "destination weather data"),
+    (dict(weather=[(DAY, "BOI", 200, "{}"), SKY[1]]), 502, "did not return origin weather data"),
+    (dict(weather=[SKY[0], (DAY, "OMA", 200, weather_document(1.0, rain_sum=["2"]))]), 502, "dest weather field 'rain_sum' value was invalid."),
+    (dict(weather=[(DAY, "BOI", 200, '{"daily": 1}'), SKY[1]]), 502, "origin weather daily payload was invalid."),
 ])
 def test_failures_are_reported_in_order(spark, airports, case, code, message):
     inputs = dict(requests=[request()], pages=[page(FLIGHT)], weather=SKY) | case
@@ -139,8 +139,8 @@ def test_failures_are_reported_in_order(spark, airports, case, code, message):
 
 
 def test_lenient_clock_and_normalised_requests(spark, airports):
-    pages = [page(scheduled("JFK", "LAX", "09:00:00", "2026-08-07T08:10"))]
-    typed = scoring.normalise_requests(spark.createDataFrame([request(clock=" 09:00 ", dep=" jfk", dest="lax ")], REQUEST))
+    pages = [page(scheduled("BOI", "OMA", "09:00:00", "2026-08-07T08:10"))]
+    typed = scoring.normalise_requests(spark.createDataFrame([request(clock=" 09:00 ", dep=" boi", dest="oma ")], REQUEST))
     rows = outcome(spark, airports, typed.collect(), pages, SKY, strict_clock=False)
     row = rows.collect()[0]
     assert (row.status_code, row.pred_elapsed_time) == (200, 1390)
@@ -150,12 +150,12 @@ def test_requests_are_never_multiplied(spark, airports):
     doubled = airports.union(airports)
     pages = [page(FLIGHT, number=n) for n in range(3)]
     asked = [request(n) for n in range(50)]
-    rows = outcome(spark, doubled, asked, pages, SKY, known=("JFK", "JFK", "LAX"))
+    rows = outcome(spark, doubled, asked, pages, SKY, known=("BOI", "BOI", "OMA"))
     assert sorted(r.req_id for r in rows.collect()) == list(range(50))
     assert one_per_code(doubled).count() == 3
 
 
 def test_out_of_range_airport_is_a_distance_error(spark, airports):
-    moved = airports.withColumn("lat", F.when(F.col("code") == "LAX", 120.0).otherwise(F.col("lat")))
+    moved = airports.withColumn("lat", F.when(F.col("code") == "OMA", 120.0).otherwise(F.col("lat")))
     row = outcome(spark, moved, [request()], [page(FLIGHT)], SKY).collect()[0]
     assert (row.stage, row.status_code) == ("distance", 400)

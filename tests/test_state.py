@@ -75,7 +75,8 @@ def test_outstanding_and_answered(spark):
 def test_retry_policy(replies, expected, waits):
     pending, slept = list(replies), []
 
-    def fetch(url):
+    def fetch(url, attempt):
+        assert attempt.timeout_seconds == 25.0 and attempt.number == len(replies) - len(pending)
         reply = pending.pop(0)
         if reply is None:
             raise TransportError("reset")
@@ -91,7 +92,7 @@ def test_as_document():
     assert as_document("<html>") == '{"content": "<html>"}'
 
 
-def answer(url):
+def answer(url, attempt):
     day = int(url.split("start_date=")[1][8:10])
     return Reply(500, "down") if day == 2 else Reply(200, fixtures.weather_document(float(day)))
 
@@ -110,7 +111,7 @@ def warehouse(spark, tmp_path):
 
 
 def opened(warehouse):
-    warehouse.append(ingest.LOG, state.open_log(warehouse.table("weather_req_table")))
+    ingest.append_log(warehouse, state.open_log(warehouse.table("weather_req_table")))
     return warehouse
 
 
@@ -143,13 +144,13 @@ def test_backfill_in_batches_and_again(spark, warehouse):
 def test_crashed_claim_is_requeued_and_upsert_is_idempotent(spark, warehouse):
     opened(warehouse)
     current = state.current_state(ingest.request_log(warehouse))
-    warehouse.append(ingest.LOG, state.claim_batch(current, F.lit(NOW), 3))
+    ingest.append_log(warehouse, state.claim_batch(current, F.lit(NOW), 3))
     assert statuses(warehouse) == {"in_progress": 3, "pending": 3}
     ingest.backfill(warehouse, "https://w.example", answer, QUICK)
     assert statuses(warehouse) == {"done": 4, "failed": 2}
     before = {(r.date, r.code, r.payload) for r in ingest.compact_responses(warehouse).collect()}
     stored = ingest.responses(warehouse)
-    warehouse.append(ingest.RESPONSES, stored.select(*stored.columns))
+    warehouse.append(ingest.RESPONSES, stored.withColumn("month", F.expr(ingest.MONTH)), partition_by=("month",))
     assert {(r.date, r.code, r.payload) for r in ingest.compact_responses(warehouse).collect()} == before
 
 
@@ -161,3 +162,46 @@ def test_stream_answers_each_arrival_once(spark, warehouse, tmp_path):
         drain_arrivals(warehouse, arrivals, checkpoint, "https://w.example", answer, QUICK).awaitTermination()
     assert statuses(warehouse) == {"done": 4, "failed": 2}
     assert ingest.responses(warehouse).count() == 4
+
+
+@pytest.mark.parametrize("failure, text, attempts", [
+    (ConnectionResetError("gone"), "gone", 3), (TimeoutError(), "TimeoutError", 3), (OSError("no route"), "no route", 3),
+    (KeyError("daily"), "KeyError: 'daily'", 1),
+])
+def test_errors_of_the_fetch_function_become_failed_rows(failure, text, attempts):
+    def fetch(url, attempt):
+        raise failure
+
+    ok, payload, status, error, made = call(fetch, "u", QUICK)
+    assert (ok, payload, error, made) == (False, None, text, attempts)
+    assert status == (408 if attempts == 3 else None)
+
+
+def test_lookups_spread_over_the_named_number_of_tasks(spark):
+    requests = spark.range(20_000).selectExpr(
+        "DATE'2024-01-01' AS date", "CAST(id AS STRING) AS code", "1.0D AS lat", "2.0D AS long")
+    outcomes = enrich(requests, "https://w.example", lambda url, attempt: Reply(200, "{}"), QUICK, partitions=40)
+    sizes = [row["count"] for row in outcomes.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 40 and max(sizes) < 3 * 20_000 / 40
+
+
+def test_log_reads_are_pruned_to_the_months_of_the_keys(spark, warehouse):
+    opened(warehouse)
+    keys = warehouse.table("weather_req_table").where("day(date) = 1")
+    rows = ingest.request_log(warehouse, keys)
+    assert "PartitionFilters: [isnotnull(month" in rows._jdf.queryExecution().toString()
+    assert rows.count() == 2
+
+
+def test_stream_continues_the_state_of_known_keys(spark, warehouse, tmp_path):
+    opened(warehouse)
+    table, now = warehouse.table("weather_req_table"), F.current_timestamp()
+    current = state.current_state(ingest.request_log(warehouse))
+    ingest.append_log(warehouse, state.claim_batch(current, F.lit(NOW)))
+    claimed = state.current_state(ingest.request_log(warehouse))
+    ingest.append_log(warehouse, state.requeue_stale(claimed, now))
+    table.write.parquet(str(tmp_path / "in"))
+    drain_arrivals(warehouse, str(tmp_path / "in"), str(tmp_path / "cp"), "https://w.example", answer, QUICK).awaitTermination()
+    rows = state.current_state(ingest.request_log(warehouse)).collect()
+    assert {row.seq for row in rows} == {4} and {row.attempt_count for row in rows} == {2}
+    assert statuses(warehouse) == {"done": 4, "failed": 2}

@@ -59,8 +59,7 @@ def test_drawn_parameters_are_distinct_and_from_the_grid():
 def test_search_reports_every_draw(parted):
     draws = [SMALL, {**SMALL, "numTrees": 2, "maxDepth": None}]
     train = parted.where("NOT is_test")
-    model = training.search(train, draws, parallelism=2)
-    results = training.search_results(model, train).collect()
+    results = training.search(train, draws).collect()
     assert len(results) == 2 and results[0].mean_f1 >= results[1].mean_f1
     assert any("maxDepth=30" in r.params for r in results)
 
