@@ -421,20 +421,30 @@ LADDER_VIEWS = ("requests", "matches", "newest_events", "schedule_events")
 
 @query(with_views("""
     SELECT req_id, stage, status_code, message, CASE WHEN status_code = 200 THEN CAST(offered_minutes // 60 * 100 + offered_minutes % 60 AS BIGINT) END AS pred_dep_time,
+        CASE WHEN status_code = 200 THEN CAST(arr_minutes // 60 * 100 + arr_minutes % 60 AS BIGINT) END AS pred_arr_time,
+        CASE WHEN status_code = 200 THEN CAST(year(c.date) AS INTEGER) END AS year, CASE WHEN status_code = 200 THEN CAST(month(c.date) AS INTEGER) END AS month,
+        CASE WHEN status_code = 200 THEN CAST(day(c.date) AS INTEGER) END AS day_of_month,
+        CASE WHEN status_code = 200 THEN o.name END AS origin_city_name, CASE WHEN status_code = 200 THEN o.lat END AS origin_lat,
+        CASE WHEN status_code = 200 THEN o.long END AS origin_long, CASE WHEN status_code = 200 THEN d.name END AS dest_city_name,
+        CASE WHEN status_code = 200 THEN d.lat END AS dest_lat, CASE WHEN status_code = 200 THEN d.long END AS dest_long,
+        CASE stage WHEN 'match' THEN '{"origin":"' || dep_code || '","dest":"' || dest_code || '","minutes":' || dep_minutes || '}' END AS detail,
         CASE WHEN status_code = 200 THEN o_value END AS origin_weather_code, CASE WHEN status_code = 200 THEN d_value + d_k * 13 END AS dest_pressure_msl_mean
-    FROM coded""", *LADDER_VIEWS, **LADDER))
+    FROM coded c LEFT JOIN airports o ON o.code = c.dep_code LEFT JOIN airports d ON d.code = c.dest_code""",
+    *LADDER_VIEWS, "airports", **LADDER))
 def request_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     complete = F.col("status_code") == 200
     return _outcomes(spark, sf_dir).select(
-        "req_id", "stage", "status_code", "message",
-        *[F.when(complete, F.col(name)).alias(name) for name in ("pred_dep_time", "origin_weather_code", "dest_pressure_msl_mean")],
+        "req_id", "stage", "status_code", "message", F.when(F.col("stage") == "match", F.col("detail")).alias("detail"),
+        *[F.when(complete, F.col(name)).alias(name) for name in (
+            "pred_dep_time", "pred_arr_time", "year", "month", "day_of_month", "origin_city_name", "origin_lat", "origin_long",
+            "dest_city_name", "dest_lat", "dest_long", "origin_weather_code", "dest_pressure_msl_mean")],
     )
 
 
 @query(with_views("SELECT req_id, stage, status_code AS code, message AS description FROM coded WHERE status_code <> 200",
                   *LADDER_VIEWS, **LADDER))
 def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.quarantine(_outcomes(spark, sf_dir))
+    return scoring.quarantine(_outcomes(spark, sf_dir)).drop("detail")
 
 
 @query(with_views("""

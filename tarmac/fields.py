@@ -32,6 +32,7 @@ SCHEDULE_FEATURES = (
     "fl_distance",
 )
 
+# Categories, in model order.
 CATEGORICAL_FEATURES = ("flight_date", "origin", "dest")
 
 # Thresholds and policies.

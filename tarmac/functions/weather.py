@@ -42,6 +42,7 @@ def strict_fault(document: str) -> str:
     first element of each array counts.
     """
     daily = f"schema_of_variant(try_variant_get({document}, '$.daily', 'variant'))"
+    # The three fault texts.
     cases = [f"WHEN NOT coalesce(startswith({daily}, 'OBJECT'), false) THEN '{{end}} weather daily payload was invalid.'"]
     for field in WEATHER_FIELDS:
         cases.append(f"WHEN {field} IS NULL THEN \"{{end}} weather field '{field}' was missing or invalid.\"")

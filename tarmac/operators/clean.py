@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarmac.sources.csv import AIRPORT_COLUMNS, FLIGHT_COLUMNS, require_columns
 
+# The five causes of a delay.
 DELAY_CAUSES = ("carrier_delay", "weather_delay", "nas_delay", "security_delay", "late_aircraft_delay")
 
 

@@ -6,11 +6,10 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.fields import CATEGORICAL_FEATURES, MATCH_TOLERANCE_MINUTES, MODEL_FEATURES, NUMERIC_FEATURES
-from tarmac.fields import SCHEDULE_FEATURES, WEATHER_FIELDS
+from tarmac.fields import MATCH_TOLERANCE_MINUTES, MODEL_FEATURES, SCHEDULE_FEATURES, WEATHER_FIELDS
 from tarmac.functions.clock import calendar_parts, clock_minutes, elapsed_minutes, hhmm, short_clock_minutes
 from tarmac.functions.geo import coordinate_status, distance_miles
-from tarmac.functions.requests import miles_text, percent_text, request_errors, risk_label
+from tarmac.functions.requests import miles_text, percent_text, request_errors, risk_label, unknown_fields
 from tarmac.functions.text import airport_code
 from tarmac.functions.weather import first_elements, strict_fault, strict_values
 from tarmac.operators.clean import one_per_code
@@ -38,8 +37,15 @@ MESSAGES = {
 }
 
 
+# What a complete result tells about the flight beside its prediction.
+RESPONSE_FIELDS = (
+    "origin_city_name", "origin_lat", "origin_long", "dest_city_name", "dest_lat", "dest_long", "flight_date", "dep_clock", "arr_clock",
+    "pred_dep_time", "pred_arr_time", "pred_elapsed_time",
+)
+
+
 def normalise_requests(requests: DataFrame) -> DataFrame:
-    """Requests as the form sends them: every field trimmed, codes upper-cased."""
+    """Requests as the form sends them: every field trimmed, codes upper-cased; normalising twice changes nothing."""
     return requests.withColumns({
         "date": F.trim("date"),
         "scheduledDepartureTime": F.trim("scheduledDepartureTime"),
@@ -49,10 +55,15 @@ def normalise_requests(requests: DataFrame) -> DataFrame:
 
 
 def checked_requests(requests: DataFrame) -> DataFrame:
-    """Typed requests with their validation errors; date and minutes are NULL when invalid."""
+    """Typed requests with their validation errors; date and minutes are NULL when invalid.
+
+    A column ``document`` with the request as it was sent is optional; fields in it that no request has are errors too.
+    """
     text = {name: F.col(name) for name in ("date", "scheduledDepartureTime", "depIataCode", "destIataCode")}
     errors = request_errors(*text.values())
     valid = F.size("request_errors") == 0
+    if "document" in requests.columns:
+        errors = F.concat(errors, unknown_fields(F.col("document")))
     checked = requests.withColumn("request_errors", errors).select(
         "req_id", "request_errors", "depIataCode", "destIataCode",
         F.when(valid, text["date"].try_cast("date")).alias("date"),
@@ -159,6 +170,16 @@ def with_outcome(rows: DataFrame) -> DataFrame:
     at = "CASE " + " ".join(f"WHEN {failing} THEN {step}" for step, (_, failing, _, _) in enumerate(steps)) + " END"
     coordinates = coordinate_status(*map(F.col, ("origin_lat", "origin_long", "dest_lat", "dest_long")))
     placed = rows.withColumn("coordinates", coordinates).withColumn("step", F.expr(at))
+    details = {
+        "request": "to_json(named_struct('fields', request_errors))",
+        "schedule_absent": "to_json(named_struct('status', error_code))",
+        "distance": "to_json(named_struct('origin_lat', origin_lat, 'origin_long', origin_long, 'dest_lat', dest_lat, 'dest_long', dest_long))",
+        "match": "to_json(named_struct('origin', dep_code, 'dest', dest_code, 'minutes', dep_minutes))",
+        "times": "to_json(named_struct('departure', dep_clock, 'arrival', arr_clock))",
+        "clocks": "to_json(named_struct('departure', dep_clock, 'arrival', arr_clock))",
+        "origin_weather": "to_json(named_struct('status', origin_status))",
+        "dest_weather": "to_json(named_struct('status', dest_status))",
+    }
 
     def by_step(values: list[str]) -> Column:
         return F.expr("CASE step " + " ".join(f"WHEN {step} THEN {value}" for step, value in enumerate(values)) + " END")
@@ -167,6 +188,7 @@ def with_outcome(rows: DataFrame) -> DataFrame:
         "stage": by_step([f"'{stage}'" for stage, *_ in steps]),
         "status_code": by_step([f"CAST({code} AS INT)" for _, _, code, _ in steps]),
         "message": by_step([own or f"'{MESSAGES[stage]}'" for stage, _, _, own in steps]),
+        "detail": by_step([details.get(stage, "CAST(NULL AS STRING)") for stage, *_ in steps]),
     })
 
 
@@ -190,7 +212,7 @@ def request_outcomes(
     status = stage(schedule_status(documents), "schedule-status").withColumn("schedule_listed", F.lit(True))
     weather = stage(strict_weather(weather_responses), "strict-weather")
     requests = with_membership(
-        checked_requests(requests), "depIataCode", known_codes, "known_departure"
+        checked_requests(normalise_requests(requests)), "depIataCode", known_codes, "known_departure"
     )
     placed = (
         requests
@@ -200,7 +222,7 @@ def request_outcomes(
     )
     rows = flight_rows(placed, schedule_rows(documents), airports, tolerance, strict_clock)
     return with_outcome(rows).select(
-        "req_id", "stage", "status_code", "message",
+        "req_id", "stage", "status_code", "message", "detail", "dep_clock", "arr_clock",
         "origin_city_name", "dest_city_name", "origin_lat", "origin_long", "dest_lat", "dest_long",
         *MODEL_FEATURES,
     )
@@ -209,25 +231,27 @@ def request_outcomes(
 def quarantine(outcomes: DataFrame) -> DataFrame:
     """The failed requests, as error records."""
     records = settled(outcomes.select(
-        "req_id", "stage", F.col("status_code").alias("code"), F.col("message").alias("description")
+        "req_id", "stage", F.col("status_code").alias("code"), F.col("message").alias("description"), "detail"
     ))
     return records.where(F.col("code") != 200)
 
 
 def score_requests(outcomes: DataFrame, model: PipelineModel) -> DataFrame:
-    """Results for every request in one pass; only complete ones get a prediction."""
+    """Results for every request; only complete ones pass through the forest.
+
+    Outcomes are written once. A complete result also has both airports and the matched flight.
+    """
+    stored = stage(outcomes, "outcomes")
     complete = F.col("status_code") == 200
-    filled = outcomes.withColumns({
-        **{name: F.coalesce(name, F.lit(0)) for name in NUMERIC_FEATURES},
-        **{name: F.coalesce(F.col(name).cast("string"), F.lit("")) for name in CATEGORICAL_FEATURES},
-    })
-    scored = predict(model, filled)
+    scored = predict(model, stored.where(complete)).unionByName(
+        stored.where(~complete).withColumns({"prediction": F.lit(None).cast("int"), "probability": F.lit(None).cast("double")}))
     probability = F.when(complete, F.col("probability"))
     significant = F.when(complete, F.col("prediction") == 1)
     return scored.select(
         "req_id", "stage", "status_code", "message",
         significant.alias("is_significant_delay"), probability.alias("significant_delay_probability"),
         F.when(complete, F.col("fl_distance")).cast("int").alias("fl_distance"),
+        *[F.when(complete, F.col(name)).alias(name) for name in RESPONSE_FIELDS],
         risk_label(significant).alias("risk"), percent_text(probability).alias("probability_text"),
         miles_text(F.when(complete, F.col("fl_distance"))).alias("distance_text"),
     )

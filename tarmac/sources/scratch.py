@@ -24,8 +24,18 @@ def scratch_root(spark: SparkSession) -> str:
     return folder
 
 
+def _application_root(spark: SparkSession) -> str:
+    return f"{scratch_root(spark).rstrip('/')}/tarmac/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark).rstrip('/')}/tarmac/{label}-{uuid.uuid4().hex}"
+    return f"{_application_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete what this application staged. Results that still read a staged table must be written before."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(_application_root(spark))
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

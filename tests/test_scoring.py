@@ -122,7 +122,7 @@ def test_complete_request(spark, airports):
     (dict(pages=[page(payload='{"data": {"bad": "shape"}}')]), 502, "Aviation API scheduled flight data payload was invalid."),
     (dict(pages=[page(scheduled("BOI", "OMA", "11:00"))]), 404, "could not be matched"),
     (dict(pages=[page({"departure": FLIGHT["departure"], "arrival": {"iataCode": "OMA"}})]), 502, "missing scheduled"),
-    (dict(requests=[request(dest="oma")]), 404, "No airport was matched"),
+    (dict(requests=[request(dest="zzz")], pages=[page(scheduled("BOI", "ZZZ", "09:00"))]), 404, "No airport was matched"),
     (dict(pages=[page(scheduled("BOI", "OMA", "09:00:00"))]), 400, "Failed to parse"),
     (dict(weather=SKY[1:]), 502, "origin weather data"),
     (dict(weather=[SKY[0], (DAY, "OMA", 429, None)]), 429, "destination weather data"),
@@ -159,3 +159,15 @@ def test_out_of_range_airport_is_a_distance_error(spark, airports):
     moved = airports.withColumn("lat", F.when(F.col("code") == "OMA", 120.0).otherwise(F.col("lat")))
     row = outcome(spark, moved, [request()], [page(FLIGHT)], SKY).collect()[0]
     assert (row.stage, row.status_code) == ("distance", 400)
+
+
+def test_unknown_fields_reject_a_request_and_details_tell_why(spark, airports):
+    asked = spark.createDataFrame([request(1), request(2), request(3, clock="23:00")], REQUEST).withColumn(
+        "document", F.when(F.col("req_id") == 2, '{"date": "2026-08-07", "seat": "12A"}').otherwise('{"date": "2026-08-07"}'))
+    known = spark.createDataFrame([("BOI",)], "code string")
+    pages = spark.createDataFrame([page(FLIGHT)], PAGE)
+    weather = spark.createDataFrame(SKY, "date date, code string, status_code int, payload string")
+    rows = {r.req_id: r for r in scoring.request_outcomes(asked, known, pages, airports, weather).collect()}
+    assert rows[1].status_code == 200 and rows[1].detail is None and rows[1].dep_clock == "09:00"
+    assert (rows[2].status_code, rows[2].detail) == (422, '{"fields":["seat"]}')
+    assert (rows[3].stage, rows[3].detail) == ("match", '{"origin":"BOI","dest":"OMA","minutes":1380}')

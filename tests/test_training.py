@@ -77,7 +77,7 @@ def test_only_complete_requests_get_a_prediction(spark, parted):
     model = training.fit(parted.where("NOT is_test"), **SMALL)
     outcomes = parted.select(
         F.col("id").alias("req_id"), F.lit("s").alias("stage"), F.when(F.col("id") % 2 == 0, 200).otherwise(404).alias("status_code"),
-        F.lit("m").alias("message"),
+        F.lit("m").alias("message"), *[F.lit(None).cast("string").alias(n) for n in scoring.RESPONSE_FIELDS if n not in MODEL_FEATURES],
         *[F.when(F.col("id") % 2 == 0, F.col(name)).alias(name) for name in MODEL_FEATURES],
     )
     scored = scoring.score_requests(outcomes, model)
