@@ -9,11 +9,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import regex
 
-# Ids of at least so many of the chunks seen last, and of as many words, are kept by each Python worker, and of at most twice
-# as many; about 150 bytes each.
-KEPT = 350_000
+# Ids of this many different chunks, and of as many words, are kept by each Python worker, about 200 bytes each; then the
+# store starts anew.
+KEPT = 450_000
 # Texts whose new words are encoded together, and the most characters of such a group but for its last text.
-GROUP_TEXTS, GROUP_CHARACTERS = 256, 4_000_000
+GROUP_TEXTS, GROUP_CHARACTERS = 256, 1_000_000
 # These characters are white space to Python but not to the tokenizer.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 # The tokenizer's own pattern for words, as its file states it.
@@ -21,25 +21,6 @@ WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]
 WORD_END = "</w>"
 
 
-class Recent(dict):
-    """A dictionary of bounded size: when it is full, what was not asked for since the last time goes."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.older: dict = {}
-
-    def lacking(self, keys: set) -> set:
-        """The keys that are in neither generation; those of the older one come back into this one."""
-        missing = {key for key in keys if key not in self}
-        if len(self) + len(missing) > KEPT:
-            self.older = dict(self)
-            self.clear()
-            missing = keys
-        again = {key for key in missing if key in self.older}
-        self.update((key, self.older[key]) for key in again)
-        return missing - again if again else missing
-
-
 class ChunkEncoder:
     """Encodes a text word by word, which equals encoding it whole for a word-level tokenizer.
 
@@ -59,7 +40,8 @@ class ChunkEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[place for name, place in vocabulary.items() if name.endswith(WORD_END)]] = True
-        self.kept, self.words = Recent(), Recent()
+        self.kept: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.agreed: set[str] = set(map(chr, range(128)))
         self.refused = {"\u03a3"}
 
@@ -97,7 +79,10 @@ class ChunkEncoder:
         split = {chunk: self._words(chunk) for chunk in missing}
         self.kept.update((chunk, self.whole(chunk)) for chunk, words in split.items() if words is None)
         wanted = {word for words in split.values() if words for word in words}
-        fresh = self.words.lacking(wanted)
+        fresh = wanted.difference(self.words)
+        if len(self.words) + len(fresh) > KEPT:
+            self.words.clear()
+            fresh = wanted
         if fresh:
             self._learn_words(list(fresh))
         known = self.words
@@ -110,9 +95,10 @@ class ChunkEncoder:
         found = [list(map(self.kept.get, own)) for own in chunks]
         new = {chunk for own, values in zip(chunks, found) if None in values
                for chunk, value in zip(own, values) if value is None}
-        fresh = self.kept.lacking(new)
-        if fresh:
-            self._learn(fresh)
+        if len(self.kept) + len(new) > KEPT:
+            self.kept.clear()
+        if new:
+            self._learn(new)
         get = self.kept.__getitem__
         for own, values in zip(chunks, found):
             if None in values:
