@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.sources.scratch import scratch_path, stage
@@ -50,10 +51,14 @@ def dense_id(
     df.write.parquet(path)
     written = _position(spark.read.schema(df.schema).parquet(path))
 
-    # One row for each file the write made; the running sum over them stays in one task and off the driver.
-    before = Window.orderBy("_part", "_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = written.groupBy("_part", "_chunk").agg(F.count(F.lit(1)).alias("_rows")).select(
-        "_part", "_chunk", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    # One small row for each file the write made; the planner joins their offsets by measured size.
+    sizes = written.groupBy("_part", "_chunk").agg(F.count(F.lit(1)).alias("rows")).collect()
+    ordered = sorted(sizes, key=lambda size: (size._part, size._chunk))
+    starts = accumulate((size.rows for size in ordered), initial=0)
+    offsets = spark.createDataFrame(
+        [(size._part, size._chunk, start) for size, start in zip(ordered, starts)],
+        "_part int, _chunk int, _start bigint",
+    )
     return written.join(offsets, ["_part", "_chunk"]).select(
         (F.col("_start") + F.col("_row") + 1).alias(name), *columns
     )
