@@ -11,7 +11,7 @@ import regex
 
 # Ids of this many different chunks, and of as many words, are kept by each Python worker, about 200 bytes each; then the
 # store starts anew.
-KEPT = 450_000
+KEPT = 500_000
 # Texts whose new words are encoded together, and the most characters of such a group but for its last text.
 GROUP_TEXTS, GROUP_CHARACTERS = 256, 1_000_000
 # These characters are white space to Python but not to the tokenizer.
@@ -19,6 +19,8 @@ _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 # The tokenizer's own pattern for words, as its file states it.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 WORD_END = "</w>"
+# Characters that are neither letters, numbers nor white space; a run of them is one word.
+MARKS = ".,;:!?&#%*$()\""
 
 
 class ChunkEncoder:
@@ -73,7 +75,10 @@ class ChunkEncoder:
             if not unicodedata.is_normalized("NFC", chunk):
                 return None
         lowered = chunk.lower()
-        return [lowered] if lowered.isalpha() else WORDS.findall(lowered)
+        body = lowered.rstrip(MARKS)
+        if body.isalpha():  # letters, then one run of marks or nothing
+            return [body] if len(body) == len(lowered) else [body, lowered[len(body):]]
+        return WORDS.findall(lowered)
 
     def _learn(self, missing: set[str]) -> None:
         split = {chunk: self._words(chunk) for chunk in missing}
@@ -93,16 +98,15 @@ class ChunkEncoder:
         apart = [any(token in text for token in self.apart) for text in texts]
         chunks = [[] if odd else text.split() for odd, text in zip(apart, texts)]
         found = [list(map(self.kept.get, own)) for own in chunks]
-        new = {chunk for own, values in zip(chunks, found) if None in values
-               for chunk, value in zip(own, values) if value is None}
+        lacking = [[at for at, value in enumerate(values) if value is None] for values in found]
+        new = {own[at] for own, places in zip(chunks, lacking) for at in places}
         if len(self.kept) + len(new) > KEPT:
             self.kept.clear()
         if new:
             self._learn(new)
-        get = self.kept.__getitem__
-        for own, values in zip(chunks, found):
-            if None in values:
-                values[:] = [get(chunk) if value is None else value for chunk, value in zip(own, values)]
+        for own, values, places in zip(chunks, found, lacking):
+            for at in places:
+                values[at] = self.kept[own[at]]
         return [self.whole(text) if odd else b"".join(values) for odd, text, values in zip(apart, texts, found)]
 
     def ids_of(self, texts: Iterable[str]) -> Iterator[bytes]:
