@@ -421,7 +421,7 @@ def described_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns of a published, partitioned table as it is read back, with its recorded number of rows."""
     warehouse = Warehouse(spark, scratch_path(spark, "warehouse"))
     warehouse.publish("flight_data", views.flights(spark, sf_dir), contracts.FLIGHTS, partition_by=("year", "month"))
-    return describe(warehouse.table("flight_data")).withColumn("n", F.lit(ingest.audit(warehouse).first().row_count))
+    return describe(warehouse.table("flight_data")).withColumn("n", F.lit(ingest.audit(warehouse).first().row_count).cast("bigint"))
 
 
 @query(with_views("""
