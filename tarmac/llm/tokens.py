@@ -11,7 +11,7 @@ import regex
 
 # Ids of this many different chunks, and of as many words, are kept by each Python worker, about 200 bytes each; then the
 # store starts anew.
-KEPT = 500_000
+KEPT = 400_000
 # Texts whose new words are encoded together, and the most characters of such a group but for its last text.
 GROUP_TEXTS, GROUP_CHARACTERS = 256, 1_000_000
 # These characters are white space to Python but not to the tokenizer.
