@@ -6,7 +6,7 @@ BLOCKS - distance whole pieces, so they meet in a bucket for one choice of that
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -127,18 +127,19 @@ def _with_prints(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.int64())], names=[*batch.schema.names, "print"])
 
 
-def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """The rows that stay, all columns: of each component the document with the smallest id, null ids last.
+def keep_labelled(df: DataFrame, id_column: str, text_column: str, printer: Callable, added: str, labelled: Callable) -> DataFrame:
+    """The rows that are the label of their own component, all columns; of rows that repeat id and print, one.
 
-    Of documents with that id the one with the smallest fingerprint stays, and of rows that repeat both, one. The rows are
-    written once with their fingerprints, so that each text is hashed a single time.
+    ``printer`` adds the columns ``added``, print among them, to batches of rows, which are written once so that each text is hashed a
+    single time; ``labelled`` gives _print, label from these rows and the names of their id and text.
     """
     names = [f"c{i}" for i in range(len(df.columns))]
     renamed = df.toDF(*names)
-    own_id, place = names[df.columns.index(id_column)], df.columns.index(text_column)
+    place = df.columns.index(text_column)
+    own_id, own_text = names[df.columns.index(id_column)], names[place]
     schema = ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in renamed.schema)
-    rows = stage(renamed.mapInArrow(lambda batches: _with_prints(batches, place), f"{schema}, print bigint"), "printed")
-    labels = _labelled(rows.select(F.col(own_id).alias("id"), "print"), **options)
+    rows = stage(renamed.mapInArrow(lambda batches: printer(batches, place), f"{schema}, {added}"), "printed")
+    labels = labelled(rows, own_id, own_text)
     winners = stage(labels.where("label.print = _print").select("_print", F.col("label.id").alias("_id")), "winners")
     chosen = rows.join(winners, (F.col("print") == F.col("_print")) & F.col(own_id).eqNullSafe(F.col("_id")))
     again = stage(rows.select(F.col(own_id).alias("id"), "print").join(
@@ -149,3 +150,12 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         chosen = chosen.join(again, repeated, "left_anti").unionByName(
             chosen.join(again, repeated, "left_semi").dropDuplicates(["print"]))
     return chosen.select(*(F.col(name).alias(own) for name, own in zip(names, df.columns)))
+
+
+def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """The rows that stay, all columns: of each component the document with the smallest id, null ids last.
+
+    Of documents with that id the one with the smallest fingerprint stays, and of rows that repeat both, one.
+    """
+    return keep_labelled(df, id_column, text_column, _with_prints, "print bigint",
+                         lambda rows, own_id, _: _labelled(rows.select(F.col(own_id).alias("id"), "print"), **options))
