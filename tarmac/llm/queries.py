@@ -43,11 +43,14 @@ def op3_shape_field_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents inserted; then toxic ones deleted and those of low quality counted anew without repeated lines, twice."""
+    """All documents inserted; then toxic ones deleted and those of low quality counted anew without repeated lines, twice.
+
+    Documents without an id stay as inserted.
+    """
     documents, path = read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
     version = F.lit("word_bpe_49k").alias("version")
     rollup = rollups.Rollup(spark, scratch_path(spark, "rollup"))
-    rollup.commit(1, rollups.token_counts(documents, path).select("*", version))
+    rollup.commit(1, rollups.token_counts(documents, path).select("*", version), unnamed=True)
     lines = F.split("text", "\n")
     shorter = documents.where(F.size(lines) > F.size(F.array_distinct(lines))).withColumn("text", F.array_join(F.array_distinct(lines), "\n"))
     labels = read(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
@@ -56,7 +59,7 @@ def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_id").alias("id"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"),
         F.lit(None).cast("bigint").alias("tokens"), version)
     for _ in range(2):
-        rollup.commit(2, revised.select("id", "source", "lang", "tokens", version).unionByName(deleted))
+        rollup.commit(2, revised.select("id", "source", "lang", "tokens", version).unionByName(deleted), unnamed=True)
     return rollup.totals()
 
 

@@ -65,24 +65,33 @@ class Rollup:
         newest = F.max_by(F.struct("source", "lang", "tokens", "present"), "batch")
         return rows.groupBy("id", "version").agg(newest.alias("now")).select("id", "version", "now.*")
 
-    def commit(self, batch: int, changes: DataFrame) -> bool:
+    def commit(self, batch: int, changes: DataFrame, unnamed: bool = False) -> bool:
         """Apply changes (id, version, source, lang, tokens; null tokens delete) as batch number ``batch``.
 
         False, and nothing changes, when the batch is already there or not newer than the last. A document that the state does not know
         is inserted, a known one gets its revised count, source and language, of which null leaves the old one; deleting an unknown one
         changes nothing. Rows that repeat id and version in one batch count once, by the largest (tokens, source, lang), a delete only
-        if nothing else is said. A null version is the empty one; a null id cannot be told apart later and is refused. An
-        empty batch is committed as such.
+        if nothing else is said. A null version is the empty one. A null id cannot be told apart later: the batch is refused, or
+        with ``unnamed`` each such row counts as a document of its own, which no later change can revise or delete; without
+        tokens it deletes nothing. An empty batch is committed as such.
         """
         known = self.committed()
         if known and batch <= known[-1]:
             return False
-        told = changes.withColumn("version", F.coalesce("version", F.lit(""))).groupBy("id", "version").agg(
-            F.max(F.struct("tokens", "source", "lang")).alias("new")).select("id", "version", "new.*")
+        # Rows without an id are added up by source and language, so that the changes are read once.
+        told = changes.withColumns({
+            "version": F.coalesce("version", F.lit("")),
+            "_source": F.when(F.col("id").isNull(), F.col("source")), "_lang": F.when(F.col("id").isNull(), F.col("lang")),
+        }).groupBy("id", "version", "_source", "_lang").agg(
+            F.max(F.struct("tokens", "source", "lang")).alias("new"), F.count("tokens").alias("rows"), F.sum("tokens").alias("total"),
+        ).select("id", "version", "new.*", "rows", "total")
         told.write.mode("overwrite").parquet(f"{self.folder}/changes/{batch}")
-        new = self.spark.read.schema(told.schema).parquet(f"{self.folder}/changes/{batch}")
-        if not new.where("id IS NULL").isEmpty():
+        written = self.spark.read.schema(told.schema).parquet(f"{self.folder}/changes/{batch}")
+        if not unnamed and not written.where("id IS NULL").isEmpty():
             raise ValueError("a change without an id")
+        new = written.where("id IS NOT NULL").drop("rows", "total")
+        plain = written.where("id IS NULL AND rows > 0").select(
+            "version", "source", "lang", F.col("total").alias("tokens"), F.col("rows").alias("documents"))
         old = self.state(new.select("id", "version")).where("present").select(
             F.col("id").alias("_id"), F.col("version").alias("_version"),
             *(F.col(name).alias(f"old_{name}") for name in ("source", "lang", "tokens", "present")))
@@ -95,7 +104,7 @@ class Rollup:
         signed = both.select("version", F.explode(F.expr("""filter(array(
             IF(old_present, struct(old_source AS source, old_lang AS lang, -old_tokens AS tokens, -1L AS documents), NULL),
             IF(tokens IS NOT NULL, struct(source, lang, tokens, 1L AS documents), NULL)), x -> x IS NOT NULL)""")).alias("x"))
-        signed.select("version", "x.*").groupBy(*KEYS).agg(
+        signed.select("version", "x.*").unionByName(plain).groupBy(*KEYS).agg(
             F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")
         ).write.mode("overwrite").parquet(f"{self.folder}/deltas/{batch}")
         self._files().create(self._path("markers", str(batch)), True).close()
