@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm import exact, langid, mixing, packing, pii, rollups, simhash, toxicity, vectors, warc
+from tarmac.llm import exact, langid, mixing, packing, pii, quality, repair, rollups, simhash, toxicity, vectors, warc, whitening
 from tarmac.llm.tables import read
 from tarmac.sources.scratch import scratch_path
 
@@ -157,3 +157,22 @@ FROM line
 """)
 def op10_apportioned_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.quotas(read(spark, sf_dir, "documents"))
+
+
+@_query()
+def op11_block_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+@_query()
+def op12_ranked_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read(spark, sf_dir, "conversations")
+    return repair.audit(repair.damage(conversations), conversations)
+
+
+@_query()
+def op13_passage_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id")))
+    texts = documents.where("NOT held_out").select(F.col("doc_id").alias("key"), "text")
+    labels = read(spark, sf_dir, "labels").where(~langid.held_out(F.col("doc_id"))).select(F.col("doc_id").alias("key"), F.col("quality").alias("label"))
+    return quality.score(documents, quality.fit(texts, labels), keep=["doc_id", "held_out"])
