@@ -18,6 +18,7 @@ from tarmac.sources.csv import AIRPORT_COLUMNS, malformed_lines, read_airports,
 from tarmac.sources.scratch import scratch_path, stage
 from tarmac.sources.warehouse import Warehouse, describe, table_counts
 from tarmac.streaming.drain import drain_arrivals
+from tarmac.streaming.leases import watch_leases
 
 FLIGHTS_SQL = with_views("SELECT * FROM flights", "flights")
 AIRPORTS_SQL = """
@@ -413,6 +414,38 @@ def drained_in_portions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _backfilled(warehouse, ingest.request_log(warehouse))
 
 
+def _logged(spark: SparkSession, sf_dir: str) -> tuple[Warehouse, DataFrame]:
+    """A warehouse, and every event as a row of its request log."""
+    warehouse = Warehouse(spark, scratch_path(spark, "warehouse"))
+    requests = warehouse.publish("weather_req_table", views.requests(spark, sf_dir), contracts.WEATHER_REQUESTS)
+    place = {"name": F.col("code"), "lat": F.lit(0.0), "long": F.lit(0.0)}
+    return warehouse, _log(spark, sf_dir).withColumns(place).select(*requests.columns, "seq")
+
+
+@query(with_views("""
+    SELECT date, code, CASE WHEN over THEN 'pending' ELSE status END AS status, attempt_count, last_error, seq + over::INT AS seq,
+        CASE WHEN over THEN updated_at + INTERVAL 6 HOUR ELSE updated_at END AS updated_at
+    FROM (SELECT *, status = 'in_progress' AND updated_at + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) AS over FROM log)""",
+    "weather_events", log=LOG_SQL))
+def leases_return(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims whose lease the newest event has outlived are back in the queue; timers return them, no later row of theirs."""
+    warehouse, log = _logged(spark, sf_dir)
+    ingest.append_log(warehouse, log)
+    watch_leases(warehouse, f"{warehouse.root}/_leases", 6 * 3600, "event", trigger={"availableNow": True}).awaitTermination()
+    return ingest.request_state(warehouse).select("date", "code", "status", "attempt_count", "last_error", "seq", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
+
+
+@query(with_views("SELECT date, code, status, attempt_count, last_error, seq FROM log", "weather_events", log=LOG_SQL))
+def compacted_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log comes in four parts that do not follow its order, with snapshots between them and a tail behind the last."""
+    warehouse, log = _logged(spark, sf_dir)
+    for part in range(4):
+        ingest.append_log(warehouse, log.where(F.col("seq") % 4 == part))
+        if part in (0, 2):
+            ingest.compact_state(warehouse)
+    return ingest.request_state(warehouse).select("date", "code", "status", "attempt_count", "last_error", "seq")
+
+
 @query(with_views("SELECT c.column_name, c.column_type, n FROM (SELECT count(*) AS n FROM flights), (VALUES " + ", ".join(
     f"('{name}', '{kind}')" for name, kind in zip(contracts.FLIGHTS.names, (
         "date", "int", "int", "int", "int", "double", "string", "string", "string", "string", "bigint", "bigint", "double", "double", "double"))

@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tarmac.operators import contracts, state
 from tarmac.operators.clean import clean_airports, clean_flights, enrichment_requests
 from tarmac.operators.enrich import OUTCOME, Attempt, Reply, RetryPolicy, enrich
 from tarmac.operators.features import NATURAL_ORDER, model_dataset
 from tarmac.operators.ids import dense_id
+from tarmac.sources.keyed_log import KeyedLog
 from tarmac.sources.csv import AIRPORT_COLUMNS, FLIGHT_COLUMNS, MalformedLines, malformed_lines, read_airports, read_flights
 from tarmac.sources.scratch import scratch_path, stage
 from tarmac.sources.warehouse import Warehouse
@@ -20,8 +20,6 @@ from tarmac.sources.warehouse import Warehouse
 LOG = "weather_req_log"
 RESPONSES = "weather_responses"
 RESPONSE_COLUMNS = "code string, date date, api_url string, fetched_at timestamp, payload string, seq bigint"
-# Both logs lie in folders by the month of their keys.
-MONTH = "date_format(date, 'yyyy-MM')"
 
 
 def _sound(warehouse: Warehouse, name: str, lines: DataFrame, quarantine: bool) -> None:
@@ -49,49 +47,55 @@ def build_sources(warehouse: Warehouse, flights_csv: str, airports_csv: str, qua
     requests = warehouse.publish(
         "weather_req_table", enrichment_requests(flights, airports), contracts.WEATHER_REQUESTS
     )
-    known = request_log(warehouse, requests)
-    fresh = state.open_log(requests).join(known.select(*state.KEY).distinct(), list(state.KEY), "left_anti")
+    known = request_state(warehouse, requests)
+    fresh = state.open_log(requests).join(known.select(*state.KEY), list(state.KEY), "left_anti")
     append_log(warehouse, fresh)
     return requests
 
 
-def _months(keys: DataFrame) -> list[str]:
-    """The calendar months of some keys; a thousand years have 12,000."""
-    return [row.month for row in keys.selectExpr(f"{MONTH} AS month").distinct().collect()]
+def _request_log(warehouse: Warehouse) -> KeyedLog:
+    schema = state.open_log(warehouse.table("weather_req_table")).schema
+    return KeyedLog(warehouse, LOG, schema, state.KEY, ("seq", "updated_at"))
 
 
-def _log_schema(warehouse: Warehouse) -> T.StructType:
-    return state.open_log(warehouse.table("weather_req_table")).schema
+def _response_log(warehouse: Warehouse) -> KeyedLog:
+    schema = warehouse.spark.createDataFrame([], RESPONSE_COLUMNS).schema
+    return KeyedLog(warehouse, RESPONSES, schema, state.KEY, ("fetched_at", "seq"))
 
 
 def append_log(warehouse: Warehouse, rows: DataFrame) -> None:
-    warehouse.append(LOG, rows.withColumn("month", F.expr(MONTH)), partition_by=("month",))
+    _request_log(warehouse).append(rows)
 
 
 def request_log(warehouse: Warehouse, keys: DataFrame | None = None) -> DataFrame:
-    """The request log, or its rows of the given keys, of which only the months are read."""
-    return _log_of(warehouse, LOG, _log_schema(warehouse), keys)
+    """The whole request log, or its rows of the given keys, of which only the months are read."""
+    return _request_log(warehouse).rows(keys)
 
 
-def _log_of(warehouse: Warehouse, name: str, schema: T.StructType, keys: DataFrame | None) -> DataFrame:
-    rows = warehouse.log(name, T.StructType([*schema.fields, T.StructField("month", T.StringType())]))
-    if keys is not None:
-        rows = rows.where(F.col("month").isin(_months(keys))).join(keys.select(*state.KEY).distinct(), list(state.KEY), "left_semi")
-    return rows.select(*schema.names)
+def request_state(warehouse: Warehouse, keys: DataFrame | None = None) -> DataFrame:
+    """The newest row of every request, or of the given keys: the snapshot and the log behind it."""
+    return _request_log(warehouse).state(keys)
+
+
+def compact_state(warehouse: Warehouse) -> None:
+    """Write snapshots of the requests and the responses, so that later runs no longer read the logs before them."""
+    _request_log(warehouse).compact()
+    _response_log(warehouse).compact()
+
+
+def append_responses(warehouse: Warehouse, rows: DataFrame) -> None:
+    _response_log(warehouse).append(rows)
 
 
 def responses(warehouse: Warehouse, keys: DataFrame | None = None) -> DataFrame:
-    empty = warehouse.spark.createDataFrame([], RESPONSE_COLUMNS)
-    return _log_of(warehouse, RESPONSES, empty.schema, keys)
+    return _response_log(warehouse).rows(keys)
 
 
 def store_outcomes(warehouse: Warehouse, claimed: DataFrame, outcomes: DataFrame) -> None:
     """Append responses, then final states; repeating it changes nothing in the newest rows."""
     now = F.current_timestamp()
     arrived = outcomes.where("ok").join(claimed.select(*state.KEY, "seq"), list(state.KEY))
-    warehouse.append(RESPONSES, arrived.select(
-        "code", "date", "api_url", now.alias("fetched_at"), "payload", "seq", F.expr(MONTH).alias("month")
-    ), partition_by=("month",))
+    append_responses(warehouse, arrived.select("code", "date", "api_url", now.alias("fetched_at"), "payload", "seq"))
     results = claimed.join(outcomes.select(*state.KEY, "ok", "error"), list(state.KEY))
     done = state.mark(results.where("ok"), "done", now)
     failed = state.mark(results.where("NOT ok"), "failed", now, F.coalesce("error", F.lit("missing payload")))
@@ -100,7 +104,7 @@ def store_outcomes(warehouse: Warehouse, claimed: DataFrame, outcomes: DataFrame
 
 def requeue(warehouse: Warehouse, lease: str) -> None:
     """Return claims older than the lease to the queue."""
-    stale = state.requeue_stale(state.current_state(request_log(warehouse)), F.current_timestamp(), lease)
+    stale = state.requeue_stale(request_state(warehouse), F.current_timestamp(), lease)
     append_log(warehouse, stage(stale, "requeued"))
 
 
@@ -126,11 +130,14 @@ def backfill(
     """Requeue stale claims, claim pending requests, look them up and record the outcomes.
 
     Without a batch size one pass drains everything that is pending. Failed
-    requests are final. Returns the run's statistics.
+    requests are final. Returns the run's statistics. The run reads the newest snapshot and the log behind it, and writes a new
+    snapshot once the log has grown by many files, so that its cost does not grow with the runs before it.
     """
     requeue(warehouse, lease)
-    current = state.current_state(request_log(warehouse))
+    current = request_state(warehouse)
     claimed = stage(state.claim_batch(current, F.current_timestamp(), batch_size), "claimed")
+    for log in (_request_log(warehouse), _response_log(warehouse)):
+        log.compact_if_due()
     return state.run_stats(answer(warehouse, claimed, base_url, fetch, policy, partitions, threads))
 
 
@@ -150,7 +157,7 @@ def drain(
     at most one portion. Returns the statistics of the run.
     """
     requeue(warehouse, lease)
-    pending = state.current_state(request_log(warehouse)).where("status = 'pending'")
+    pending = request_state(warehouse).where("status = 'pending'")
     queue = stage(dense_id(pending, state.KEY, "turn", unique_order=True), "queue")
     outcomes = scratch_path(warehouse.spark, "outcomes")
     empty = warehouse.spark.createDataFrame([], OUTCOME)
@@ -164,7 +171,7 @@ def drain(
 
 def compact_responses(warehouse: Warehouse) -> DataFrame:
     """Publish one response per key as its own table; the log stays as it is."""
-    newest = state.latest_by_key(responses(warehouse), ("date", "code"), ("fetched_at", "seq"))
+    newest = _response_log(warehouse).state()
     return warehouse.publish(
         "weather_response_raw", newest.select(*contracts.WEATHER_RAW.names), contracts.WEATHER_RAW
     )

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tarmac.operators import state
 from tarmac.operators.enrich import Attempt, Reply, RetryPolicy
-from tarmac.plans.ingest import answer, append_log, request_log
+from tarmac.plans.ingest import answer, append_log, request_state
 from tarmac.sources.scratch import stage
 from tarmac.sources.warehouse import Warehouse
 
@@ -40,7 +40,7 @@ def drain_arrivals(
     def handle(batch: DataFrame, _: int) -> None:
         now = F.current_timestamp()
         arrived = stage(state.open_log(batch.select(*columns.names)), "arrivals")
-        known = stage(state.current_state(request_log(warehouse, arrived)).select(*opened.names), "known-arrivals")
+        known = stage(request_state(warehouse, arrived).select(*opened.names), "known-arrivals")
         stale = stage(state.requeue_stale(known, now, lease).select(*opened.names), "requeued")
         append_log(warehouse, stale)
         fresh = arrived.join(known.select(*state.KEY), list(state.KEY), "left_anti").select(*opened.names)

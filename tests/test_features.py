@@ -49,9 +49,7 @@ def test_model_dataset_keeps_every_flight_and_the_newest_weather(spark, flights)
 def test_published_dataset_is_partitioned(spark, flights, tmp_path):
     warehouse = Warehouse(spark, str(tmp_path / "wh"))
     warehouse.publish("flight_data", flights, contracts.FLIGHTS)
-    warehouse.append(ingest.RESPONSES, responses(spark, [("BOI", 1, fixtures.weather_document(), 1)]).withColumn(
-        "api_url", F.lit("u")).select("code", "date", "api_url", "fetched_at", "payload", "seq", F.expr(ingest.MONTH).alias("month")),
-        partition_by=("month",))
+    ingest.append_responses(warehouse, responses(spark, [("BOI", 1, fixtures.weather_document(), 1)]).withColumn("api_url", F.lit("u")))
     dataset = ingest.build_model_dataset(warehouse)
     assert dataset.columns == contracts.MODEL_DATASET.names
     assert sorted(r.id for r in dataset.collect()) == [1, 2, 3]

@@ -150,7 +150,7 @@ def test_crashed_claim_is_requeued_and_upsert_is_idempotent(spark, warehouse):
     assert statuses(warehouse) == {"done": 4, "failed": 2}
     before = {(r.date, r.code, r.payload) for r in ingest.compact_responses(warehouse).collect()}
     stored = ingest.responses(warehouse)
-    warehouse.append(ingest.RESPONSES, stored.withColumn("month", F.expr(ingest.MONTH)), partition_by=("month",))
+    ingest.append_responses(warehouse, stored)
     assert {(r.date, r.code, r.payload) for r in ingest.compact_responses(warehouse).collect()} == before
 
 
