@@ -19,6 +19,7 @@ from tarmac.operators.matching import schedule_documents as read_documents
 from tarmac.operators.matching import schedule_rows as read_rows
 from tarmac.operators.matching import schedule_status as read_status
 from tarmac.plans import scoring, training
+from tarmac.sources.documents import stored_documents
 from tarmac.sources.scratch import scratch_path, stage
 
 DATASET_COLUMNS = contracts.MODEL_DATASET.names
@@ -78,6 +79,13 @@ def weather_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.weather_values(features.newest_responses(views.responses(spark, sf_dir)))
 
 
+@query(with_views("SELECT code, date, " + ", ".join(WEATHER_FIELDS) + " FROM weather", "weather"))
+def stored_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values by path from documents that were parsed when they were stored."""
+    stored = stored_documents(features.newest_responses(views.responses(spark, sf_dir)), label="stored-weather")
+    return features.weather_values(stored).select("code", "date", *WEATHER_FIELDS)
+
+
 @query(with_views("SELECT code, date, " + ", ".join(WEATHER_FIELDS) + " FROM weather", "weather"))
 def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = weather_values(spark, sf_dir)
@@ -300,10 +308,22 @@ def clock_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(with_views("""
-    SELECT date, dep_code, dest_code, page, item, dep_minutes, arr_minutes FROM schedule""", "schedule"))
+SCHEDULE_ROWS_SQL = with_views("""
+    SELECT date, dep_code, dest_code, page, item, dep_minutes, arr_minutes FROM schedule""", "schedule")
+
+
+@query(SCHEDULE_ROWS_SQL)
 def schedule_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_rows(read_documents(views.schedule_responses(spark, sf_dir)))
+    return _offered(views.schedule_responses(spark, sf_dir))
+
+
+@query(SCHEDULE_ROWS_SQL)
+def stored_schedule_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _offered(stored_documents(views.schedule_responses(spark, sf_dir), label="stored-pages"))
+
+
+def _offered(responses: DataFrame) -> DataFrame:
+    rows = read_rows(read_documents(responses))
     return rows.select(
         "date", "dep_code", "dest_code", "page", "item", F.col("offered_minutes").alias("dep_minutes"),
         clock.clock_minutes(F.col("arr_clock")).alias("arr_minutes"),
@@ -340,13 +360,25 @@ STRICT_SQL = "CASE WHEN k IN (31, 37) THEN '{end} weather daily payload was inva
     )) + " END"
 
 
-@query(with_views(f"""
+STRICT_ROWS_SQL = with_views(f"""
     SELECT code, date, status_code, status_code <> 200 AS absent, fault,
         CASE WHEN fault IS NULL THEN value END AS weather_code, CASE WHEN fault IS NULL THEN value + k * 13 END AS pressure_msl_mean
     FROM (SELECT *, {STRICT_SQL} AS fault, CAST(CASE WHEN k = 53 THEN 503 ELSE 200 END AS INTEGER) AS status_code FROM newest_events)""",
-    "newest_events"))
+    "newest_events")
+
+
+@query(STRICT_ROWS_SQL)
 def strict_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checked = scoring.strict_weather(features.newest_responses(views.responses(spark, sf_dir)))
+    return _strict_rows(scoring.strict_weather(features.newest_responses(views.responses(spark, sf_dir))))
+
+
+@query(STRICT_ROWS_SQL)
+def stored_strict_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = stored_documents(features.newest_responses(views.responses(spark, sf_dir)), label="stored-weather")
+    return _strict_rows(scoring.strict_weather(stored))
+
+
+def _strict_rows(checked: DataFrame) -> DataFrame:
     sound = F.col("fault").isNull()
     return checked.select(
         "code", "date", "status_code", "absent", "fault",

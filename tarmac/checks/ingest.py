@@ -424,7 +424,7 @@ def _logged(spark: SparkSession, sf_dir: str) -> tuple[Warehouse, DataFrame]:
 
 @query(with_views("""
     SELECT date, code, CASE WHEN over THEN 'pending' ELSE status END AS status, attempt_count, last_error, seq + over::INT AS seq,
-        CASE WHEN over THEN updated_at + INTERVAL 6 HOUR ELSE updated_at END AS updated_at
+        epoch_us(CASE WHEN over THEN updated_at + INTERVAL 6 HOUR ELSE updated_at END) AS updated_us
     FROM (SELECT *, status = 'in_progress' AND updated_at + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) AS over FROM log)""",
     "weather_events", log=LOG_SQL))
 def leases_return(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -432,7 +432,7 @@ def leases_return(spark: SparkSession, sf_dir: str) -> DataFrame:
     warehouse, log = _logged(spark, sf_dir)
     ingest.append_log(warehouse, log)
     watch_leases(warehouse, f"{warehouse.root}/_leases", 6 * 3600, "event", trigger={"availableNow": True}).awaitTermination()
-    return ingest.request_state(warehouse).select("date", "code", "status", "attempt_count", "last_error", "seq", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
+    return ingest.request_state(warehouse).select("date", "code", "status", "attempt_count", "last_error", "seq", F.unix_micros("updated_at").alias("updated_us"))
 
 
 @query(with_views("SELECT date, code, status, attempt_count, last_error, seq FROM log", "weather_events", log=LOG_SQL))

@@ -24,6 +24,11 @@ def daily_values(daily: str) -> list[str]:
     return [f"try_cast(get({daily}.{field}, 0) AS DOUBLE) AS {field}" for field in WEATHER_FIELDS]
 
 
+def stored_values(document: str) -> list[str]:
+    """SQL for the same values of a VARIANT column, read by path."""
+    return [f"try_cast(try_variant_get({document}, '$.daily.{field}[0]', 'string') AS DOUBLE) AS {field}" for field in WEATHER_FIELDS]
+
+
 def first_elements(document: str) -> list[str]:
     """SQL for the first element of each daily array of a VARIANT column, as VARIANT."""
     return [f"try_variant_get({document}, '$.daily.{field}[0]', 'variant') AS {field}" for field in WEATHER_FIELDS]

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tarmac.fields import CATEGORICAL_FEATURES, MODEL_FEATURES, WEATHER_FIELDS
 from tarmac.functions.requests import significant_delay
-from tarmac.functions.weather import daily_values, parse_daily
+from tarmac.functions.weather import daily_values, parse_daily, stored_values
 from tarmac.operators.ids import dense_id
 from tarmac.operators.state import latest_by_key
+from tarmac.sources.documents import DOCUMENT, TEXT, is_stored
 from tarmac.sources.scratch import stage
 
 # The names flights take in the dataset.
@@ -41,12 +42,14 @@ def weather_table(responses: DataFrame) -> DataFrame:
     split a hot airport day; straight after an aggregation it could not. The two
     joins also share one parse and an exact size.
     """
-    needed = responses.select("date", "code", "fetched_at", "seq", "payload")
+    needed = responses.select("date", "code", "fetched_at", "seq", DOCUMENT if is_stored(responses) else TEXT)
     return stage(weather_values(newest_responses(needed)), "weather")
 
 
 def weather_values(responses: DataFrame) -> DataFrame:
-    """14 typed columns per airport day, each document parsed once."""
+    """14 typed columns per airport day: the fields of stored documents, or of texts, each parsed once."""
+    if is_stored(responses):
+        return responses.selectExpr("date", "code", *stored_values(DOCUMENT))
     parsed = responses.select("date", "code", parse_daily(F.col("payload")).alias("daily"))
     return parsed.selectExpr("date", "code", *daily_values("daily"))
 

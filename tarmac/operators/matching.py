@@ -9,18 +9,19 @@ from tarmac.fields import MATCH_TOLERANCE_MINUTES, MINUTES_PER_DAY
 from tarmac.functions.clock import clock_distance, clock_minutes
 from tarmac.functions.text import nested_text
 from tarmac.operators.settle import settled
+from tarmac.sources.documents import document
 from tarmac.sources.scratch import stage
 
 ROUTE = ("date", "dep_code", "dest_code")
 
 
 def schedule_documents(responses: DataFrame) -> DataFrame:
-    """Responses (date, dep_code, page, status_code, payload) with the provider's outcome.
+    """Responses (date, dep_code, page, status_code, and payload or a stored document) with the provider's outcome.
 
     ``outcome`` is ``listed`` for a non-empty list of flights, ``malformed`` for
     any other non-empty data, ``absent`` otherwise.
     """
-    parsed = responses.withColumn("document", F.try_parse_json("payload"))
+    parsed = responses.withColumn("document", document(responses))
     data = F.try_variant_get("document", "$.data", "variant")
     kind = F.schema_of_variant(data)
     # describing a whole document is slow, so it is left to those without a first flight

@@ -17,6 +17,7 @@ from tarmac.operators.matching import match_schedule, schedule_documents, schedu
 from tarmac.operators.settle import settled
 from tarmac.operators.state import with_membership
 from tarmac.plans.training import predict
+from tarmac.sources.documents import BLANK, DOCUMENT, is_stored, parsed, stored_documents
 from tarmac.sources.scratch import stage
 
 # The messages of each outcome.
@@ -74,13 +75,11 @@ def checked_requests(requests: DataFrame) -> DataFrame:
 
 
 def strict_weather(responses: DataFrame) -> DataFrame:
-    """One row per airport day (date, code, status_code, payload) with its fault and 14 values."""
-    absent = "status_code <> 200 OR payload IS NULL OR trim(payload) = '{}'"
-    parsed = responses.selectExpr(
-        "date", "code", f"{absent} AS absent", "status_code", "try_parse_json(payload) AS document"
-    )
+    """One row per airport day (date, code, status_code, and payload or a stored document) with its fault and 14 values."""
+    stored = responses if is_stored(responses) else parsed(responses)
+    rows = stored.selectExpr("date", "code", f"status_code <> 200 OR {BLANK} AS absent", "status_code", DOCUMENT)
     kept = ("date", "code", "absent", "status_code")
-    elements = parsed.selectExpr(*kept, "document", *first_elements("document"))
+    elements = rows.selectExpr(*kept, "document", *first_elements("document"))
     return elements.selectExpr(*kept, strict_fault("document"), *strict_values())
 
 
@@ -208,7 +207,8 @@ def request_outcomes(
     The larger lookups are written once: weather is parsed once for both ends, and
     the joins shuffle plain scans, whose hot keys the adaptive planner can split.
     """
-    documents = schedule_documents(schedule_responses)
+    # Pages are parsed once, when they are written, for the status and for the flights.
+    documents = schedule_documents(stored_documents(schedule_responses, label="schedule-pages"))
     status = stage(schedule_status(documents), "schedule-status").withColumn("schedule_listed", F.lit(True))
     weather = stage(strict_weather(weather_responses), "strict-weather")
     requests = with_membership(
