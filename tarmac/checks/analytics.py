@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from tarmac.operators.matching import match_schedule
 from tarmac.operators.matching import schedule_documents as read_documents
 from tarmac.operators.matching import schedule_rows as read_rows
 from tarmac.operators.matching import schedule_status as read_status
-from tarmac.plans import scoring, training
+from tarmac.plans import bagging, scoring, training
 from tarmac.sources.documents import stored_documents
 from tarmac.sources.scratch import scratch_path, stage
 
@@ -563,6 +564,47 @@ def planted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.predict(training.load(path), rows).select("id", "significant", "prediction", "probability")
 
 
+# A rare label, ten times as frequent late in the week: no tree is perfect, every vote is a fraction, and the two halves of the week are told
+# apart by every tree (MLlib merges leaves that predict the same class).
+BAGS, BAG_RATE = 5, 0.9
+LATE = "day_of_week >= 4"
+RARE = f"id % (CASE WHEN {LATE} THEN 4 ELSE 40 END) = 0"
+BAGS_SQL = f"""
+    SELECT id, late, significant, tree, CASE {" ".join(
+        f"WHEN u < {limit!r} THEN {count}" for count, limit in enumerate(bagging.poisson_limits(BAG_RATE)))} END AS copies
+    FROM (SELECT id, {LATE} AS late, CAST({RARE} AS INTEGER) AS significant, tree,
+            ('0x' || substr(md5('bag1:' || tree || ':' || id), 1, 8))::BIGINT / 4294967296 AS u
+        FROM (SELECT * FROM dataset WHERE {COMPLETE}), (SELECT unnest(range({BAGS})) AS tree))"""
+BAG_WEIGHTS_SQL = """
+    SELECT CAST(tree AS INTEGER) AS tree, significant, CAST(sum(copies) AS BIGINT) AS n,
+        sum(sum(copies)) OVER (PARTITION BY tree) / (2 * sum(copies)) AS weight
+    FROM bags GROUP BY tree, significant"""
+
+
+def _rare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = features.training_rows(_dataset(spark, sf_dir)).select("id", F.expr(f"CAST({LATE} AS DOUBLE)").alias("late"), F.expr(f"CAST({RARE} AS INT)").alias("significant"))
+    return stage(VectorAssembler(inputCols=["late"], outputCol="features").transform(rows), "rare")
+
+
+@query(with_views("SELECT tree, significant, n, round(weight, 9) AS weight FROM bag_weights", "dataset", bags=BAGS_SQL, bag_weights=BAG_WEIGHTS_SQL))
+def bootstrap_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagging.bootstrap_weights(_rare(spark, sf_dir), "id", BAGS, BAG_RATE).withColumn("weight", F.round("weight", 9))
+
+
+@query(with_views("""
+    SELECT r.id, r.significant, round(avg(v.vote), 9) AS probability, CAST(avg(v.vote) > 0.5 AS INTEGER) AS prediction
+    FROM (SELECT DISTINCT id, late, significant FROM bags) r JOIN (
+        SELECT b.tree, late, sum(copies * weight * b.significant) / sum(copies * weight) AS vote
+        FROM bags b JOIN bag_weights w ON b.tree = w.tree AND b.significant = w.significant GROUP BY b.tree, late) v USING (late)
+    GROUP BY r.id, r.significant""", "dataset", bags=BAGS_SQL, bag_weights=BAG_WEIGHTS_SQL))
+def balanced_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees on the half of the week alone, each with the class weights of its own bootstrap: a leaf's vote is a weighted share."""
+    rows = _rare(spark, sf_dir)
+    grown = {"numTrees": BAGS, "subsamplingRate": BAG_RATE, "maxDepth": 2, "minInstancesPerNode": 1, "featureSubsetStrategy": "all"}
+    forest = bagging.BalancedForest(None, bagging.fit_trees(rows, "id", grown))
+    return forest.vote(rows).select("id", "significant", F.round("probability", 9).alias("probability"), "prediction")
+
+
 @query("""
     SELECT params, CAST(1 AS DOUBLE) AS mean_f1, CAST(0 AS DOUBLE) AS std_f1
     FROM (VALUES ('bootstrap=False,featureSubsetStrategy=all,maxDepth=1,minInstancesPerNode=1,numTrees=1,subsamplingRate=1.0'),

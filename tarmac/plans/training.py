@@ -18,6 +18,7 @@ from tarmac.operators.features import scoring_features, training_rows
 from tarmac.operators.metrics import roc_auc, score_metrics
 from tarmac.operators.profile import class_weights
 from tarmac.operators.split import folds, train_test
+from tarmac.plans.concurrent import side_by_side
 from tarmac.sources.scratch import stage
 
 # The search grid, in MLlib terms. A depth of None is MLlib's maximum.
@@ -95,23 +96,32 @@ def draw_parameters(draws: int = 24, seed: int = 1, grid: dict[str, list] = GRID
     return maps
 
 
-def search(train: DataFrame, draws: list[dict] | None = None, seed: int = 1, folds_of: int = 3) -> DataFrame:
+def search(train: DataFrame, draws: list[dict] | None = None, seed: int = 1, folds_of: int = 3, bound: int = 4) -> DataFrame:
     """Cross-validated F1 of class 1 for each drawn combination: params, mean_f1, std_f1, best first.
 
     The folds are exactly stratified and written once. Indexer, encoder and assembler are fitted once per fold, and its feature
-    vectors are written once for all draws of that fold; only draws times folds numbers reach the driver.
+    vectors are written once for all draws of that fold; only draws times folds numbers reach the driver. ``bound`` fits run at a
+    time, each of which keeps its own rows in executor memory or disk while it runs; the table does not depend on it.
     """
     draws = draws or draw_parameters(seed=seed)
     assigned = stage(prepare(folds(train, folds_of, seed=seed)), "folds")
-    scores: list[list[float]] = [[] for _ in draws]
-    for fold in range(folds_of):
+
+    def vectors_of(fold: int) -> DataFrame:
         features = Pipeline(stages=feature_stages()).fit(assigned.where(F.col("fold") != fold))
-        vectors = stage(features.transform(assigned).select("fold", "significant", "weight", "features"), "fold-vectors")
-        learn, held = vectors.where(F.col("fold") != fold), vectors.where(F.col("fold") == fold)
-        for chosen, own in zip(draws, scores):
-            scored = forest(**chosen).fit(learn).transform(held)
-            own.append(score_metrics(scored).first().f1)
-    rows = [(params_text(chosen), mean(own), pstdev(own)) for chosen, own in zip(draws, scores)]
+        return stage(features.transform(assigned).select("fold", "significant", "weight", "features"), "fold-vectors")
+
+    def score(vectors: DataFrame, fold: int, chosen: dict) -> float:
+        scored = forest(**chosen).fit(vectors.where(F.col("fold") != fold)).transform(vectors.where(F.col("fold") == fold))
+        return score_metrics(scored).first().f1
+
+    spark = train.sparkSession
+    vectors = side_by_side(spark, [lambda fold=fold: vectors_of(fold) for fold in range(folds_of)], bound)
+    scores = side_by_side(spark, [
+        lambda fold=fold, chosen=chosen: score(vectors[fold], fold, chosen) for chosen in draws for fold in range(folds_of)], bound)
+    rows = []
+    for place, chosen in enumerate(draws):
+        own = scores[place * folds_of:(place + 1) * folds_of]
+        rows.append((params_text(chosen), mean(own), pstdev(own)))
     return train.sparkSession.createDataFrame(rows, "params string, mean_f1 double, std_f1 double").orderBy(
         F.desc("mean_f1"), "params")
 
