@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -319,6 +321,39 @@ def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.run_stats(enrich(views.requests(spark, sf_dir), views.WEATHER_ADDRESS, fake_fetch, NO_WAIT))
 
 
+class _Unsteady(Warehouse):
+    """Its second append of responses fails."""
+
+    appends = 0
+
+    def append(self, name: str, df: DataFrame, partition_by: Sequence[str] = ()) -> None:
+        if name.startswith(ingest.RESPONSES):
+            self.appends += 1
+            if self.appends == 2:
+                raise OSError("no space left")
+        super().append(name, df, partition_by)
+
+
+@query(with_views("""
+    SELECT count(*) AS queued, count(*) AS claimed, count(*) AS fetched, count(*) FILTER (WHERE ok AND turn // size <> 1) AS written,
+        count(*) FILTER (WHERE NOT ok) AS failed_fetch, count(*) FILTER (WHERE ok AND turn // size = 1) AS failed_write
+    FROM (SELECT ok, row_number() OVER (ORDER BY date, code) - 1 AS turn, greatest(1, count(*) OVER () // 3) AS size FROM fetched)""",
+    "requests", fetched=FETCH_SQL))
+def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A drain in portions whose second one cannot store its responses."""
+    opened = _open_warehouse(spark, sf_dir)
+    size = max(1, ingest.request_log(opened).count() // 3)
+    return ingest.drain(_Unsteady(spark, opened.root), views.WEATHER_ADDRESS, fake_fetch, NO_WAIT, batch_size=size)
+
+
+@query(with_views(FETCH_SQL, "requests"))
+def enrich_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the lookups were stored by a run that broke off; the second run finds them and asks for the rest."""
+    requests, folder = views.requests(spark, sf_dir), scratch_path(spark, "portions")
+    stage(enrich(requests.where("day(date) % 2 = 0"), views.WEATHER_ADDRESS, fake_fetch, NO_WAIT, partitions=4, portions=folder), "broken-off")
+    return enrich(requests, views.WEATHER_ADDRESS, fake_fetch, NO_WAIT, partitions=4, portions=folder).drop("api_url")
+
+
 @query("""
     SELECT event_id, CASE WHEN status BETWEEN 200 AND 299 THEN 'done'
         WHEN (status IS NULL OR status IN (408, 429, 500, 502, 503, 504)) AND attempt < 2 THEN 'retry'

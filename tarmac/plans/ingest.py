@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from tarmac.operators import contracts, state
 from tarmac.operators.clean import clean_airports, clean_flights, enrichment_requests
-from tarmac.operators.enrich import OUTCOME, Attempt, Reply, RetryPolicy, enrich
+from tarmac.operators.enrich import Attempt, Reply, RetryPolicy, enrich
 from tarmac.operators.features import NATURAL_ORDER, model_dataset
 from tarmac.operators.ids import dense_id
-from tarmac.sources.keyed_log import KeyedLog
+from tarmac.plans.counters import RunCounters, counted
 from tarmac.sources.csv import AIRPORT_COLUMNS, FLIGHT_COLUMNS, MalformedLines, malformed_lines, read_airports, read_flights
-from tarmac.sources.scratch import scratch_path, stage
+from tarmac.sources.keyed_log import KeyedLog
+from tarmac.sources.scratch import stage
 from tarmac.sources.warehouse import Warehouse
 
 LOG = "weather_req_log"
@@ -91,15 +92,27 @@ def responses(warehouse: Warehouse, keys: DataFrame | None = None) -> DataFrame:
     return _response_log(warehouse).rows(keys)
 
 
-def store_outcomes(warehouse: Warehouse, claimed: DataFrame, outcomes: DataFrame) -> None:
-    """Append responses, then final states; repeating it changes nothing in the newest rows."""
+def store_outcomes(warehouse: Warehouse, claimed: DataFrame, outcomes: DataFrame) -> RunCounters:
+    """Append responses, then final states; repeating it changes nothing in the newest rows.
+
+    Responses are stored as a whole. If that fails, their requests end as failed with the error, and the run goes on.
+    """
     now = F.current_timestamp()
-    arrived = outcomes.where("ok").join(claimed.select(*state.KEY, "seq"), list(state.KEY))
-    append_responses(warehouse, arrived.select("code", "date", "api_url", now.alias("fetched_at"), "payload", "seq"))
+    arrived = outcomes.where("ok").join(claimed.select(*state.KEY, "seq"), list(state.KEY)).select(
+        "code", "date", "api_url", now.alias("fetched_at"), "payload", "seq")
+    written, lost = 0, None
+    try:
+        _, counts = counted(arrived, lambda rows: append_responses(warehouse, rows), n=F.count(F.lit(1)))
+        written = counts["n"]
+    except Exception as error:
+        lost = f"response was not stored: {type(error).__name__}"
     results = claimed.join(outcomes.select(*state.KEY, "ok", "error"), list(state.KEY))
-    done = state.mark(results.where("ok"), "done", now)
-    failed = state.mark(results.where("NOT ok"), "failed", now, F.coalesce("error", F.lit("missing payload")))
+    sound = F.col("ok") if lost is None else F.lit(False)
+    reason = F.coalesce("error", F.lit(lost or "missing payload"))
+    done = state.mark(results.where(sound), "done", now)
+    failed = state.mark(results.where(~sound), "failed", now, reason)
     append_log(warehouse, done.unionByName(failed).select(*claimed.columns))
+    return RunCounters(written=written, failed_write=0 if lost is None else arrived.count())
 
 
 def requeue(warehouse: Warehouse, lease: str) -> None:
@@ -109,12 +122,12 @@ def requeue(warehouse: Warehouse, lease: str) -> None:
 
 
 def answer(warehouse: Warehouse, claimed: DataFrame, base_url: str, fetch: Callable[[str, Attempt], Reply],
-           policy: RetryPolicy, partitions: int | None, threads: int) -> DataFrame:
-    """Log a staged claim, look it up and record the outcomes, which are returned as a written table."""
-    append_log(warehouse, claimed)
-    outcomes = stage(enrich(claimed, base_url, fetch, policy, partitions, threads), "outcomes")
-    store_outcomes(warehouse, claimed, outcomes)
-    return outcomes
+           policy: RetryPolicy, partitions: int | None, threads: int, portions: str | None = None) -> RunCounters:
+    """Log a staged claim, look it up and record the outcomes; ``portions`` is a folder for this claim alone, see ``enrich``."""
+    _, taken = counted(claimed, lambda rows: append_log(warehouse, rows), claimed=F.count(F.lit(1)))
+    found = enrich(claimed, base_url, fetch, policy, partitions, threads, portions)
+    outcomes, seen = counted(found, lambda rows: stage(rows, "outcomes"), fetched=F.count(F.lit(1)), failed_fetch=F.count_if(~F.col("ok")))
+    return RunCounters(**taken, **seen) + store_outcomes(warehouse, claimed, outcomes)
 
 
 def backfill(
@@ -126,6 +139,7 @@ def backfill(
     partitions: int | None = None,
     threads: int = 10,
     lease: str = "1 minute",
+    portions: str | None = None,
 ) -> DataFrame:
     """Requeue stale claims, claim pending requests, look them up and record the outcomes.
 
@@ -134,11 +148,13 @@ def backfill(
     snapshot once the log has grown by many files, so that its cost does not grow with the runs before it.
     """
     requeue(warehouse, lease)
-    current = request_state(warehouse)
-    claimed = stage(state.claim_batch(current, F.current_timestamp(), batch_size), "claimed")
+    pending = request_state(warehouse).where("status = 'pending'")
+    queue, waiting = counted(pending, lambda rows: stage(rows, "queue"), queued=F.count(F.lit(1)))
+    claimed = stage(state.claim_batch(queue, F.current_timestamp(), batch_size), "claimed")
     for log in (_request_log(warehouse), _response_log(warehouse)):
         log.compact_if_due()
-    return state.run_stats(answer(warehouse, claimed, base_url, fetch, policy, partitions, threads))
+    counters = RunCounters(**waiting) + answer(warehouse, claimed, base_url, fetch, policy, partitions, threads, portions)
+    return counters.table(warehouse.spark)
 
 
 def drain(
@@ -158,15 +174,13 @@ def drain(
     """
     requeue(warehouse, lease)
     pending = request_state(warehouse).where("status = 'pending'")
-    queue = stage(dense_id(pending, state.KEY, "turn", unique_order=True), "queue")
-    outcomes = scratch_path(warehouse.spark, "outcomes")
-    empty = warehouse.spark.createDataFrame([], OUTCOME)
-    empty.write.parquet(outcomes)
-    for start in range(0, queue.count(), batch_size):
+    queue, waiting = counted(dense_id(pending, state.KEY, "turn", unique_order=True), lambda rows: stage(rows, "queue"), queued=F.count(F.lit(1)))
+    counters = RunCounters(**waiting)
+    for start in range(0, counters.queued, batch_size):
         portion = queue.where(F.col("turn").between(start + 1, start + batch_size)).drop("turn")
         claimed = stage(state.claim_batch(portion, F.current_timestamp()), "claimed")
-        answer(warehouse, claimed, base_url, fetch, policy, partitions, threads).write.mode("append").parquet(outcomes)
-    return state.run_stats(warehouse.spark.read.schema(empty.schema).parquet(outcomes))
+        counters += answer(warehouse, claimed, base_url, fetch, policy, partitions, threads)
+    return counters.table(warehouse.spark)
 
 
 def compact_responses(warehouse: Warehouse) -> DataFrame:
