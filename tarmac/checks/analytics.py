@@ -474,6 +474,32 @@ def request_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _sql_clock(minutes: str) -> str:
+    return f"lpad(CAST({minutes} // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST({minutes} % 60 AS VARCHAR), 2, '0')"
+
+
+# Complete requests with both airports, the matched flight and every model feature.
+LADDER["complete"] = f"""
+    SELECT c.*, o.name AS origin_city_name, o.lat AS origin_lat, o.long AS origin_long, d.name AS dest_city_name, d.lat AS dest_lat, d.long AS dest_long,
+        {_sql_clock("offered_minutes")} AS dep_clock, {_sql_clock("arr_minutes")} AS arr_clock,
+        c.date AS flight_date, c.dep_code AS origin, c.dest_code AS dest, CAST(year(c.date) AS INTEGER) AS year, CAST(month(c.date) AS INTEGER) AS month,
+        CAST(day(c.date) AS INTEGER) AS day_of_month, CAST(isodow(c.date) AS INTEGER) AS day_of_week,
+        CAST(offered_minutes // 60 * 100 + offered_minutes % 60 AS BIGINT) AS pred_dep_time, CAST(arr_minutes // 60 * 100 + arr_minutes % 60 AS BIGINT) AS pred_arr_time,
+        (arr_minutes - offered_minutes + 1440) % 1440 AS pred_elapsed_time,
+        CAST(round_even(3958.7613e0 * 2 * atan2(sqrt(a), sqrt(1 - a)), 0) AS INTEGER) AS fl_distance,
+        {", ".join(f"{end}_value + {end}_k * {index} AS {name}_{field}" for end, name in (("o", "origin"), ("d", "dest")) for index, field in enumerate(WEATHER_FIELDS))}
+    FROM coded c JOIN airports o ON o.code = c.dep_code JOIN airports d ON d.code = c.dest_code,
+        LATERAL (SELECT pow(sin(radians(d.lat - o.lat) / 2), 2) + cos(radians(o.lat)) * cos(radians(d.lat)) * pow(sin(radians(d.long - o.long) / 2), 2) AS a)
+    WHERE status_code = 200"""
+ROUTE_TEXTS = ("origin_city_name", "origin_lat", "origin_long", "dest_city_name", "dest_lat", "dest_long", "dep_clock", "arr_clock")
+
+
+@query(with_views(f"SELECT req_id, {', '.join((*ROUTE_TEXTS, *MODEL_FEATURES))} FROM complete", *LADDER_VIEWS, "airports", **LADDER))
+def request_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features of every complete request, with the names, places and clocks beside them."""
+    return _outcomes(spark, sf_dir).where("status_code = 200").select("req_id", *ROUTE_TEXTS, *MODEL_FEATURES)
+
+
 @query(with_views("SELECT req_id, stage, status_code AS code, message AS description FROM coded WHERE status_code <> 200",
                   *LADDER_VIEWS, **LADDER))
 def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -644,3 +670,26 @@ def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 def batch_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = training.fit(_training_table(spark, sf_dir).where("NOT is_test"), **SMALL_FOREST)
     return scoring.score_requests(_outcomes(spark, sf_dir), model)
+
+
+# A label that the late half of the week makes likely and never certain: one split, and a probability that is a weighted share.
+LIKELY = f"(id % 10 = 0) <> ({LATE})"
+
+
+@query(with_views(f"""
+    SELECT d.req_id, d.stage, d.status_code, d.message, share > 0.5 AS is_significant_delay, round(share, 9) AS significant_delay_probability,
+        c.fl_distance, {", ".join(f"c.{name}" for name in scoring.RESPONSE_FIELDS)},
+        CASE WHEN share IS NULL THEN '--' WHEN share > 0.5 THEN 'Significant' ELSE 'Low' END AS risk,
+        coalesce(CAST(CAST(floor(share * 100 + 0.5) AS BIGINT) AS VARCHAR) || '%', '--') AS probability_text,
+        coalesce(CAST(c.fl_distance AS VARCHAR) || ' mi', '--') AS distance_text
+    FROM coded d LEFT JOIN complete c USING (req_id) LEFT JOIN shares s ON s.late = (c.day_of_week >= 4)""",
+    *LADDER_VIEWS, "airports", "dataset", **LADDER,
+    likely=f"SELECT {LATE} AS late, CAST({LIKELY} AS INTEGER) AS significant FROM dataset WHERE {COMPLETE}",
+    balance="SELECT significant, sum(count(*)) OVER () / (2 * count(*)) AS weight FROM likely GROUP BY significant",
+    shares="SELECT late, sum(weight * l.significant) / sum(weight) AS share FROM likely l JOIN balance b ON l.significant = b.significant GROUP BY late"))
+def planted_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole response to every request from a forest with known answers."""
+    rows = stage(features.training_rows(_dataset(spark, sf_dir)).withColumn("significant", F.expr(f"CAST({LIKELY} AS INT)")), "likely")
+    model = training.fit(rows, **{**ONE_TREE, "maxDepth": 1})
+    scored = scoring.score_requests(_outcomes(spark, sf_dir), model)
+    return scored.withColumn("significant_delay_probability", F.round("significant_delay_probability", 9))

@@ -251,7 +251,7 @@ def score_requests(outcomes: DataFrame, model: PipelineModel) -> DataFrame:
         "req_id", "stage", "status_code", "message",
         significant.alias("is_significant_delay"), probability.alias("significant_delay_probability"),
         F.when(complete, F.col("fl_distance")).cast("int").alias("fl_distance"),
-        *[F.when(complete, F.col(name)).alias(name) for name in RESPONSE_FIELDS],
+        *[F.when(complete, F.col(name).cast("int") if name == "pred_elapsed_time" else F.col(name)).alias(name) for name in RESPONSE_FIELDS],
         risk_label(significant).alias("risk"), percent_text(probability).alias("probability_text"),
         miles_text(F.when(complete, F.col("fl_distance"))).alias("distance_text"),
     )
