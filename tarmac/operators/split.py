@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Rows fetched to place one cut exactly; the histogram is refined until the
-# bucket holding the cut is no larger.
+# Rows fetched to place one cut exactly; a bracket with more is divided again.
 FETCH_LIMIT = 20_000
-BUCKET_HEX_DIGITS = 3
+# A sketch of this size places a rank within 0.13 % of a class; the bracket around a cut is wider, and its counts tell if it missed.
+SKETCH_SIZE, MARGIN = 4096, 0.005
+# Into so many ranges one pass divides the bracket of a cut.
+RANGES = 4096
+# Hashes are compared as numbers by their first 15 hexadecimal digits, and as text where those are equal.
+DIGITS = 15
+HIGHEST = 16**DIGITS - 1
 
 
 def hash_order(key: str, seed: int) -> Column:
@@ -19,45 +25,86 @@ def hash_order(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
-def _nth_hashes(rows: DataFrame, wanted: dict[tuple[int, int], int]) -> dict[tuple[int, int], str]:
-    """The hash at a given 1-based rank of its class, for several (class, cut) at once.
+class _Bracket(NamedTuple):
+    """A range of hash numbers, both ends included, that should hold the hash at ``rank`` of a class."""
 
-    Each pass counts rows per hash prefix inside the buckets that still hold a
-    cut, 4096 finer buckets per pass, so only counts travel to the driver. Keys
-    are unique, so buckets shrink by that factor every time.
+    rank: int
+    low: int
+    high: int
+
+    @property
+    def width(self) -> int:
+        return max(1, -(-(self.high - self.low + 1) // RANGES))
+
+
+def _brackets(order: DataFrame, shares: Sequence[float]) -> dict[tuple[int, int], _Bracket]:
+    """First pass: the size of each class and brackets for its cuts, from a mergeable quantile sketch of its hashes."""
+    ends = [sum(shares[: index + 1]) for index in range(len(shares))]
+    asked = [min(1.0, max(0.0, end + side)) for end in ends for side in (-MARGIN, MARGIN)]
+    found = order.where("label IS NOT NULL").groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_bigint("place", F.lit(SKETCH_SIZE)).alias("sketch")
+    ).select("label", "n", F.kll_sketch_get_quantile_bigint("sketch", F.array(*map(F.lit, asked))).alias("values")).collect()
+    brackets = {}
+    for row in found:
+        for index, end in enumerate(ends):
+            rank = round(end * row.n)
+            if rank > 0:
+                low = 0 if asked[2 * index] == 0 else row["values"][2 * index]
+                high = HIGHEST if asked[2 * index + 1] == 1 else row["values"][2 * index + 1]
+                brackets[(row.label, index)] = _Bracket(rank, low, high)
+    return brackets
+
+
+def _histograms(order: DataFrame, brackets: dict[tuple[int, int], _Bracket]) -> dict[tuple[int, int], dict[int, int]]:
+    """Second pass: rows by range of each bracket, and those below it as range -1; only counts travel to the driver."""
+    def at(label: int) -> Column:
+        own = [(index, bracket) for (value, index), bracket in brackets.items() if value == label]
+        return F.array(*[F.struct(F.lit(index).alias("cut"), F.when(F.col("place") < bracket.low, -1).when(
+            F.col("place") <= bracket.high, F.floor((F.col("place") - bracket.low) / bracket.width)).cast("int").alias("range")) for index, bracket in own])
+
+    places = F.lit(None)
+    for label in sorted({value for value, _ in brackets}):
+        places = F.when(F.col("label") == label, at(label)).otherwise(places)
+    counts = order.select("label", F.inline(places)).where("range IS NOT NULL").groupBy("label", "cut", "range").agg(F.count(F.lit(1)).alias("n"))
+    out: dict[tuple[int, int], dict[int, int]] = {cut: {} for cut in brackets}
+    for row in counts.collect():
+        out[(row.label, row.cut)][row.range] = row.n
+    return out
+
+
+def _nth_hashes(order: DataFrame, brackets: dict[tuple[int, int], _Bracket]) -> dict[tuple[int, int], str]:
+    """The hash at a 1-based rank of its class, for all (class, cut) at once.
+
+    One pass counts inside the brackets and one fetches the rows of the range that holds each cut. A bracket that missed its cut is
+    opened to all hashes, and a range of too many rows becomes the next bracket; either costs one more counting pass, never exactness.
     """
-    found: dict[tuple[int, int], str] = {}
-    prefixes = {cut: "" for cut in wanted}
-    ranks = dict(wanted)
-    while prefixes:
-        digits = len(next(iter(prefixes.values()))) + BUCKET_HEX_DIGITS
-        inside = reduce(lambda a, b: a | b, [
-            (F.col("label") == cut[0]) & F.col("hash").startswith(prefix) for cut, prefix in prefixes.items()
-        ])
-        counts = (
-            rows.where(inside)
-            .groupBy("label", F.substring("hash", 1, digits).alias("bucket"))
-            .agg(F.count(F.lit(1)).alias("n")).collect()
-        )
-        narrowed = {}
-        for cut, prefix in prefixes.items():
-            buckets = sorted((row.bucket, row.n) for row in counts if row.label == cut[0] and row.bucket.startswith(prefix))
-            for bucket, n in buckets:
-                if ranks[cut] <= n:
-                    narrowed[cut] = (bucket, n)
+    open_, placed = dict(brackets), {}
+    while open_:
+        counted = _histograms(order, open_)
+        following = {}
+        for cut, bracket in open_.items():
+            before = counted[cut].get(-1, 0)
+            for number in sorted(number for number in counted[cut] if number >= 0):
+                n = counted[cut][number]
+                if before < bracket.rank <= before + n:
+                    low = bracket.low + number * bracket.width
+                    inside = _Bracket(bracket.rank, low, min(bracket.high, low + bracket.width - 1))
+                    if n > FETCH_LIMIT and inside.high > inside.low:
+                        following[cut] = inside
+                    else:
+                        placed[cut] = (inside, bracket.rank - before)
                     break
-                ranks[cut] -= n
-        prefixes = {}
-        for cut, (bucket, n) in narrowed.items():
-            if n > FETCH_LIMIT and digits < 32:
-                prefixes[cut] = bucket
-                continue
-            last = (
-                rows.where((F.col("label") == cut[0]) & F.col("hash").startswith(bucket))
-                .select("hash").orderBy("hash").limit(ranks[cut]).agg(F.max("hash")).collect()
-            )
-            found[cut] = last[0][0]
-    return found
+                before += n
+            else:
+                following[cut] = _Bracket(bracket.rank, 0, HIGHEST)
+        open_ = following
+    if not placed:
+        return {}
+    inside = reduce(lambda a, b: a | b, [
+        (F.col("label") == cut[0]) & F.col("place").between(bracket.low, bracket.high) for cut, (bracket, _) in placed.items()])
+    fetched = order.where(inside).select("label", "hash", "place").collect()
+    return {cut: sorted(row.hash for row in fetched if row.label == cut[0] and bracket.low <= row.place <= bracket.high)[nth - 1]
+            for cut, (bracket, nth) in placed.items()}
 
 
 def stratified_parts(
@@ -68,24 +115,19 @@ def stratified_parts(
 
     Part ``i`` takes ``round(cumulative share * class size)`` minus what earlier
     parts took, in hash order; the remainder is the last part. ``key`` must be
-    unique. The result is a plain projection comparing each row's hash with its
+    unique. Three passes over key and label place all cuts: a sketch brackets them, a count and a small fetch make them exact. The result is a plain projection comparing each row's hash with its
     class's cuts: no shuffle, no window, and the same answer on any cluster.
     """
-    order = rows.select(F.col(label).alias("label"), hash_order(key, seed).alias("hash"))
-    sizes = {row.label: row.n for row in order.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    wanted = {}
-    for value, size in sizes.items():
-        for index in range(len(shares)):
-            rank = round(sum(shares[: index + 1]) * size)
-            if rank > 0:
-                wanted[(value, index)] = rank
-    cuts = _nth_hashes(order, wanted)
+    digest = hash_order(key, seed)
+    order = rows.select(F.col(label).alias("label"), digest.alias("hash"), F.conv(F.substring(digest, 1, DIGITS), 16, 10).cast("bigint").alias("place"))
+    brackets = _brackets(order, shares)
+    cuts = _nth_hashes(order, brackets)
 
     row_hash = hash_order(key, seed)
     part = F.lit(len(shares))
     for index in reversed(range(len(shares))):
         below = F.lit(False)
-        for value in sizes:
+        for value in sorted({value for value, _ in cuts}):
             if (value, index) in cuts:
                 below = below | ((F.col(label) == value) & (row_hash <= cuts[(value, index)]))
         part = F.when(below, index).otherwise(part)

@@ -65,6 +65,28 @@ def test_split_is_exact_per_class(spark, monkeypatch, limit, seed):
         assert {r.id for r in parted if r.significant == value and r.is_test} == set(keys[: round(0.2 * len(keys))])
 
 
+@pytest.mark.parametrize("margin, size", [(0.0, 8), (0.02, 8), (0.005, 4096)])
+def test_brackets_that_miss_are_opened_and_three_passes_do_otherwise(spark, monkeypatch, margin, size):
+    monkeypatch.setattr(split, "MARGIN", margin)
+    monkeypatch.setattr(split, "SKETCH_SIZE", size)
+    passes, count = [], split._histograms
+    monkeypatch.setattr(split, "_histograms", lambda *given: passes.append(1) or count(*given))
+    rows = spark.range(20_000).select("id", (F.col("id") % 9 == 0).cast("int").alias("significant"))
+    parted = split.stratified_parts(rows, [0.1, 0.25, 0.3]).collect()
+    for value in (0, 1):
+        keys = sorted((r.id for r in parted if r.significant == value), key=lambda k: digest(1, k))
+        cuts = [0, *(round(end * len(keys)) for end in (0.1, 0.35, 0.65)), len(keys)]
+        for part, (low, high) in enumerate(zip(cuts, cuts[1:])):
+            assert {r.id for r in parted if r.significant == value and r.part == part} == set(keys[low:high])
+    assert size < 4096 or len(passes) == 1  # between the sketch and the fetch
+
+
+def test_rows_without_a_label_stay_in_the_last_part(spark):
+    rows = spark.range(100).select("id", F.when(F.col("id") % 2 == 0, 1).alias("significant"))
+    parts = Counter((r.significant, r.part) for r in split.stratified_parts(rows, [0.5]).collect())
+    assert parts == {(1, 0): 25, (1, 1): 25, (None, 1): 50}
+
+
 def test_folds_cover_every_row_once(spark):
     rows = spark.range(1000).select("id", (F.col("id") % 4 == 0).cast("int").alias("significant"))
     counts = Counter((r.significant, r.fold) for r in split.folds(rows, 3).collect())
