@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarmac.operators.hot_keys import lookup_join
+
 KEY = ("date", "code")
 
 
@@ -85,9 +87,9 @@ def answered(requests: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def with_membership(df: DataFrame, code: str, known: DataFrame, flag: str) -> DataFrame:
-    """Add a boolean column: does the code occur in ``known``?"""
+    """Add a boolean column: does the code occur in ``known``? Codes that very many rows share are spread over tasks."""
     marked = known.select(F.col("code").alias(code)).distinct().withColumn(flag, F.lit(True))
-    return df.join(marked, code, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    return lookup_join(df, marked, code).withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
 def run_stats(outcomes: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from tarmac.functions.requests import miles_text, percent_text, request_errors,
 from tarmac.functions.text import airport_code
 from tarmac.functions.weather import first_elements, strict_fault, strict_values
 from tarmac.operators.clean import one_per_code
+from tarmac.operators.hot_keys import lookup_join
 from tarmac.operators.matching import match_schedule, schedule_documents, schedule_rows, schedule_status
 from tarmac.operators.settle import settled
 from tarmac.operators.state import with_membership
@@ -100,13 +101,15 @@ def _airport_at(airports: DataFrame, end: str, code: str) -> DataFrame:
 
 
 def with_airports(requests: DataFrame, airports: DataFrame) -> DataFrame:
-    """Both airports of each request, as two equi-joins with one row per code."""
-    single = one_per_code(airports)
-    return (
-        requests
-        .join(_airport_at(single, "origin", "depIataCode"), "depIataCode", "left")
-        .join(_airport_at(single, "dest", "destIataCode"), "destIataCode", "left")
-    )
+    """Both airports of each request, as two lookups with one row per code that spread the airports most requests name.
+
+    The airports are written once for both ends; the requests are written before each lookup, which reads their codes first.
+    """
+    single = stage(one_per_code(airports), "airports")
+    placed = requests
+    for end, code in (("origin", "depIataCode"), ("dest", "destIataCode")):
+        placed = lookup_join(stage(placed, f"requests-{end}"), _airport_at(single, end, code), code)
+    return placed
 
 
 def flight_columns(strict_clock: bool = True) -> dict[str, Column]:
@@ -212,7 +215,7 @@ def request_outcomes(
     status = stage(schedule_status(documents), "schedule-status").withColumn("schedule_listed", F.lit(True))
     weather = stage(strict_weather(weather_responses), "strict-weather")
     requests = with_membership(
-        checked_requests(normalise_requests(requests)), "depIataCode", known_codes, "known_departure"
+        stage(checked_requests(normalise_requests(requests)), "checked-requests"), "depIataCode", known_codes, "known_departure"
     )
     placed = (
         requests
