@@ -86,27 +86,51 @@ def product(codes: np.ndarray) -> np.ndarray:
     return found[0]
 
 
-def costs_before(codes: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """[place, state]: the least cost from before each row, and after the last, given the costs ``after`` the rows."""
-    found = np.empty((len(codes) + 1, STATES), dtype=np.int64)
-    found[-1] = after
-    for place in range(len(codes) - 1, -1, -1):
-        found[place] = (_ROWS[codes[place]] + found[place + 1]).min(axis=1)
+class Pieces:
+    """The pieces of conversations in one chunk, one behind the other: a place for every row, and one behind the last row of each piece.
+
+    ``codes`` has the row's code at each place and -1 behind a piece; node ``place * 4 + state``.
+    """
+
+    def __init__(self, table: pa.Table):
+        table = table.sort_by("pos")
+        self.conv, self.pos = table.column("conv").to_pylist(), table.column("pos").to_numpy()
+        rows = len(self.conv)
+        begins = np.array([i == 0 or self.conv[i] != self.conv[i - 1] for i in range(rows)], dtype=bool)
+        self.first_rows = np.flatnonzero(begins)
+        self.lengths = np.diff(np.append(self.first_rows, rows))
+        self.place = np.arange(rows) + np.cumsum(begins) - 1
+        self.starts = self.first_rows + np.arange(len(self.first_rows))
+        self.ends = self.starts + self.lengths
+        self.codes = np.full(rows + len(self.starts), -1)
+        self.codes[self.place] = table.column("code").to_numpy()
+        # Facts stand on the first row of each piece.
+        self.facts = table.take(pa.array(self.first_rows, pa.int64()))
+
+    def rows_of(self, piece: int) -> np.ndarray:
+        return self.codes[self.starts[piece]:self.ends[piece]]
+
+
+def costs_before(codes: np.ndarray, ends: np.ndarray, lengths: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """[place, state]: the least cost from each place, given the costs ``after`` each piece; all pieces take a step back at once."""
+    found = np.full((len(codes), STATES), _FAR)
+    found[ends] = after
+    for back in range(1, int(lengths.max(initial=0)) + 1):
+        at = ends[lengths >= back] - back
+        found[at] = (_ROWS[codes[at]] + found[at + 1][:, None, :]).min(axis=2)
     return np.minimum(found, _FAR)
 
 
-def optimal_arcs(codes: np.ndarray, costs: np.ndarray, last: bool) -> np.ndarray:
+def optimal_arcs(codes: np.ndarray, costs: np.ndarray, filled: np.ndarray) -> np.ndarray:
     """[node, letter]: the node that an optimal arc with this letter leads to, -1 without one.
 
-    Node ``place * 4 + state``; the final place holds the states in which the piece is left. At the end of a conversation rows may
-    be put in there too.
+    Rows may be put in before every row, and at the places of ``filled``, which end a conversation.
     """
-    then = np.full(((len(codes) + 1) * STATES, len(LETTERS)), -1, dtype=np.int64)
-    places = np.arange(len(codes) + (1 if last else 0)) * STATES
+    then = np.full((len(codes) * STATES, len(LETTERS)), -1, dtype=np.int64)
+    places = np.flatnonzero((codes >= 0) | filled)
     for state in range(STATES):
-        filled = _FILLED[state]
-        best = costs[:len(places), state] == INSERT + costs[:len(places), filled]
-        then[places[best] + state, _I] = places[best] + filled
+        best = places[costs[places, state] == INSERT + costs[places, _FILLED[state]]]
+        then[best * STATES + state, _I] = best * STATES + _FILLED[state]
     for code in range(GONE + 1):
         at = np.flatnonzero(codes == code)
         for state, letter, following, cost in _arcs(code):
@@ -118,7 +142,8 @@ def optimal_arcs(codes: np.ndarray, costs: np.ndarray, last: bool) -> np.ndarray
 def ranked_pointers(then: np.ndarray) -> list[np.ndarray]:
     """Pointers of 1, 2, 4, ... letters along the least audit of every node; a final node points to itself.
 
-    Ranks order the nodes by their least audits of that many letters. An arc is chosen by its letter and by the rank of the node it leads to.
+    Ranks order the nodes by their least audits of that many letters: at first by the letter, then by the rank of the first half and that of the
+    node where it ends. Of arcs with one letter the one to the lower rank would be taken; here there is one only.
     """
     nodes = np.arange(len(then))
     inner = then >= 0
@@ -128,7 +153,6 @@ def ranked_pointers(then: np.ndarray) -> list[np.ndarray]:
     rank = letter + 1
     pointers = [pointer]
     while True:
-        # Twice as many letters: the rank of the first half, then that of the node where it ends.
         pairs = rank * np.int64(len(then) + 2) + rank[pointer]
         rank = np.unique(pairs, return_inverse=True)[1]
         further = pointer[pointer]
@@ -138,68 +162,70 @@ def ranked_pointers(then: np.ndarray) -> list[np.ndarray]:
         pointers.append(pointer)
 
 
-def least_path(pointers: list[np.ndarray], start: int) -> np.ndarray:
-    """Nodes of the least audit from ``start`` to its final node: each level halves the steps between the nodes known so far."""
-    path = np.array([start])
+def least_paths(pointers: list[np.ndarray], starts: np.ndarray) -> np.ndarray:
+    """All nodes on the least audits from ``starts``; each level halves the steps between the nodes known so far."""
+    path = np.append(starts, pointers[-1][starts])
     for pointer in reversed(pointers):
-        path = np.stack([path, pointer[path]], axis=1).ravel()
-    path = np.append(path, pointers[-1][start])
-    return path[np.append(True, path[1:] != path[:-1])]
+        path = np.unique(np.append(path, pointer[path]))
+    return path
 
 
-def _letters(then: np.ndarray, path: np.ndarray) -> list[int]:
-    return [int(np.flatnonzero(then[a] == b)[0]) for a, b in zip(path, path[1:])]
+def planned(then: np.ndarray, path: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By place: rows put in before it, its letter (-1 at the end of a piece) and the state in which it is met."""
+    place, state = path // STATES, path % STATES
+    inner = then[path] >= 0
+    letter = np.where(inner.any(axis=1), inner.argmax(axis=1), -1)
+    put_in = np.bincount(place[letter == _I], minlength=len(then) // STATES)
+    letters, states = np.full(len(put_in), -1), np.full(len(put_in), -1)
+    here = letter != _I
+    letters[place[here]], states[place[here]] = letter[here], state[here]
+    return put_in, letters, states
 
 
-def _pieces(table: pa.Table) -> Iterator[tuple[object, np.ndarray, np.ndarray]]:
-    """(conversation, places in the table, codes) of every piece; the rows of a chunk come in any order."""
-    table = table.sort_by("pos")
-    if not table.num_rows:
-        return
-    keys = table.column("conv").to_pylist()
-    positions, codes = table.column("pos").to_numpy(), table.column("code").to_numpy()
-    starts = [0] + [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]] + [len(keys)]
-    for start, stop in zip(starts, starts[1:]):
-        yield keys[start], positions[start:stop], codes[start:stop]
+def _new_roles(count: int, state: int) -> list[str]:
+    """Roles of rows put in, of which the last one leads to ``state``; they alternate."""
+    last = NEW_ROLES[0] if state == USER else NEW_ROLES[1]
+    other = NEW_ROLES[1] if state == USER else NEW_ROLES[0]
+    return [other, last][2 - count:] if count else []
 
 
 def _multiply(table: pa.Table) -> pa.Table:
-    rows = [(key, int(at[0]), product(codes).ravel().tolist()) for key, at, codes in _pieces(table)]
-    return pa.table({"conv": pa.array([r[0] for r in rows], pa.string()), "first": pa.array([r[1] for r in rows], pa.int64()),
-                     "matrix": pa.array([r[2] for r in rows], pa.list_(pa.int64()))})
+    pieces = Pieces(table)
+    matrices = [product(pieces.rows_of(piece)).ravel().tolist() for piece in range(len(pieces.starts))]
+    return pa.table({"conv": pa.array([pieces.conv[row] for row in pieces.first_rows], pa.string()), "first": pa.array(pieces.pos[pieces.first_rows], pa.int64()),
+                     "matrix": pa.array(matrices, pa.list_(pa.int64()))})
+
+
+def _ranked(pieces: Pieces) -> tuple[np.ndarray, list[np.ndarray]]:
+    after = np.array(pieces.facts.column("after").to_pylist(), dtype=np.int64).reshape(-1, STATES)
+    costs = costs_before(pieces.codes, pieces.ends, pieces.lengths, after)
+    filled = np.zeros(len(pieces.codes), dtype=bool)
+    filled[pieces.ends] = np.array(pieces.facts.column("last").to_pylist(), dtype=bool)
+    then = optimal_arcs(pieces.codes, costs, filled)
+    return then, ranked_pointers(then)
 
 
 def _exits(table: pa.Table) -> pa.Table:
     """Per piece: the state in which the least path leaves it, for every state in which it is entered."""
-    after = {row["first"]: row for row in table.select(["first", "after", "last"]).to_pylist() if row["after"] is not None}
-    rows = []
-    for key, at, codes in _pieces(table):
-        fact = after[int(at[0])]
-        then = optimal_arcs(codes, costs_before(codes, np.array(fact["after"])), fact["last"])
-        pointers = ranked_pointers(then)
-        rows.append((int(at[0]), [int(pointers[-1][state]) % STATES for state in range(STATES)]))
-    return pa.table({"first": pa.array([r[0] for r in rows], pa.int64()), "exits": pa.array([r[1] for r in rows], pa.list_(pa.int32()))})
+    pieces = Pieces(table)
+    _, pointers = _ranked(pieces)
+    nodes = pieces.starts[:, None] * STATES + np.arange(STATES)
+    return pa.table({"first": pa.array(pieces.pos[pieces.first_rows], pa.int64()),
+                     "exits": pa.array((pointers[-1][nodes] % STATES).tolist(), pa.list_(pa.int32()))})
 
 
 def _edits(table: pa.Table) -> pa.Table:
     """Per row: how many rows are put in before it, its letter, its new role; the last row also tells how many follow it."""
-    facts = {row["first"]: row for row in table.select(["first", "after", "last", "entry"]).to_pylist() if row["after"] is not None}
-    out: list[tuple] = []
-    for key, at, codes in _pieces(table):
-        fact = facts[int(at[0])]
-        then = optimal_arcs(codes, costs_before(codes, np.array(fact["after"])), fact["last"])
-        path = least_path(ranked_pointers(then), fact["entry"])
-        before = []
-        for node, letter in zip(path, _letters(then, path)):
-            place, state = divmod(int(node), STATES)
-            role = NEW_ROLES[0] if _FILLED[state] == USER else NEW_ROLES[1]
-            if letter == _I:
-                before.append(role)
-            else:
-                out.append((int(at[place]), before, LETTERS[letter], role if letter == _R else None, []))
-                before = []
-        if before:
-            out[-1] = (*out[-1][:4], before)
+    pieces = Pieces(table)
+    then, pointers = _ranked(pieces)
+    entries = np.array(pieces.facts.column("entry").to_pylist(), dtype=np.int64)
+    put_in, letters, states = planned(then, least_paths(pointers, pieces.starts * STATES + entries))
+    behind = {int(end) - 1: _new_roles(int(put_in[end]), int(states[end])) for end in pieces.ends if put_in[end]}
+    out = []
+    for pos, place in zip(pieces.pos.tolist(), pieces.place.tolist()):
+        state, letter = int(states[place]), int(letters[place])
+        new_role = (NEW_ROLES[0] if _FILLED[state] == USER else NEW_ROLES[1]) if letter == _R else None
+        out.append((pos, _new_roles(int(put_in[place]), state), LETTERS[letter], new_role, behind.get(place, [])))
     kinds = {"_pos": pa.int64(), "before": pa.list_(pa.string()), "letter": pa.string(), "new_role": pa.string(), "behind": pa.list_(pa.string())}
     return pa.table({name: pa.array([row[i] for row in out], kind) for i, (name, kind) in enumerate(kinds.items())})
 

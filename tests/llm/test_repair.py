@@ -125,19 +125,26 @@ def test_empty_table_and_conversations_without_rows(spark):
 def test_ranks_order_the_least_audits():
     chance = random.Random(8)
     for _ in range(20):
-        codes = np.array([chance.randrange(repair.GONE + 1) for _ in range(chance.randrange(1, 30))])
-        costs = repair.costs_before(codes, repair._END)
-        then = repair.optimal_arcs(codes, costs, True)
+        lengths = np.array([chance.randrange(1, 20) for _ in range(3)])
+        ends = np.cumsum(lengths + 1) - 1
+        codes = np.array([chance.randrange(repair.GONE + 1) for _ in range(ends[-1] + 1)])
+        codes[ends] = -1
+        costs = repair.costs_before(codes, ends, lengths, np.tile(repair._END, (3, 1)))
+        filled = codes == -1
+        then = repair.optimal_arcs(codes, costs, filled)
         pointers = repair.ranked_pointers(then)
-        assert costs[0].tolist() == (repair.product(codes) + repair._END).min(axis=1).tolist()
 
         def least(node):
             options = [(letter, int(to)) for letter, to in enumerate(then[node]) if to >= 0]
             return min((repair.LETTERS[letter] + least(to) for letter, to in options), default="")
 
-        for start in range(repair.STATES):
-            path = repair.least_path(pointers, start)
-            assert "".join(repair.LETTERS[letter] for letter in repair._letters(then, path)) == least(start)
+        for start, end in zip(ends - lengths, ends):
+            assert costs[start].tolist() == (repair.product(codes[start:end]) + repair._END).min(axis=1).tolist()
+            for state in range(repair.STATES):
+                path = repair.least_paths(pointers, np.array([start * repair.STATES + state]))
+                put_in, letters, _ = repair.planned(then, path)
+                audit = "".join("I" * int(put_in[place]) + ("" if place == end else repair.LETTERS[letters[place]]) for place in range(start, end + 1))
+                assert audit == least(start * repair.STATES + state)
 
 
 def test_repaired_rows_follow_the_grammar(spark):
