@@ -86,10 +86,10 @@ def answered(requests: DataFrame, responses: DataFrame) -> DataFrame:
     return requests.join(responses.select(*KEY).distinct(), list(KEY), "left_semi")
 
 
-def with_membership(df: DataFrame, code: str, known: DataFrame, flag: str) -> DataFrame:
+def with_membership(df: DataFrame, code: str, known: DataFrame, flag: str, heavy: DataFrame | None = None) -> DataFrame:
     """Add a boolean column: does the code occur in ``known``? Codes that very many rows share are spread over tasks."""
     marked = known.select(F.col("code").alias(code)).distinct().withColumn(flag, F.lit(True))
-    return lookup_join(df, marked, code).withColumn(flag, F.coalesce(flag, F.lit(False)))
+    return lookup_join(df, marked, code, heavy=heavy).withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
 def run_stats(outcomes: DataFrame) -> DataFrame:

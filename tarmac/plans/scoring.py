@@ -13,7 +13,7 @@ from tarmac.functions.requests import miles_text, percent_text, request_errors,
 from tarmac.functions.text import airport_code
 from tarmac.functions.weather import first_elements, strict_fault, strict_values
 from tarmac.operators.clean import one_per_code
-from tarmac.operators.hot_keys import lookup_join
+from tarmac.operators.hot_keys import heavy_keys, lookup_join
 from tarmac.operators.matching import match_schedule, schedule_documents, schedule_rows, schedule_status
 from tarmac.operators.settle import settled
 from tarmac.operators.state import with_membership
@@ -100,16 +100,26 @@ def _airport_at(airports: DataFrame, end: str, code: str) -> DataFrame:
     )
 
 
-def with_airports(requests: DataFrame, airports: DataFrame) -> DataFrame:
+ENDS = {"origin": "depIataCode", "dest": "destIataCode"}
+
+
+def heavy_airports(requests: DataFrame) -> dict[str, DataFrame]:
+    """For each code column of stored requests, the airports that very many of them name."""
+    return {code: heavy_keys(requests, code) for code in ENDS.values()}
+
+
+def with_airports(requests: DataFrame, airports: DataFrame, heavy: dict[str, DataFrame] | None = None) -> DataFrame:
     """Both airports of each request, as two lookups with one row per code that spread the airports most requests name.
 
-    The airports are written once for both ends; the requests are written before each lookup, which reads their codes first.
+    The airports are written once for both ends. Without ``heavy_airports`` the requests are written and measured here.
     """
     single = stage(one_per_code(airports), "airports")
-    placed = requests
-    for end, code in (("origin", "depIataCode"), ("dest", "destIataCode")):
-        placed = lookup_join(stage(placed, f"requests-{end}"), _airport_at(single, end, code), code)
-    return placed
+    if heavy is None:
+        requests = stage(requests, "requests")
+        heavy = heavy_airports(requests)
+    for end, code in ENDS.items():
+        requests = lookup_join(requests, _airport_at(single, end, code), code, heavy=heavy[code])
+    return requests
 
 
 def flight_columns(strict_clock: bool = True) -> dict[str, Column]:
@@ -132,9 +142,9 @@ def flight_columns(strict_clock: bool = True) -> dict[str, Column]:
 
 
 def flight_rows(requests: DataFrame, schedule: DataFrame, airports: DataFrame,
-                tolerance: int = MATCH_TOLERANCE_MINUTES, strict_clock: bool = True) -> DataFrame:
+                tolerance: int = MATCH_TOLERANCE_MINUTES, strict_clock: bool = True, heavy: dict[str, DataFrame] | None = None) -> DataFrame:
     """Requests with the matched schedule entry, both airports and the flight fields."""
-    matched = match_schedule(with_airports(requests, airports), schedule, tolerance)
+    matched = match_schedule(with_airports(requests, airports, heavy), schedule, tolerance)
     return matched.withColumns({
         "dep_clock": F.col("matched.dep_clock"), "arr_clock": F.col("matched.arr_clock"),
     }).withColumns(flight_columns(strict_clock))
@@ -214,16 +224,16 @@ def request_outcomes(
     documents = schedule_documents(stored_documents(schedule_responses, label="schedule-pages"))
     status = stage(schedule_status(documents), "schedule-status").withColumn("schedule_listed", F.lit(True))
     weather = stage(strict_weather(weather_responses), "strict-weather")
-    requests = with_membership(
-        stage(checked_requests(normalise_requests(requests)), "checked-requests"), "depIataCode", known_codes, "known_departure"
-    )
+    checked = stage(checked_requests(normalise_requests(requests)), "checked-requests")
+    heavy = heavy_airports(checked)
+    requests = with_membership(checked, "depIataCode", known_codes, "known_departure", heavy["depIataCode"])
     placed = (
         requests
         .join(status, ["date", "dep_code"], "left")
         .join(_weather_at(weather, "dest", "destIataCode"), ["date", "destIataCode"], "left")
         .join(_weather_at(weather, "origin", "depIataCode"), ["date", "depIataCode"], "left")
     )
-    rows = flight_rows(placed, schedule_rows(documents), airports, tolerance, strict_clock)
+    rows = flight_rows(placed, schedule_rows(documents), airports, tolerance, strict_clock, heavy)
     return with_outcome(rows).select(
         "req_id", "stage", "status_code", "message", "detail", "dep_clock", "arr_clock",
         "origin_city_name", "dest_city_name", "origin_lat", "origin_long", "dest_lat", "dest_long",

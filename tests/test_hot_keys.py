@@ -76,6 +76,6 @@ def test_rows_are_those_of_a_plain_left_join(spark, pieces):
     rows = spark.createDataFrame([(i, k) for i, k in enumerate(["a"] * 30 + ["b"] * 5 + [None] * 20 + ["gone"] * 9)], "n int, k string")
     table = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "k string, v int")
     expected = {(r.n, r.k, r.v) for r in rows.join(table, "k", "left").collect()}
-    found = lookup_join(rows, table, "k", pieces=pieces).collect()
+    found = lookup_join(rows, table, "k", heavy=heavy_keys(rows, "k", pieces)).collect()
     assert len(found) == 64 and {(r.n, r.k, r.v) for r in found} == expected
-    assert lookup_join(rows.limit(0), table, "k", pieces=pieces).collect() == []
+    assert lookup_join(rows.limit(0), table, "k").collect() == []
