@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import astuple, dataclass, fields
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 @dataclass(frozen=True)
@@ -26,8 +26,13 @@ class RunCounters:
         return spark.createDataFrame([astuple(self)], ", ".join(f"{field.name} bigint" for field in fields(self)))
 
 
-def counted(df: DataFrame, write: Callable[[DataFrame], object], **metrics: Column) -> tuple[object, dict[str, int]]:
-    """What ``write`` returns, and metrics of the rows as it wrote them: no second pass, and a repeated task counts once."""
-    watch = Observation()
-    result = write(df.observe(watch, *(metric.alias(name) for name, metric in metrics.items())))
-    return result, {name: int(watch.get[name] or 0) for name in metrics}
+def counted(df: DataFrame, write: Callable[[DataFrame], DataFrame | None], **metrics: Column) -> tuple[DataFrame | None, dict[str, int]]:
+    """What ``write`` returns, and metrics of the rows once they are written.
+
+    They are counted in the written table if ``write`` returns one, else in ``df``, which should be stored; a write that fails counts nothing.
+    ``DataFrame.observe`` would save the pass, but a session that used it once can no longer run fitted models: the manager
+    it adds to the session cannot be serialized with their tasks.
+    """
+    written = write(df)
+    row = (df if written is None else written).agg(*(metric.alias(name) for name, metric in metrics.items())).collect()[0]
+    return written, {name: int(row[name] or 0) for name in metrics}

@@ -102,8 +102,8 @@ def store_outcomes(warehouse: Warehouse, claimed: DataFrame, outcomes: DataFrame
         "code", "date", "api_url", now.alias("fetched_at"), "payload", "seq")
     written, lost = 0, None
     try:
-        _, counts = counted(arrived, lambda rows: append_responses(warehouse, rows), n=F.count(F.lit(1)))
-        written = counts["n"]
+        append_responses(warehouse, arrived)
+        written = outcomes.where("ok").count()
     except Exception as error:
         lost = f"response was not stored: {type(error).__name__}"
     results = claimed.join(outcomes.select(*state.KEY, "ok", "error"), list(state.KEY))
@@ -112,7 +112,7 @@ def store_outcomes(warehouse: Warehouse, claimed: DataFrame, outcomes: DataFrame
     done = state.mark(results.where(sound), "done", now)
     failed = state.mark(results.where(~sound), "failed", now, reason)
     append_log(warehouse, done.unionByName(failed).select(*claimed.columns))
-    return RunCounters(written=written, failed_write=0 if lost is None else arrived.count())
+    return RunCounters(written=written, failed_write=0 if lost is None else outcomes.where("ok").count())
 
 
 def requeue(warehouse: Warehouse, lease: str) -> None:
