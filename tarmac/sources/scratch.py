@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_inside: ContextVar[str] = ContextVar("tarmac-scratch", default="")
+
 
 def scratch_root(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
@@ -29,13 +34,38 @@ def _application_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{_application_root(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{_application_root(spark)}{_inside.get()}/{label}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def remove_scratch(spark: SparkSession) -> None:
     """Delete what this application staged. Results that still read a staged table must be written before."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(_application_root(spark))
-    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
+    _delete(spark, _application_root(spark))
+
+
+@contextmanager
+def released(spark: SparkSession, label: str) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables staged inside are deleted at the end, but for those staged by the function this gives.
+
+    Nothing that is read later may depend on the deleted ones.
+    """
+    outer = _inside.get()
+    inner = f"{outer}/{label}-{uuid.uuid4().hex}"
+    token = _inside.set(inner)
+    try:
+        yield lambda df, name: _written(df, f"{_application_root(spark)}{outer}/{name}-{uuid.uuid4().hex}")
+    finally:
+        _inside.reset(token)
+        _delete(spark, f"{_application_root(spark)}{inner}")
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -44,6 +74,4 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     Later jobs start from the files, so a lost executor costs a re-read and
     never a different answer from work that cannot be repeated exactly.
     """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _written(df, scratch_path(df.sparkSession, label))
