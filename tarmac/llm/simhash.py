@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tarmac.llm.components import connected
 from tarmac.llm.tables import column
-from tarmac.sources.scratch import stage
+from tarmac.sources.scratch import released, stage
 
 DISTANCE = 2
 BLOCKS = 5
@@ -139,8 +139,9 @@ def keep_labelled(df: DataFrame, id_column: str, text_column: str, printer: Call
     own_id, own_text = names[df.columns.index(id_column)], names[place]
     schema = ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in renamed.schema)
     rows = stage(renamed.mapInArrow(lambda batches: printer(batches, place), f"{schema}, {added}"), "printed")
-    labels = labelled(rows, own_id, own_text)
-    winners = stage(labels.where("label.print = _print").select("_print", F.col("label.id").alias("_id")), "winners")
+    with released(df.sparkSession, "labels") as keep:
+        labels = labelled(rows, own_id, own_text)
+        winners = keep(labels.where("label.print = _print").select("_print", F.col("label.id").alias("_id")), "winners")
     chosen = rows.join(winners, (F.col("print") == F.col("_print")) & F.col(own_id).eqNullSafe(F.col("_id")))
     again = stage(rows.select(F.col(own_id).alias("id"), "print").join(
         winners, (F.col("print") == F.col("_print")) & F.col("id").eqNullSafe(F.col("_id"))
