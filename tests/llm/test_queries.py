@@ -69,6 +69,48 @@ def test_op5(spark, docs):
     assert {tuple(row) for row in found} == {(i, f"{prints[i]:016x}", roots[i]) for i in prints}
 
 
+def test_op1(spark, docs):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    expected, total = set(), 0
+    for i, text in zip(docs.doc_id, docs.text):
+        ids = np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [0], dtype="<u4")
+        total += len(ids)
+        expected |= {(i, at // 2048, at, len(ids[at:at + 2048]), zlib.crc32(ids[at:at + 2048].tobytes())) for at in range(0, len(ids), 2048)}
+    rows = queries.QUERIES["op1_pattern_packing"](spark, SF).collect()
+    assert len(rows) == len(expected)
+    assert {(row.doc_id, row.piece, row.start, row.length, row.ids_crc32) for row in rows} == expected
+    sequences = {}
+    for row in rows:
+        sequences.setdefault(row.sequence_id, []).append((row.offset, row.length))
+    for places in sequences.values():
+        places.sort()
+        assert [at for at, _ in places] == [0, *np.cumsum([length for _, length in places])[:-1]]
+        assert sum(length for _, length in places) <= 2048
+    # No packing is under the number of tokens, nor under the number of pieces that fill over half a sequence.
+    least = max(-(-total // 2048), sum(row.length > 1024 for row in rows))
+    assert len(sequences) <= 1.02 * least + 1
+
+
+@pytest.mark.parametrize("share", [0.0, 0.5])
+def test_op7_finds_planted_pairs(spark, tmp_path, share):
+    """Pairs just above the threshold, among vectors whose mean cosine is ``share``."""
+    random = np.random.default_rng(11)
+    common = random.standard_normal(64) / 8
+    units = np.sqrt(share) * common / np.linalg.norm(common) + np.sqrt(1 - share) * random.standard_normal((1500, 64)) / 8
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    aside = random.standard_normal((500, 64))
+    aside -= (aside * units[:500]).sum(axis=1, keepdims=True) * units[:500]
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    table = np.vstack([units, 0.982 * units[:500] + np.sqrt(1 - 0.982 ** 2) * aside])
+    spark.createDataFrame([(i, v.tolist(), 3) for i, v in enumerate(table)], "vec_id bigint, embedding array<double>, label int"
+                          ).write.parquet(f"{tmp_path}/embeddings.parquet")
+    close = table @ table.T >= vectors.COSINE * np.linalg.norm(table, axis=1)[:, None] * np.linalg.norm(table, axis=1)[None]
+    np.fill_diagonal(close, False)
+    found = {row.vec_id: row.n_links for row in queries.QUERIES["op7_itq_links"](spark, str(tmp_path)).collect()}
+    links = np.array([found[i] for i in range(len(table))])
+    assert close.sum() >= 1000 and (links <= close.sum(axis=1)).all() and links.sum() >= 0.95 * close.sum()
+
+
 def test_op6_on_held_out_documents(spark, docs):
     rows = {row.doc_id: row for row in queries.QUERIES["op6_segmentation_langid"](spark, SF).collect()}
     assert all(rows[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in docs.doc_id)
