@@ -516,3 +516,31 @@ def airport_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     single = one_per_code(views.airports(spark, sf_dir))
     served = views.requests(spark, sf_dir).groupBy("code").agg(F.count(F.lit(1)).alias("requests_served"))
     return served.join(single, "code").select("code", "name", "requests_served")
+
+
+# A third of January's flights, and all weather from the 21st on, come after the dataset was built.
+LATE_SQL = "month = 1 AND CAST(flight_number AS BIGINT) % 3 = 0"
+
+
+@query(with_views(f"""
+    SELECT {", ".join(name for name in contracts.MODEL_DATASET.names if name != "id")}, month = 2 AS first_file,
+        row_number() OVER (PARTITION BY late ORDER BY flight_date, origin, dest, flight_num)
+            + CASE WHEN late THEN (SELECT count(*) FROM flights WHERE NOT ({LATE_SQL})) ELSE 0 END AS id
+    FROM (SELECT * EXCLUDE (id), {LATE_SQL.replace("flight_number", "flight_num")} AS late FROM dataset)""", "dataset"))
+def updated_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New flights and weather of one month: it alone is rebuilt, ids go on, the other month keeps its files (``first_file``)."""
+    warehouse = Warehouse(spark, scratch_path(spark, "warehouse"))
+    flights, stored = views.flights(spark, sf_dir), views.responses(spark, sf_dir)
+    stored = stored.select("code", "date", "api_url", "fetched_at", "payload", "seq")
+    late = F.expr("month = 1 AND CAST(flight_number AS BIGINT) % 3 = 0")
+    warehouse.publish("weather_req_table", views.requests(spark, sf_dir), contracts.WEATHER_REQUESTS)
+    warehouse.publish("flight_data", flights.where(~late), contracts.FLIGHTS)
+    ingest.append_responses(warehouse, stored.where(F.dayofmonth("date") <= 20))
+    ingest.build_model_dataset(warehouse)
+    first = warehouse.version("model_dataset")
+    warehouse.extend("flight_data", flights.where(late), contracts.FLIGHTS)
+    ingest.append_responses(warehouse, stored.where(F.dayofmonth("date") > 20))
+    ingest.update_model_dataset(warehouse, overlap="0 seconds")
+    written = F.contains("_metadata.file_path", F.lit(first.path.rsplit("/", 1)[1]))
+    return warehouse.files("model_dataset", warehouse.version("model_dataset")).select(
+        *contracts.MODEL_DATASET.names, written.alias("first_file"))

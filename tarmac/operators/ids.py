@@ -27,8 +27,9 @@ def dense_id(
     name: str = "id",
     path: str | None = None,
     unique_order: bool = False,
+    after: int = 0,
 ) -> DataFrame:
-    """Number all rows 1..N without gaps.
+    """Number all rows 1..N without gaps, or go on behind the number ``after``.
 
     The rows are written once and numbered by where they landed: the offset of
     their file plus their row index in it. Files and row indexes do not change
@@ -54,7 +55,7 @@ def dense_id(
     # One small row for each file the write made; the planner joins their offsets by measured size.
     sizes = written.groupBy("_part", "_chunk").agg(F.count(F.lit(1)).alias("rows")).collect()
     ordered = sorted(sizes, key=lambda size: (size._part, size._chunk))
-    starts = accumulate((size.rows for size in ordered), initial=0)
+    starts = accumulate((size.rows for size in ordered), initial=after)
     offsets = spark.createDataFrame(
         [(size._part, size._chunk, start) for size, start in zip(ordered, starts)],
         "_part int, _chunk int, _start bigint",

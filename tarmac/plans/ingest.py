@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 from tarmac.operators import contracts, state
 from tarmac.operators.clean import clean_airports, clean_flights, enrichment_requests
 from tarmac.operators.enrich import Attempt, Reply, RetryPolicy, enrich
-from tarmac.operators.features import NATURAL_ORDER, model_dataset
+from tarmac.operators.features import DATASET_NAMES, NATURAL_ORDER, dataset_rows, model_dataset, weather_table
 from tarmac.operators.ids import dense_id
 from tarmac.plans.counters import RunCounters, counted
 from tarmac.sources.csv import AIRPORT_COLUMNS, FLIGHT_COLUMNS, MalformedLines, malformed_lines, read_airports, read_flights
 from tarmac.sources.keyed_log import KeyedLog
 from tarmac.sources.scratch import stage
-from tarmac.sources.warehouse import Warehouse
+from tarmac.sources.warehouse import Warehouse, partition_of
 
+DATASET_PARTS = ("year", "month")
+# How Spark names the folder of rows whose partition value is null.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 LOG = "weather_req_log"
 RESPONSES = "weather_responses"
 RESPONSE_COLUMNS = "code string, date date, api_url string, fetched_at timestamp, payload string, seq bigint"
@@ -40,7 +43,7 @@ def build_sources(warehouse: Warehouse, flights_csv: str, airports_csv: str, qua
     _sound(warehouse, "flight_data", malformed_lines(spark, flights_csv, FLIGHT_COLUMNS), quarantine)
     _sound(warehouse, "airport_data", malformed_lines(spark, airports_csv, AIRPORT_COLUMNS), quarantine)
     flights = warehouse.publish(
-        "flight_data", clean_flights(read_flights(spark, flights_csv)), contracts.FLIGHTS
+        "flight_data", clean_flights(read_flights(spark, flights_csv)), contracts.FLIGHTS, sources=(flights_csv,)
     )
     airports = warehouse.publish(
         "airport_data", clean_airports(read_airports(spark, airports_csv)), contracts.AIRPORTS
@@ -191,11 +194,81 @@ def compact_responses(warehouse: Warehouse) -> DataFrame:
     )
 
 
+def add_flights(warehouse: Warehouse, flights_csv: str, airports: DataFrame | None = None, quarantine: bool = False) -> DataFrame:
+    """Add another flights source to the published flights and open the requests that it brings. Returns the new requests.
+
+    The files of earlier flights stay as they are. A source is known by its path: one that was added before is not added again, so
+    a call that broke off is repeated as it was. ``airports`` are the published ones by default.
+    """
+    spark = warehouse.spark
+    before = warehouse.version("flight_data")
+    flights = clean_flights(read_flights(spark, flights_csv))
+    if flights_csv not in before.sources:
+        _sound(warehouse, "flight_data", malformed_lines(spark, flights_csv, FLIGHT_COLUMNS), quarantine)
+        warehouse.extend("flight_data", flights, contracts.FLIGHTS, sources=(*before.sources, flights_csv))
+    wanted = enrichment_requests(flights, airports if airports is not None else warehouse.table("airport_data"))
+    known = warehouse.table("weather_req_table").select(*state.KEY)
+    fresh = stage(wanted.join(known, list(state.KEY), "left_anti").select(*wanted.columns), "fresh-requests")
+    if not fresh.isEmpty():
+        warehouse.extend("weather_req_table", fresh, contracts.WEATHER_REQUESTS)
+    opened = request_state(warehouse, wanted).select(*state.KEY)
+    append_log(warehouse, state.open_log(wanted).join(opened, list(state.KEY), "left_anti"))
+    return fresh
+
+
+def _newest_fetch(warehouse: Warehouse):
+    return responses(warehouse).agg(F.max("fetched_at").alias("at")).first().at
+
+
 def build_model_dataset(warehouse: Warehouse, order_by: tuple[str, ...] = NATURAL_ORDER) -> DataFrame:
     """Publish the wide dataset, numbered by flight and partitioned by year and month."""
-    dataset = model_dataset(warehouse.table("flight_data"), responses(warehouse), order_by)
+    flights, read_until = warehouse.version("flight_data"), _newest_fetch(warehouse)
+    dataset = model_dataset(warehouse.files("flight_data", flights).select(*flights.schema.names), responses(warehouse), order_by)
     return warehouse.publish(
-        "model_dataset", dataset, contracts.MODEL_DATASET, partition_by=("year", "month")
+        "model_dataset", dataset, contracts.MODEL_DATASET, partition_by=DATASET_PARTS, mark="id",
+        sources=tuple(flights.parts), read_until=read_until,
+    )
+
+
+def update_model_dataset(warehouse: Warehouse, order_by: tuple[str, ...] = NATURAL_ORDER, overlap: str = "10 minutes") -> DataFrame:
+    """Rebuild the months of the dataset that new flights or new weather reach; the files of other months stay.
+
+    New flights are those in parts of ``flight_data`` that the dataset was not built from; they are numbered behind the highest id
+    ever given. Rows that were there keep their ids and take the newest weather. New weather is what was fetched after the
+    newest response that the dataset saw, less ``overlap`` for responses that were being stored then; a month
+    rebuilt without need comes out alike. Flights that were published anew as a whole call for ``build_model_dataset``, which is done.
+    Nothing new publishes nothing.
+    """
+    before, flights = warehouse.version("model_dataset"), warehouse.version("flight_data")
+    if not set(before.sources) <= set(flights.parts):
+        return build_model_dataset(warehouse, order_by)
+    read_until = _newest_fetch(warehouse)
+    arrived = responses(warehouse)
+    if before.read_until is not None:
+        arrived = arrived.where(F.col("fetched_at") > F.lit(before.read_until) - F.expr(f"INTERVAL {overlap}"))
+    days = stage(arrived.select("date", "code").distinct(), "changed-days")
+    added = [folder for folder in flights.parts if folder not in before.sources]
+    new = warehouse.files("flight_data", flights, added).select(*flights.schema.names)
+
+    whole = warehouse.files("model_dataset", before).select(
+        F.col("flight_date").alias("date"), F.explode(F.array("origin", "dest")).alias("code"), *DATASET_PARTS)
+    reached = whole.join(days, ["date", "code"], "left_semi").select(*DATASET_PARTS)
+    # One row a month.
+    months = {tuple(row) for row in reached.unionByName(new.select(*DATASET_PARTS)).distinct().collect()}
+    if not months:
+        return warehouse.table("model_dataset")
+    held = {"/".join(f"{name}={NO_VALUE if value is None else value}" for name, value in zip(DATASET_PARTS, month)) for month in months}
+    replaced = [folder for folder in before.parts if partition_of(folder) in held]
+
+    own_names = {name: source for source, name in DATASET_NAMES.items()}
+    old = warehouse.files("model_dataset", before, replaced).withColumnsRenamed(own_names).select("id", *flights.schema.names)
+    numbered = old.unionByName(dense_id(new, order_by, after=before.high or 0)) if added else old
+    rows = stage(numbered, "changed-flights")
+    keys = rows.select("date", F.explode(F.array("origin", "dest")).alias("code")).distinct()
+    dataset = dataset_rows(rows, weather_table(responses(warehouse, keys)))
+    return warehouse.extend(
+        "model_dataset", dataset.select(*before.schema.names), contracts.MODEL_DATASET, DATASET_PARTS, replaced, mark="id",
+        sources=tuple(flights.parts), read_until=read_until,
     )
 
 
