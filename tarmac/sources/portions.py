@@ -21,12 +21,13 @@ class UnknownStore(ValueError):
     pass
 
 
-def _open(folder: str) -> tuple[fs.FileSystem, str]:
+def open_store(folder: str) -> tuple[fs.FileSystem, str]:
+    """The store and the path in it of a shared folder that tasks read and write themselves; ``UnknownStore`` if they cannot."""
     if "://" not in folder and not folder.startswith("file:"):
         return fs.LocalFileSystem(), folder
     scheme, rest = folder.split(":", 1)
     if scheme not in _SCHEMES:
-        raise UnknownStore(f"portions cannot be kept in {scheme}: use one of {sorted(_SCHEMES)} or a mounted shared folder")
+        raise UnknownStore(f"tasks cannot write to {scheme}: use one of {sorted(_SCHEMES)} or a mounted shared folder")
     if scheme == "file":
         return fs.LocalFileSystem(), "/" + rest.lstrip("/")
     return fs.FileSystem.from_uri(f"{_SCHEMES[scheme]}:{rest}")
@@ -36,14 +37,14 @@ class Portions:
     """The stored portions of one part of some work under ``folder``, which all executors share."""
 
     def __init__(self, folder: str, part: int):
-        self.store, path = _open(folder)
+        self.store, path = open_store(folder)
         self.path = f"{path.rstrip('/')}/part-{part:06d}"
         self.made = False
 
     @staticmethod
     def check(folder: str) -> None:
         """Refuse a folder that tasks could not write to, before any work starts."""
-        _open(folder)
+        open_store(folder)
 
     def read(self) -> pd.DataFrame | None:
         """Everything stored for this part, None if there is nothing."""
