@@ -23,8 +23,7 @@ from tarmac.sources.scratch import stage
 UNKNOWN = "und"
 START = "▁"
 LETTERS = regex.compile(r"\p{L}+")
-LONGEST_PIECE = 8
-# Words longer than this are scored like any other but are not fitted on.
+# Words longer than this are scored like any other but are not fitted on: their sums over segmentations leave the range of a double.
 LONGEST_FITTED = 64
 # At most about this many labelled documents of each language are fitted on, chosen by a hash of the id.
 FIT_DOCUMENTS = 3000
@@ -38,14 +37,13 @@ _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
 def vocabulary(path: str) -> list[str]:
-    """Letter pieces of a sentencepiece file that are lower case and short enough, without duplicates."""
+    """Letter pieces of a sentencepiece file that are lower case, of any length, without duplicates."""
     import sentencepiece
 
     processor = sentencepiece.SentencePieceProcessor(model_file=path)
     names = (processor.id_to_piece(i) for i in range(processor.get_piece_size()))
     bodies = ((name, name.removeprefix(START)) for name in names)
-    return sorted({name for name, body in bodies if len(name) <= LONGEST_PIECE and body == body.lower()
-                   and (LETTERS.fullmatch(body) or name == START)})
+    return sorted({name for name, body in bodies if body == body.lower() and (LETTERS.fullmatch(body) or name == START)})
 
 
 class Lattice:
@@ -58,7 +56,8 @@ class Lattice:
         self.sorted = hashes[self.order]
         if len(np.unique(hashes)) != len(pieces):
             raise ValueError("two pieces share a hash")
-        self.missing, self.unseen = len(pieces), len(pieces) + 1
+        self.missing, self.unseen, self.longest = len(pieces), len(pieces) + 1, max(map(len, pieces), default=1)
+        self.kind = np.int16 if self.unseen < 1 << 15 else np.int32
 
     @staticmethod
     def _hash(codes: np.ndarray) -> list[np.ndarray]:
@@ -73,9 +72,9 @@ class Lattice:
         """ids[k - 1, word, end]: the piece of length k that ends before ``end``, or ``missing``."""
         width = len(words[0])
         codes = np.array(words, dtype=f"U{width}").view(np.uint32).reshape(len(words), width).astype(np.uint64) + np.uint64(1)
-        ids = np.full((LONGEST_PIECE, len(words), width + 1), self.missing, dtype=np.int32)
+        ids = np.full((min(self.longest, width), len(words), width + 1), self.missing, dtype=self.kind)
         rolling = np.zeros((len(words), width), dtype=np.uint64)
-        for size in range(1, min(LONGEST_PIECE, width) + 1):
+        for size in range(1, len(ids) + 1):
             # The hash of a piece that ends at a place is that of its first letters, which ends one place earlier.
             rolling = (rolling[:, :-1] if size > 1 else rolling) * _PRIME + codes[:, size - 1:]
             at = np.searchsorted(self.sorted, rolling)
@@ -88,14 +87,19 @@ class Lattice:
 
 def forward(ids: np.ndarray, probabilities: np.ndarray) -> np.ndarray:
     """log of the sum over all segmentations, by word and language."""
-    _, words, ends = ids.shape
+    longest, words, ends = ids.shape
+    missing = len(probabilities) - 2
     state = [np.ones((words, probabilities.shape[1]))]
     scale = np.zeros((words, 1))
     for end in range(1, ends):
         total = np.zeros_like(state[0])
-        for size in range(1, min(LONGEST_PIECE, end) + 1):
-            total += state[-size] * probabilities[ids[size - 1, :, end]]
-        state = [*state[-LONGEST_PIECE + 1:], total]
+        for size in range(1, min(longest, end) + 1):
+            # Few places end a longer piece.
+            own = ids[size - 1, :, end]
+            there = np.flatnonzero(own != missing)
+            if len(there):
+                total[there] += state[-size][there] * probabilities[own[there]]
+        state = [*state[-longest:], total]
         if end % 6 == 0:
             top = np.maximum(total.max(axis=1, keepdims=True), 1e-300)
             state = [values / top for values in state]
@@ -105,19 +109,19 @@ def forward(ids: np.ndarray, probabilities: np.ndarray) -> np.ndarray:
 
 def expected(ids: np.ndarray, probability: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Expected number of uses of each piece under one language, by forward and backward sums."""
-    _, words, ends = ids.shape
+    longest, words, ends = ids.shape
     ahead, back = np.zeros((ends, words)), np.zeros((ends, words))
     ahead[0] = back[-1] = 1
     for end in range(1, ends):
-        for size in range(1, min(LONGEST_PIECE, end) + 1):
+        for size in range(1, min(longest, end) + 1):
             ahead[end] += ahead[end - size] * probability[ids[size - 1, :, end]]
     for start in range(ends - 2, -1, -1):
-        for size in range(1, min(LONGEST_PIECE, ends - 1 - start) + 1):
+        for size in range(1, min(longest, ends - 1 - start) + 1):
             back[start] += back[start + size] * probability[ids[size - 1, :, start + size]]
     weight = counts / np.maximum(ahead[-1], 1e-300)
     uses = np.zeros(len(probability))
     for end in range(1, ends):
-        for size in range(1, min(LONGEST_PIECE, end) + 1):
+        for size in range(1, min(longest, end) + 1):
             piece = ids[size - 1, :, end]
             uses += np.bincount(piece, ahead[end - size] * probability[piece] * back[end] * weight, minlength=len(probability))
     return uses
@@ -177,7 +181,7 @@ def _uses(batches: Iterator[pa.RecordBatch], pieces: list[str], probabilities: d
 
 
 def fit(labelled: DataFrame, vocabulary_path: str, documents: int = FIT_DOCUMENTS, rounds: int = ROUNDS) -> Model:
-    """Fit on columns key, text, lang; rows with a null text or lang are passed over.
+    """Fit on columns key, text, lang; rows with a null text or lang, and words over ``LONGEST_FITTED`` letters, are passed over.
 
     Languages are few: the driver holds one probability per piece and language. No labelled row gives a model without languages.
     """

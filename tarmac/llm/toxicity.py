@@ -40,6 +40,7 @@ GROUP_WORDS = 200_000
 # Characters that stand for a letter in a disguised word.
 STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 _STANDS_IN = re.compile("[" + re.escape("".join(STAND_INS)) + "]")
+# Codes of the two ends of a word. Letters outside a-z share three codes between them.
 _FIRST, _LAST = 31, 30
 
 
@@ -176,6 +177,11 @@ class Scorer:
             np.maximum.at(found, np.array([owner[i] for i in places]), self.triples[codes] @ weights + self.bias)
         return found
 
+    def telling(self, word: str) -> str:
+        """The window of a word that gives it its margin."""
+        parts = windows(word)
+        return parts[0] if len(parts) == 1 else parts[int(self.margins(parts).argmax())]
+
     def groups(self, texts: Iterable[str | None]) -> Iterator[list[str]]:
         """The units of each text; units that are new in a group of texts are scored together."""
         group: list[list[str]] = []
@@ -278,7 +284,8 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: Counter = Counter()
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            counts.update((word, label) for word in {letters(chunk)[:LONGEST] for chunk in units(text.as_py() or "")} if word)
+            seen = {word for chunk in units(text.as_py() or "") for word in windows(letters(chunk))}
+            counts.update((word, label) for word in seen if word)
         pairs = list(counts)
         yield pa.RecordBatch.from_arrays(
             [pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.int32()),
@@ -291,7 +298,7 @@ def _witnesses(batches: Iterator[pa.RecordBatch], triples: np.ndarray, bias: flo
         rows = []
         found = scorer.worst_words((text.as_py() for text in batch.column(1)), number)
         for label, best in zip(batch.column(0).to_pylist(), found):
-            rows += [(label, rank, word[:LONGEST], margin) for rank, (word, margin) in enumerate(best)]
+            rows += [(label, rank, scorer.telling(word), margin) for rank, (word, margin) in enumerate(best)]
         columns = zip(*rows) if rows else ((), (), (), ())
         kinds = (pa.int32(), pa.int32(), pa.string(), pa.float64())
         yield pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in zip(columns, kinds)],
@@ -343,7 +350,7 @@ def fit(documents: DataFrame, labels: DataFrame, texts: int = FIT_TEXTS, rounds:
         for word, n in list(positive.items()):
             if word in first or margins.get(word, 0) > 0.5:
                 for form in disguised(word):
-                    positive[form[:LONGEST]] += n / 4
+                    positive[form] += n / 4
         # Words that were the worst of a clean text in an earlier round stay in.
         for word, n in Counter(found.word[found.label == 0]).items():
             hard[word] = max(hard[word], n)

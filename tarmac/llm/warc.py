@@ -19,11 +19,12 @@ from typing import Any
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
-from pyarrow import fs
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.llm.tables import column
+from tarmac.sources.portions import open_store
 from tarmac.sources.scratch import scratch_path, stage
 
 ARCHIVE_BYTES = 1 << 30
@@ -62,7 +63,7 @@ def record(capture_id: str, url: str | None, when: datetime, payload: bytes | No
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    files, root = fs.FileSystem.from_uri(folder)
+    files, root = open_store(folder)
     files.create_dir(root, recursive=True)
     done: list[tuple[str, int]] = []
     stream, name, count = None, "", 0
@@ -143,7 +144,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _runs(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     """Read whole archives; each gives one run of index entries in order."""
-    files, root = fs.FileSystem.from_uri(folder)
+    files, root = open_store(folder)
     for batch in batches:
         for archive in batch.column(0).to_pylist():
             rows = []
@@ -196,18 +197,28 @@ class LoserTree:
             self.winner = leaf
 
 
+def _rows(parts: list[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of one run; only a few of them at a time are Python objects."""
+    for part in parts:
+        for start in range(0, part.num_rows, 256):
+            yield from zip(*(values.to_pylist() for values in part.slice(start, 256).columns))
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The range's part of every run arrives run by run and in order."""
-    runs: list[list[tuple]] = []
+    """The range's part of every run arrives run by run and in order; it is kept in Arrow columns."""
+    runs: list[list[pa.RecordBatch]] = []
     archive = None
     for batch in batches:
-        for row in zip(*(values.to_pylist() for values in batch.columns)):
-            if row[7] != archive or not runs:
-                archive = row[7]
+        start = 0
+        parts = pc.run_end_encode(batch.column(7))
+        for name, stop in zip(parts.values.to_pylist(), parts.run_ends.to_pylist()):
+            if name != archive or not runs:
+                archive = name
                 runs.append([])
-            runs[-1].append(row)
+            runs[-1].append(batch.slice(start, stop - start))
+            start = stop
     out: list[tuple] = []
-    for row in LoserTree([iter(run) for run in runs], order_key):
+    for row in LoserTree([_rows(run) for run in runs], order_key):
         out.append(row)
         if len(out) == 10_000:
             yield _batch(out)
@@ -222,7 +233,9 @@ def write(df: DataFrame, folder: str, id_column: str = "page_id", url_column: st
     Of rows with equal payloads of at least ``least_bytes``, the one with the largest id is the response and the others refer to
     it; rows that repeat that id are responses too. A null payload is empty, a null time is the start of 1970, a null URL
     is left out. A null id is a record without a name; a group of null ids has no response to refer to, so all are responses.
+    A folder that tasks cannot write to is refused before any work.
     """
+    open_store(folder)
     text = F.coalesce(F.col(column(payload_column)).cast("string"), F.lit(""))
     rows = df.select(
         F.col(column(id_column)).alias("id"), F.col(column(url_column)).cast("string").alias("url"),

@@ -38,6 +38,37 @@ def test_forward_sums_all_segmentations():
     assert np.isclose(uses[:-2] @ lengths, 5 * 6.0)
 
 
+def test_long_pieces_of_the_vocabulary_take_part():
+    pieces = langid.vocabulary(PATH)
+    long = max(pieces, key=len)
+    assert len(long) > 12
+    table = langid._rows(np.full((len(pieces), 1), 1e-9))
+    table[pieces.index(long)] = 0.5
+    assert langid.forward(langid.Lattice(pieces).find([long]), table)[0, 0] == pytest.approx(np.log(0.5), abs=1e-6)
+
+
+def test_scores_equal_a_plain_scorer(model):
+    """Sums over all segmentations word by word, with the fitted probabilities."""
+    table = {piece: model.probabilities[i] for i, piece in enumerate(model.pieces)}
+    unseen = model.probabilities[-1]
+
+    def word_sum(word):
+        sums = [np.ones(len(model.languages))]
+        for end in range(1, len(word) + 1):
+            total = np.zeros(len(model.languages))
+            for start in range(end):
+                total = total + sums[start] * table.get(word[start:end], unseen if end - start == 1 else 0.0)
+            sums.append(total)
+        return np.log(sums[-1])
+
+    texts = ["the hund and that", "Internationale representatives, straßenbahn!", "qqq ñandú катя", "a", "12 und 13 the"]
+    for text, (label, score) in zip(texts, langid.Scorer(model).predict(texts)):
+        total = model.shares + sum(word_sum(langid.START + word) for word in langid.words_of(text))
+        share = np.exp(total - total.max())
+        share /= share.sum()
+        assert label == model.languages[int(share.argmax())] and score == pytest.approx(share.max(), rel=1e-9)
+
+
 def test_predictions_and_awkward_rows(spark, model):
     docs = documents(spark)
     rows = langid.predict(docs, model).collect()

@@ -46,9 +46,12 @@ def test_field_learns_its_sentences_and_reads_new_ones(field):
     assert right >= 0.9 * len(pii.LABELLED)
     for text, kind, span in (("please call 212-555-0187 tomorrow", "phone", "212-555-0187"),
                              ("write bob (at) example (dot) com", "email", "bob (at) example (dot) com"),
+                             ("jo at site dot org", "email", "jo at site dot org"),
+                             ("write to anna at firm dot com please", "email", "anna at firm dot com"),
+                             ("please mail jo.b at site dot example dot org now", "email", "jo.b at site dot example dot org"),
                              ("at +1 (269) 555-3296 4524132264652876 x", "phone", "+1 (269) 555-3296")):
         assert (kind, text.index(span), text.index(span) + len(span)) in pii.field_spans([text], field)[0]
-    assert pii.field_spans(["it was 2019 and 12 of 300 came", "no data at all"], field) == [[], []]
+    assert pii.field_spans(["it was 2019 and 12 of 300 came", "no data at all", "look at every dot here", "we met at this dot on the map"], field) == [[]] * 4
 
 
 def test_viterbi_equals_all_paths(field):

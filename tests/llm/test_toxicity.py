@@ -57,6 +57,42 @@ def test_every_part_of_a_long_chunk_is_scored(model):
     assert long[0, 0] > long[1, 0]
 
 
+def test_an_insult_behind_clean_letters_is_learned(spark):
+    """In the training texts insults stand behind 40 letters of a chunk only; the clean letters before them must not count as toxic."""
+    chance = random.Random(3)
+    clean = ["".join(chance.choice(["the", "on", "er", "ing", "re", "ha"]) for _ in range(3)) for _ in range(200)]
+    head, rows = "stonelaternrivermountainwindowgardenpaper", []
+    for i in range(400):
+        words = chance.choices(clean, k=20)
+        words[5] = head + ("blockhead" if i % 4 == 0 else chance.choice(clean))
+        rows.append((i, " ".join(words), int(i % 4 == 0)))
+    table = spark.createDataFrame(rows, "key bigint, text string, label int")
+    fitted = toxicity.fit(table.select("key", "text"), table.select("key", "label"))
+    worst = toxicity.Scorer(fitted.triples, fitted.bias).worst(
+        [f"{clean[0]} {head}blockhead", "blockhead", f"{clean[0]} {head}", f"{head}{clean[1]}"])
+    scores = 1 / (1 + np.exp(-(worst @ fitted.slopes + fitted.offset)))
+    assert scores[0] > 0.5 > max(scores[2:]) and scores[1] > max(scores[2:])
+
+
+def test_scores_equal_a_plain_scorer(spark, model):
+    """The three worst of all chunks, each by its own triples one by one."""
+    def margin(chunk):
+        best = model.bias - 1.0
+        for word in toxicity.windows(toxicity.letters(chunk)):
+            if word:
+                codes = [toxicity._FIRST, *(ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 3 for c in word), toxicity._LAST]
+                found = [(toxicity.DECAY ** (k - i - 2), codes[i] << 10 | codes[j] << 5 | codes[k]) for i in range(len(codes))
+                         for j in range(i + 1, min(len(codes), i + toxicity.SPAN)) for k in range(j + 1, min(len(codes), i + toxicity.SPAN))]
+                norm = sum(weight ** 2 for weight, _ in found) ** 0.5 or 1.0
+                best = max(best, sum(weight * model.triples[code] for weight, code in found) / norm + model.bias)
+        return best
+
+    for row in toxicity.score(documents(spark).where("length(text) < 2000"), model).collect():
+        worst = sorted([*map(margin, toxicity.units(row.text or "")), *[toxicity.FLOOR] * 3])[-3:][::-1]
+        logit = np.clip(worst, toxicity.FLOOR, toxicity.CEILING) @ model.slopes + model.offset
+        assert row.score == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-6)
+
+
 @pytest.mark.parametrize("labels", [[], [0, 0], [1, 1]])
 def test_one_sided_labels(spark, labels):
     rows = spark.createDataFrame([(i, "text", label) for i, label in enumerate(labels)], "key bigint, text string, label int")

@@ -8,6 +8,7 @@ from pathlib import Path
 import pytest
 
 from tarmac.llm import warc
+from tarmac.sources.portions import UnknownStore
 
 ROWS = [(1, "http://B.example.com/x?q=1", "same"), (2, "http://a.example.com/", "same"), (3, None, "same"),
         (4, "http://a.example.com/ü y\r\n", None), (5, "not a url", ""), (6, "http://[broken", "üñí" * 20_000), (None, "http://z.org", "alone"),
@@ -65,3 +66,19 @@ def test_loser_tree_merges_any_runs():
 
 def test_empty_table(spark):
     assert warc.round_trip(pages(spark, [])).collect() == []
+
+
+def test_merge_takes_column_batches():
+    """Runs of three archives, cut into batches at other places, come out in one order."""
+    chance = random.Random(5)
+    runs = [sorted(((f"k{chance.randint(0, 40):02d}", None, None, 1, "d", "response", None, f"a{a}", 0, i, 1) for i in range(700)),
+                   key=warc.order_key) for a in range(3)]
+    rows = [row for run in runs for row in run]
+    batches = [warc._batch(rows[start:start + 333]) for start in range(0, len(rows), 333)]
+    merged = [row for batch in warc._merge(iter(batches)) for row in zip(*(values.to_pylist() for values in batch.columns))]
+    assert merged == sorted(rows, key=warc.order_key)
+
+
+def test_a_store_that_tasks_cannot_write_to_is_refused(spark):
+    with pytest.raises(UnknownStore, match="viewfs"):
+        warc.write(pages(spark, ROWS), "viewfs://x/archives")
