@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.tables import column
+from tarmac.llm.tables import column, given_back
 from tarmac.sources.scratch import stage
 
 UNKNOWN = "und"
@@ -195,14 +195,14 @@ def fit(labelled: DataFrame, vocabulary_path: str, documents: int = FIT_DOCUMENT
     shares = F.broadcast(spark.createDataFrame([(lang, min(1.0, documents / n)) for lang, n in totals.items()], "_lang string, _share double"))
     chosen = rows.join(shares, F.col("lang") == F.col("_lang")).where(
         "pmod(xxhash64(CAST(key AS STRING), 'fit'), 1000000) < _share * 1000000")
-    counts = stage(chosen.select("lang", "text").mapInArrow(_counts, "lang string, word string, n bigint")
+    counts = stage(chosen.select("lang", "text").mapInArrow(lambda batches: given_back(_counts(batches)), "lang string, word string, n bigint")
                    .groupBy("lang", "word").agg(F.sum("n").alias("n")), "word-counts")
     letters = np.array([len(piece) for piece in pieces], dtype=float)
     start = np.exp(-2 * letters)
     table = np.tile((start / start.sum())[:, None], (1, len(languages)))
     for _ in range(rounds):
         given = {lang: _rows(table)[:, i].copy() for i, lang in enumerate(languages)}
-        uses = counts.mapInArrow(lambda batches: _uses(batches, pieces, given), "lang string, piece int, uses double")
+        uses = counts.mapInArrow(lambda batches: given_back(_uses(batches, pieces, given)), "lang string, piece int, uses double")
         table = np.full((len(pieces), len(languages)), SMOOTHING)
         for row in uses.groupBy("lang", "piece").agg(F.sum("uses")).toPandas().itertuples(index=False):
             table[row[1], languages.index(row[0])] += row[2]
@@ -289,7 +289,7 @@ def predict(df: DataFrame, model: Model, text_column: str = "text", keep: list[s
     renamed = df.select(*(F.col(column(name)).alias(new) for name, new in zip(read, inner)))
     schema = ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in renamed.schema)
     place = read.index(text_column)
-    out = renamed.mapInArrow(lambda batches: _predict(batches, model, place), f"{schema}, lang_pred string, score double")
+    out = renamed.mapInArrow(lambda batches: given_back(_predict(batches, model, place)), f"{schema}, lang_pred string, score double")
     return out.select(*(F.col(new).alias(name) for name, new in zip(read, inner) if name in names), "lang_pred", "score")
 
 

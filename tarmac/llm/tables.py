@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -20,3 +23,9 @@ def free_name(df: DataFrame, name: str) -> str:
 def column(name: str) -> str:
     """A column name quoted for SQL text."""
     return f"`{name.replace('`', '``')}`"
+
+
+def given_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; at the end Arrow hands its free memory back, since workers live on for other tasks."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
