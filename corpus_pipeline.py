@@ -34,7 +34,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near copies (five-word shingles, Jaccard of 0.8 or more), the one with the smallest id.
 
-    Null ids come last. Texts without a word are copies of each other; shorter ones than five words are one shingle. Whole texts are
+    Pairs meet in the blocks of operator 5, over SimHashes of the same shingles, and what these miss by MinHash bands and rare shingles; all
+    are checked exactly. Null ids come last. Texts without a word are copies of each other; shorter ones than five words are one shingle. Whole texts are
     compared, rows that repeat id and text leave one, and an empty table stays empty.
     """
     return nearcopies.keep_one(docs)

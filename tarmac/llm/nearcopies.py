@@ -1,10 +1,11 @@
-"""Near copies by word shingles: MinHash bands choose texts, rare shingles propose pairs, the exact Jaccard similarity decides.
+"""Near copies by word shingles: SimHash blocks link first, MinHash bands and rare shingles propose the rest, the exact Jaccard similarity decides.
 
-A text is the set of its ``WIDTH``-word shingles; only distinct sets are compared. ``BANDS`` bands of ``ROWS`` minima each leave out
+A text is the set of its ``WIDTH``-word shingles; only distinct sets are compared. Sets whose SimHashes over the same shingles are equal or meet
+in the blocks of ``simhash.links`` are proposed first. ``BANDS`` bands of ``ROWS`` minima each leave out
 the sets that share none with any other: a pair of similarity s shares no band with probability (1 - s^5)^32, 3e-6 at 0.8 and less
 above. Of n shingles in one order for all sets, two sets at 0.8 must share one of the first n - ceil(0.8 n) + 1, so only those are
 joined, rarest first: a passage that many texts quote proposes no pair unless it makes up nearly all of them. A 64-bit
-SimHash does not serve here: at 0.8 two prints differ in about ten bits, give or take three, which is too wide for blocks.
+SimHash alone does not serve here: at 0.8 two prints differ in about ten bits, give or take three, which is too wide for blocks.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarmac.llm import simhash
 from tarmac.llm.components import connected
 from tarmac.llm.simhash import keep_labelled
-from tarmac.llm.tables import given_back
+from tarmac.llm.tables import given_back, small_batches
 from tarmac.sources.scratch import released, stage
 
 WIDTH = 5
@@ -77,9 +79,10 @@ def bands(values: np.ndarray) -> np.ndarray:
 
 def _with_node(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        nodes, sizes, keys = [], [], []
+        nodes, prints, sizes, keys = [], [], [], []
         for text in batch.column(place):
             values = shingles(text.as_py())
+            prints.append(simhash.fingerprint(text.as_py(), WIDTH))
             nodes.append(xxhash.xxh3_64_intdigest(values.tobytes()))
             sizes.append(len(values))
             keys.append(bands(values))
@@ -87,8 +90,9 @@ def _with_node(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[pa.Rec
             pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * BANDS),
             pa.array(np.concatenate(keys).view(np.int64) if keys else np.empty(0, dtype=np.int64)))
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), lists],
-            names=[*batch.schema.names, "print", "size", "bands"])
+            [*batch.columns, pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(prints, pa.int64()),
+             pa.array(sizes, pa.int64()), lists],
+            names=[*batch.schema.names, "print", "fingerprint", "size", "bands"])
 
 
 def _with_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,6 +124,21 @@ def _sharing(classes: DataFrame) -> DataFrame:
     return stage(ends.unionByName(others.select("node")).distinct(), "sharing-nodes")
 
 
+def _blocks(classes: DataFrame) -> DataFrame:
+    """Pairs a, b of sets that the SimHash operator links: one set of each of two fingerprints within its distance, and the sets of one fingerprint with its smallest.
+
+    They are candidates like any other. Sets of linked fingerprints that are not paired here, or fail the check, still meet by their bands.
+    """
+    first = stage(classes.groupBy("fingerprint").agg(F.min("print").alias("first"), F.count(F.lit(1)).alias("n")), "fingerprints")
+    several = first.where("n > 1").select(F.col("fingerprint").alias("_fingerprint"), "first")
+    same = classes.join(several, F.col("fingerprint") == F.col("_fingerprint")).where("print <> first").select(
+        F.col("first").alias("a"), F.col("print").alias("b"))
+    one, two = (first.select(F.col("fingerprint").alias(f"_{name}"), F.col("first").alias(f"first_{name}")) for name in ("a", "b"))
+    near = simhash.links(first.select(F.col("fingerprint").alias("print"))).join(one, F.col("a") == F.col("_a")).join(
+        two, F.col("b") == F.col("_b")).select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))
+    return stage(same.unionByName(near), "block-pairs")
+
+
 def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
     """node, size, key, place, members: the rare shingles (key) by which sets meet, with their place in their own set's order.
 
@@ -141,13 +160,17 @@ def links(classes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY,
           rounds: int = ROUNDS) -> DataFrame:
     """Edges a, b between distinct sets whose components are those of all pairs that share a band and are similar enough.
 
-    ``classes`` has print, size, bands once for each set, ``texts`` print and text. Where more than ``pairwise`` sets meet at a
+    ``classes`` has print, fingerprint, size, bands once for each set, ``texts`` print and text. Pairs that meet in SimHash blocks are
+    checked first; the others meet at the rare shingles of sets that share a band. Where more than ``pairwise`` sets meet at a
     rare shingle, all are compared with a few of them first; after that only pairs in different components are left, and every
     one of these is compared whose sizes, and what follows the shingle in both, still allow the similarity.
     """
     spark = classes.sparkSession
-    own = texts.join(_sharing(classes), F.col("print") == F.col("node"), "left_semi").dropDuplicates(["print"])
-    sets = stage(own.select("print", "text").mapInArrow(lambda batches: given_back(_with_set(batches)), "node bigint, size bigint, held array<bigint>"), "shingle-sets")
+    blocks = _blocks(classes)
+    asked = _sharing(classes).unionByName(blocks.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    own = texts.join(asked, F.col("print") == F.col("node"), "left_semi").dropDuplicates(["print"])
+    with small_batches(spark):
+        sets = stage(own.select("print", "text").mapInArrow(lambda batches: given_back(_with_set(batches)), "node bigint, size bigint, held array<bigint>"), "shingle-sets")
     found = _prefixes(sets, similarity)
     share = similarity / (1 + similarity)
 
@@ -160,7 +183,7 @@ def links(classes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY,
         F.explode(F.expr(f"""flatten(transform(p, a -> transform(
             filter(p, b -> a.node < b.node AND {possible("a.", "b.")}), b -> struct(a.node AS a, b.node AS b))))""")).alias("pair")
     ).select("pair.*")
-    edges = _verified(few, sets, similarity)
+    edges = _verified(blocks, sets, similarity).unionByName(_verified(few, sets, similarity))
     crowded = found.where(f"members > {pairwise}").select("node", "size", "key", "place")
     nodes = stage(crowded.select("node", F.col("node").alias("label")).distinct(), "crowded-nodes")
 
@@ -212,9 +235,10 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     def labelled(rows: DataFrame, own_id: str, text: str) -> DataFrame:
         label = F.struct(F.col(own_id).isNull().alias("unnamed"), F.col(own_id).alias("id"), F.col("print"))
         classes = stage(rows.groupBy("print").agg(
-            F.min(label).alias("label"), F.first("size").alias("size"), F.first("bands").alias("bands")), "set-classes")
-        found = links(classes.select("print", "size", "bands"), rows.select("print", F.col(text).alias("text")), **options)
+            F.min(label).alias("label"), F.min("fingerprint").alias("fingerprint"), F.first("size").alias("size"),
+            F.first("bands").alias("bands")), "set-classes")
+        found = links(classes.select("print", "fingerprint", "size", "bands"), rows.select("print", F.col(text).alias("text")), **options)
         return connected(classes.select(F.col("print").alias("node"), "label"), found).select(
             F.col("node").alias("_print"), "label")
 
-    return keep_labelled(df, id_column, text_column, _with_node, "print bigint, size bigint, bands array<bigint>", labelled)
+    return keep_labelled(df, id_column, text_column, _with_node, "print bigint, fingerprint bigint, size bigint, bands array<bigint>", labelled)

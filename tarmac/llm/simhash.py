@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.llm.components import connected
-from tarmac.llm.tables import column, given_back
+from tarmac.llm.tables import column, given_back, small_batches
 from tarmac.sources.scratch import released, stage
 
 DISTANCE = 2
@@ -138,7 +138,8 @@ def keep_labelled(df: DataFrame, id_column: str, text_column: str, printer: Call
     place = df.columns.index(text_column)
     own_id, own_text = names[df.columns.index(id_column)], names[place]
     schema = ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in renamed.schema)
-    rows = stage(renamed.mapInArrow(lambda batches: given_back(printer(batches, place)), f"{schema}, {added}"), "printed")
+    with small_batches(df.sparkSession):
+        rows = stage(renamed.mapInArrow(lambda batches: given_back(printer(batches, place)), f"{schema}, {added}"), "printed")
     with released(df.sparkSession, "labels") as keep:
         labels = labelled(rows, own_id, own_text)
         winners = keep(labels.where("label.print = _print").select("_print", F.col("label.id").alias("_id")), "winners")

@@ -79,3 +79,12 @@ def test_the_stage_drops_copies_that_differ_in_many_bits(spark):
     kept = dict(corpus_pipeline.STAGES)["near_copies"](spark, single, SF).collect()
     assert sorted((row.doc_id for row in kept), key=str) == expected_ids(rows)
     assert len(kept) < len(rows)
+
+
+def test_simhash_blocks_link_without_any_band(spark, monkeypatch):
+    """The SimHash operator proposes pairs of its own: with sets that share no band, close fingerprints are still checked and linked."""
+    text = " ".join(f"w{i}" for i in range(4000))
+    rows = [(1, text, "en", "a"), (2, f"{text} w1 w2 w3", "en", "a"), (3, " ".join(f"v{i}" for i in range(50)), "en", "a")]
+    assert (nearcopies.simhash.fingerprint(rows[0][1], 5) ^ nearcopies.simhash.fingerprint(rows[1][1], 5)).bit_count() <= 2
+    monkeypatch.setattr(nearcopies, "_sharing", lambda classes: classes.where("false").select(classes["print"].alias("node")))
+    assert sorted(row.doc_id for row in nearcopies.keep_one(documents(spark, rows)).collect()) == [1, 3]
