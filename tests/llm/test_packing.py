@@ -72,5 +72,24 @@ def test_encoder_equals_the_library_on_odd_texts():
     assert list(encoder.ids_of(texts)) == [encoder.whole(text) for text in texts]
 
 
+def test_words_are_cut_as_the_library_cuts_them():
+    encoder, chance = ChunkEncoder(PATH), random.Random(3)
+    odd = "aB'sdtmrevlS .,-09é' \xa0"
+    texts = ["".join(chance.choice(odd) for _ in range(chance.randint(0, 40))) for _ in range(2000)]
+    texts += ["l'll 'sample ''s's 're9", "'", "'s", "a'"]
+    assert list(encoder.ids_of(texts)) == [encoder.whole(text) for text in texts]
+
+
+def test_plain_texts_are_not_normalised_by_the_library():
+    """Normalising is most of what the library takes for a text; new words reach it in their final form."""
+    encoder = ChunkEncoder(PATH)
+    texts = ["Some WORDS, some more words!", "déjà-vu déjà", "it's 42", ""]
+    expected = [encoder.whole(text) for text in texts]
+    list(encoder.ids_of(texts[1:2]))  # tries the characters out
+    encoder.words.clear()
+    encoder.tokenizer = None
+    assert list(encoder.ids_of(texts)) == expected
+
+
 def test_empty_table(spark):
     assert packing.pack(documents(spark, []), PATH).collect() == []
