@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac.llm import exact, langid, mixing, nearcopies, packing
-from tarmac.llm.tables import column, read
-from tarmac.sources.scratch import released
+from tarmac.llm.tables import column, read, small_batches
+from tarmac.sources.scratch import released, stage
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +19,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     labelled = docs.where(~langid.held_out(F.col("doc_id"))).select(F.col("doc_id").alias("key"), "text", "lang")
     model = langid.fit(labelled, public_tokenizers.path("piece_bpe_32k.model"))
     found = langid.predict(docs.withColumnsRenamed({name: f"{name}_own" for name in docs.columns if name in ("lang_pred", "score")}), model)
-    known = found.where(F.col("lang_pred") != langid.UNKNOWN).drop("lang_pred", "score")
+    # Written here, since whole texts go to Python and back: a result that is written elsewhere does so 10,000 at a time.
+    with small_batches(spark):
+        known = stage(found.where(F.col("lang_pred") != langid.UNKNOWN).drop("lang_pred", "score"), "in-a-language")
     return known.toDF(*docs.columns).select(*(F.col(column(name)) for name in docs.columns))
 
 

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.llm.tables import column
+from tarmac.llm.tables import column, given_back, small_batches
 from tarmac.llm.tokens import ChunkEncoder
 from tarmac.sources.scratch import stage
 
@@ -177,7 +177,7 @@ def pieces(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str
     """Every document's ids, ended by id 0, cut into pieces; ``part`` and ``rank`` number pieces of one length within a task."""
     kind = df.schema[id_column].dataType.simpleString()
     return df.select(F.col(column(id_column)), F.col(column(text_column))).mapInArrow(
-        lambda batches: _cut(batches, path, sequence),
+        lambda batches: given_back(_cut(batches, path, sequence)),
         f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, part int, rank bigint",
     )
 
@@ -200,7 +200,8 @@ def pack(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str =
     their ids, and a null id is carried along. An empty table gives an empty result. Pieces are written once; their ranks
     among equal lengths are task ranks plus a running sum over tasks, so no length is gathered anywhere.
     """
-    cut = stage(pieces(df, path, id_column, text_column, sequence), "pieces")
+    with small_batches(df.sparkSession):
+        cut = stage(pieces(df, path, id_column, text_column, sequence), "pieces")
     sizes = cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = stage(sizes.select(

@@ -11,7 +11,7 @@ import pyarrow as pa
 import regex
 
 # Ids of this many different words are kept by each encoder, about 200 bytes each; then the store starts anew.
-KEPT = 250_000
+KEPT = 400_000
 # So many new words are encoded together.
 TOGETHER = 20_000
 # Texts whose words are found together, and the most characters of such a group but for its last text.

@@ -6,7 +6,8 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tarmac.llm import langid
+from tarmac.llm import langid, packing
+from tarmac.llm.tables import BATCH
 from tests.llm.awkward import documents
 from tests.llm.test_nearcopies import expected_ids
 
@@ -56,6 +57,25 @@ def test_an_empty_table_passes_every_stage(spark):
         assert docs.collect() == []
 
 
+def test_whole_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    used = {}
+
+    def watched(module):
+        write = module.stage
+
+        def stage(df, label):
+            used[label] = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+            return write(df, label)
+
+        monkeypatch.setattr(module, "stage", stage)
+
+    watched(corpus_pipeline)
+    watched(packing)
+    docs, stages = documents(spark), dict(corpus_pipeline.STAGES)
+    stages["pack"](spark, stages["language"](spark, docs, SF), SF)
+    assert 0 < used["in-a-language"] <= BATCH and 0 < used["pieces"] <= BATCH
+
+
 def test_run_packs_the_corpus(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.count() > 0 and corpus_pipeline.ORACLE_SQL is None
