@@ -6,6 +6,9 @@ the sets that share none with any other: a pair of similarity s shares no band w
 above. Of n shingles in one order for all sets, two sets at 0.8 must share one of the first n - ceil(0.8 n) + 1, so only those are
 joined, rarest first: a passage that many texts quote proposes no pair unless it makes up nearly all of them. A 64-bit
 SimHash alone does not serve here: at 0.8 two prints differ in about ten bits, give or take three, which is too wide for blocks.
+
+Where many sets meet at one shingle, 64 * ``WORDS`` parity bits of each decide first. Two sets differ in at least as many shingles as their
+bits do, so a pair whose bits differ in more than the similarity allows needs no check, and only pairs near the limit become rows.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ PAIRWISE = 3
 ROUNDS = 4
 MORE = 4
 CHUNK = 256
+WORDS = 8
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _DRAWN = np.random.default_rng(SEED)
@@ -77,6 +81,12 @@ def bands(values: np.ndarray) -> np.ndarray:
     return keys
 
 
+def parities(values: np.ndarray) -> np.ndarray:
+    """64 * WORDS bits as longs; each shingle of the set turns one over, so the bits of two sets differ in no more places than the sets."""
+    turned = np.bincount((values % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(turned.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _with_node(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         nodes, prints, sizes, keys = [], [], [], []
@@ -98,10 +108,11 @@ def _with_node(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[pa.Rec
 def _with_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for node, text in zip(batch.column(0), batch.column(1)):
-            values = shingles(text.as_py()).view(np.int64)
+            values = shingles(text.as_py())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([node.as_py()], pa.int64()), pa.array([len(values)], pa.int64()), pa.array([values], pa.list_(pa.int64()))],
-                names=["node", "size", "held"])
+                [pa.array([node.as_py()], pa.int64()), pa.array([len(values)], pa.int64()),
+                 pa.array([values.view(np.int64)], pa.list_(pa.int64())), pa.array([parities(values)], pa.list_(pa.int64()))],
+                names=["node", "size", "held", "bits"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -163,16 +174,20 @@ def links(classes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY,
     ``classes`` has print, fingerprint, size, bands once for each set, ``texts`` print and text. Pairs that meet in SimHash blocks are
     checked first; the others meet at the rare shingles of sets that share a band. Where more than ``pairwise`` sets meet at a
     rare shingle, all are compared with a few of them first; after that only pairs in different components are left, and every
-    one of these is compared whose sizes, and what follows the shingle in both, still allow the similarity.
+    one of these is compared whose sizes, parity bits, and what follows the shingle in both, still allow the similarity.
     """
     spark = classes.sparkSession
     blocks = _blocks(classes)
     asked = _sharing(classes).unionByName(blocks.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     own = texts.join(asked, F.col("print") == F.col("node"), "left_semi").dropDuplicates(["print"])
     with small_batches(spark):
-        sets = stage(own.select("print", "text").mapInArrow(lambda batches: given_back(_with_set(batches)), "node bigint, size bigint, held array<bigint>"), "shingle-sets")
+        sets = stage(own.select("print", "text").mapInArrow(lambda batches: given_back(_with_set(batches)), "node bigint, size bigint, held array<bigint>, bits array<bigint>"), "shingle-sets")
     found = _prefixes(sets, similarity)
     share = similarity / (1 + similarity)
+    bits = [f"bit{i}" for i in range(WORDS)]
+    differing = " + ".join(f"bit_count({name} ^ _{name})" for name in bits)
+    # Sets of the similarity differ in at most this part of their sizes taken together.
+    close = f"{differing} <= {1 - 2 * share!r}D * (size + _size) + 1e-9D"
 
     def possible(a: str, b: str) -> str:
         """Whether sizes and places allow the similarity, given that the shingle is the first that the two sets share."""
@@ -185,7 +200,8 @@ def links(classes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY,
     ).select("pair.*")
     edges = _verified(blocks, sets, similarity).unionByName(_verified(few, sets, similarity))
     crowded = found.where(f"members > {pairwise}").select("node", "size", "key", "place")
-    nodes = stage(crowded.select("node", F.col("node").alias("label")).distinct(), "crowded-nodes")
+    nodes = stage(sets.join(crowded.select(F.col("node").alias("_node")).distinct(), F.col("node") == F.col("_node"), "left_semi").select(
+        "node", F.col("node").alias("label"), *(F.col("bits")[i].alias(name) for i, name in enumerate(bits))), "crowded-nodes")
 
     def inside() -> DataFrame:
         """The edges between crowded nodes; others can only be followed at the end."""
@@ -193,9 +209,9 @@ def links(classes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY,
         return edges.join(one, F.col("a") == F.col("_a"), "left_semi").join(two, F.col("b") == F.col("_b"), "left_semi")
 
     def still_open(members: DataFrame) -> DataFrame:
-        """Those members at shingles where more than one component meets, with their roots."""
+        """Those members at shingles where more than one component meets, with their roots and parity bits."""
         with released(spark, "open") as keep:
-            roots = connected(nodes, inside()).select(F.col("node").alias("_node"), F.col("label").alias("root"))
+            roots = connected(nodes, inside()).withColumnsRenamed({"node": "_node", "label": "root"})
             rooted = stage(members.select("node", "size", "key", "place").join(roots, F.col("node") == F.col("_node")).drop("_node"),
                            "rooted")
             several = rooted.groupBy(F.col("key").alias("_key")).agg(
@@ -209,8 +225,8 @@ def links(classes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY,
         crowded = still_open(crowded)
         order = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(turn)), "node")
         drawn = crowded.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MORE ** turn).select(
-            *(F.col(name).alias(f"_{name}") for name in ("node", "size", "place", "key", "root")))
-        pairs = crowded.join(drawn, F.col("key") == F.col("_key")).where(f"root <> _root AND {possible('', '_')}").select(
+            *(F.col(name).alias(f"_{name}") for name in ("node", "size", "place", "key", "root", *bits)))
+        pairs = crowded.join(drawn, F.col("key") == F.col("_key")).where(f"root <> _root AND {possible('', '_')} AND {close}").select(
             F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b"))
         edges = stage(edges.unionByName(_verified(pairs, sets, similarity)), "near-links")
     if crowded.isEmpty():
@@ -218,10 +234,10 @@ def links(classes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY,
     members = still_open(crowded).withColumn("chunks", F.expr(f"1 + members DIV {CHUNK}"))
     left = members.withColumn("chunk", F.expr("pmod(xxhash64(node), chunks)"))
     right = members.select(
-        *(F.col(name).alias(f"_{name}") for name in ("node", "size", "place", "key", "root")),
+        *(F.col(name).alias(f"_{name}") for name in ("node", "size", "place", "key", "root", *bits)),
         F.explode(F.expr("sequence(0L, chunks - 1)")).alias("_chunk"))
     rest = left.join(right, (F.col("key") == F.col("_key")) & (F.col("chunk") == F.col("_chunk"))).where(
-        f"node < _node AND root <> _root AND {possible('', '_')}").select(F.col("node").alias("a"), F.col("_node").alias("b"))
+        f"node < _node AND root <> _root AND {possible('', '_')} AND {close}").select(F.col("node").alias("a"), F.col("_node").alias("b"))
     return stage(edges.unionByName(_verified(rest, sets, similarity)), "near-links")
 
 

@@ -88,3 +88,35 @@ def test_simhash_blocks_link_without_any_band(spark, monkeypatch):
     assert (nearcopies.simhash.fingerprint(rows[0][1], 5) ^ nearcopies.simhash.fingerprint(rows[1][1], 5)).bit_count() <= 2
     monkeypatch.setattr(nearcopies, "_sharing", lambda classes: classes.where("false").select(classes["print"].alias("node")))
     assert sorted(row.doc_id for row in nearcopies.keep_one(documents(spark, rows)).collect()) == [1, 3]
+
+
+def test_a_large_group_near_the_limit_gives_few_pairs_to_check(spark, monkeypatch):
+    """Edits that many texts share let these meet pair by pair; those too different to link are not checked."""
+    chance = random.Random(11)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(400):
+        words = list(base)
+        for place in chance.sample(range(0, 150, 5), chance.randrange(2, 9)):
+            words[place] = f"x{place}"
+        texts.append(" ".join(words))
+    rows = list(enumerate(dict.fromkeys(texts)))
+    checked, verified = [], nearcopies._verified
+
+    def counted(pairs, sets, similarity):
+        checked.append(pairs.distinct().count())
+        return verified(pairs, sets, similarity)
+
+    monkeypatch.setattr(nearcopies, "_verified", counted)
+    kept = nearcopies.keep_one(documents(spark, [(i, t, "en", "a") for i, t in rows]))
+    assert sorted((row.doc_id for row in kept.collect()), key=str) == expected_ids(rows)
+    assert sum(checked) < 5 * len(rows)
+
+
+def test_parity_bits_differ_in_no_more_places_than_the_sets():
+    rows = [text for _, text in varied(random.Random(5))][:60] + ["", "one", " ".join(f"w{i}" for i in range(5000))]
+    for one in rows:
+        for two in rows:
+            a, b = nearcopies.shingles(one), nearcopies.shingles(two)
+            differing = sum(int(x).bit_count() for x in (nearcopies.parities(a) ^ nearcopies.parities(b)).view("u8"))
+            assert differing <= len(set(a.tolist()) ^ set(b.tolist()))
